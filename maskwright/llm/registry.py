@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, oracles, sharding
+from . import chat, oracles, packing, pieces, sharding
 
 QUERIES = {
+    "op4_distinct_chunks": pieces.op4_distinct_chunks,
+    "op6_min_slack": packing.op6_min_slack,
     "op7_virtual_slots": sharding.op7_virtual_slots,
     "op8_chat_format": chat.op8_chat_format,
 }
