@@ -22,6 +22,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -42,27 +43,61 @@ _WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
 
 class WordTable:
-    """word -> its ids as little-endian 32-bit bytes."""
+    """word -> its ids as little-endian 32-bit bytes.
+
+    Two generations of bounded size: when the young one is full it becomes the old one, and words met
+    again move to the young one, so frequent words stay.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.marks = {m: self._encode([m])[0] for m in ".,"}
+        #: The model's letters for those characters that stay one pre-token with their neighbours.
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x130) if chr(c).isalpha() and chr(c) == chr(c).lower()}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _plain(self, word: str) -> bytes | None:
+        """Ids of a word of Latin letters, with one full stop or comma at most: the letters are one
+        pre-token that normalisation only lower-cases, so the model can be asked directly."""
+        tail = self.marks.get(word[-1], b"")
+        head = word[:-1] if tail else word
+        if not head.isalpha() or max(head) > "\u012f":
+            return None
+        return array("I", [t.id for t in self.model.tokenize(head.lower().translate(self.letters))]).tobytes() + tail
 
     def ids(self, text: str) -> bytes:
         words = _WORD.findall(text)
-        missing = [w for w in dict.fromkeys(words) if w not in self.known]
-        if missing:
-            for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                self.known[w] = np.asarray(e.ids, "<u4").tobytes()
-        out = b"".join(map(self.known.__getitem__, words))
+        young = self.young
+        try:
+            return b"".join(map(young.__getitem__, words))
+        except KeyError:
+            pass
+        rest = []
+        missing = [w for w in dict.fromkeys(words) if w not in young]
+        for w in missing:
+            ids = self.old.get(w) or self._plain(w)
+            if ids is None:
+                rest.append(w)
+            else:
+                young[w] = ids
+        if rest:
+            young.update(zip(rest, self._encode(rest), strict=True))
+        out = b"".join(map(young.__getitem__, words))
         for w in missing:
             if len(w) > WORD_CHARS:
-                del self.known[w]
-        if len(self.known) > WORD_ENTRIES:
-            self.known.clear()
+                del young[w]
+        if len(young) > WORD_ENTRIES:
+            self.young, self.old = {}, young
         return out
 
 
