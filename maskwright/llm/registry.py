@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, oracles, packing, pieces, quality, sharding
+from . import chat, neardup, oracles, packing, pieces, quality, sharding
 
 QUERIES = {
+    "op1_odd_sketch": neardup.op1_odd_sketch,
     "op2_line_first": quality.op2_line_first,
     "op4_distinct_chunks": pieces.op4_distinct_chunks,
     "op6_min_slack": packing.op6_min_slack,
