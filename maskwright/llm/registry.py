@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, neardup, oracles, packing, pieces, quality, sharding
+from . import chat, neardup, oracles, packing, pieces, quality, secrets, sharding
 
 QUERIES = {
     "op1_odd_sketch": neardup.op1_odd_sketch,
+    "op10_markov_secrets": secrets.op10_markov_secrets,
     "op2_line_first": quality.op2_line_first,
     "op4_distinct_chunks": pieces.op4_distinct_chunks,
     "op6_min_slack": packing.op6_min_slack,
