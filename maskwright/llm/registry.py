@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, neardup, oracles, packing, pieces, quality, secrets, sharding
+from . import chat, neardup, oracles, packing, pieces, pii, quality, secrets, sharding
 
 QUERIES = {
     "op1_odd_sketch": neardup.op1_odd_sketch,
     "op10_markov_secrets": secrets.op10_markov_secrets,
     "op2_line_first": quality.op2_line_first,
+    "op3_boosted_pii": pii.op3_boosted_pii,
     "op4_distinct_chunks": pieces.op4_distinct_chunks,
     "op6_min_slack": packing.op6_min_slack,
     "op7_virtual_slots": sharding.op7_virtual_slots,
