@@ -34,7 +34,9 @@ KINDS = ("assign", "access", "hex", "random")
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 LEAST_CANDIDATE = 20
 #: Mean log-likelihood ratio a character from which a candidate is a secret.
-THRESHOLD = 0.6
+THRESHOLD = 0.3
+#: Identifiers of this form are random but public.
+UUID = r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"
 
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_-"
 
@@ -159,7 +161,7 @@ def scan(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD,
         # a run of the pattern's characters that is long enough is a whole match, and shorter ones fail anyway
         "hex": matches(text, rf"(?<![0-9a-f])[0-9a-f]{{{LEAST_HEX},}}"),
     }
-    mixed = F.filter(matches(text, rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{{0,80}}[0-9])(?=[0-9+/_-]{{0,80}}[A-Za-z]){CANDIDATE}"), lambda m: ratio(m["value"], table) >= threshold)
+    mixed = F.filter(matches(text, rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z]){CANDIDATE}"), lambda m: ~m["value"].rlike(UUID) & (ratio(m["value"], table) >= threshold))
     out = docs
     for kind, found in spans.items():
         out = out.withColumn(f"_{kind}", found)
