@@ -50,7 +50,7 @@ def repeat_words(words: Column) -> Column:
     def windows(w: Column) -> Column:
         return F.when(
             F.size(w) >= 4,
-            F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2))),
+            F.slice(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))), F.lit(1), F.size(w) - 2),
         ).otherwise(F.array().cast("array<bigint>"))
 
     def found(hashes: Column) -> Column:
@@ -88,36 +88,48 @@ def let(value: Column, body) -> Column:
 
 
 def line_verdict(line: Column) -> Column:
-    """Why a line fails, or an empty string."""
+    """Why a line fails, or an empty string. A line's words are its spaces plus one."""
     trimmed = F.trim(line)
-    n_words = F.size(F.split(trimmed, SPACE))
-    symbols = F.length(F.regexp_replace(trimmed, "[^#*$%&|<>]+", ""))
-    bars = F.length(F.regexp_replace(trimmed, r"[^|»›•·]+", ""))
-    marks = F.length(F.regexp_replace(trimmed, r"[^.,;:!?…。！？]+", ""))
-    shouts = (F.size(F.split(trimmed, "!!")) - 1) * 3
-    return (
-        F.when(trimmed.rlike(BOILERPLATE), "boilerplate")
-        .when((bars >= 1) & (bars * 8 >= n_words), "navigation")
-        .when(symbols * 4 > n_words, "symbols")
-        .when(shouts > n_words, "shouting")
-        .when((n_words >= NAV_WORDS // 4) & (marks * NAV_WORDS < n_words), "punctuation")
-        .otherwise("")
-    )
+
+    def judge(n_words: Column) -> Column:
+        count = lambda others: F.length(F.regexp_replace(trimmed, others, ""))
+        bars, marks = count(r"[^|»›•·]+"), count(r"[^.,;:!?…。！？]+")
+        odd = (
+            F.when((bars >= 1) & (bars * 8 >= n_words), "navigation")
+            .when(count(r"[^#*$%&|<>]+") * 4 > n_words, "symbols")
+            .when((F.size(F.split(trimmed, "!!")) - 1) * 3 > n_words, "shouting")
+        )
+        return (
+            F.when(trimmed.rlike(BOILERPLATE), "boilerplate")
+            .when(trimmed.rlike(r"[|»›•·#*$%&<>]|!!") & odd.isNotNull(), odd)
+            .when((n_words >= NAV_WORDS // 4) & (marks * NAV_WORDS < n_words), "punctuation")
+            .otherwise("")
+        )
+
+    return let(F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit(""))) + 1, judge)
+
+
+def lines_of(text: Column) -> Column:
+    """Lines with a word."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+
+
+def without_failed_lines(text: Column) -> Column:
+    return F.array_join(F.filter(lines_of(text), lambda x: line_verdict(x) == ""), "\n")
 
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds a struct ``quality`` with the counts and verdicts, and ``clean_text`` without failed lines."""
+    """Adds a struct ``quality`` with the counts and verdicts."""
     text = F.col(text_col)
     per_row = let(
-        F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
+        lines_of(text),
         lambda lines: let(
-            F.transform(lines, lambda x: F.struct(x.alias("line"), line_verdict(x).alias("why"))),
+            F.transform(lines, lambda x: F.struct(F.length(F.trim(x)).alias("chars"), line_verdict(x).alias("why"))),
             lambda judged: F.struct(
                 (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
                 _chars(judged, lambda x: F.lit(True)).alias("line_chars"),
                 _chars(judged, lambda x: x["why"] != "").alias("lost_chars"),
                 F.array_distinct(F.transform(F.filter(judged, lambda x: x["why"] != ""), lambda x: x["why"])).alias("reasons"),
-                F.array_join(F.transform(F.filter(judged, lambda x: x["why"] == ""), lambda x: x["line"]), "\n").alias("clean_text"),
             ),
         ),
     )
@@ -139,20 +151,20 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
             F.coalesce(F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")), F.lit(0)).cast("long").alias("n_symbols"),
             F.col("_l.n_dup_lines"), F.col("_w.n_repeat_words"), failed.alias("base_failed"),
             (~failed & ~lost).alias("kept"),
-            F.col("_l.line_chars"), F.col("_l.lost_chars"), F.col("_l.reasons"), F.col("_l.clean_text"),
+            F.col("_l.line_chars"), F.col("_l.lost_chars"), F.col("_l.reasons"),
         ),
     ).drop("_l", "_w")
 
 
 def _chars(judged: Column, keep) -> Column:
-    return F.aggregate(F.filter(judged, keep), F.lit(0).cast("long"), lambda acc, x: acc + F.length(F.trim(x["line"])))
+    return F.aggregate(F.filter(judged, keep), F.lit(0).cast("long"), lambda acc, x: acc + x["chars"])
 
 
 def clean(docs: DataFrame, text_col: str = "text", replace_text: bool = False) -> DataFrame:
     """The documents that pass, with their columns; with ``replace_text`` without their failed lines."""
     out = measure(docs, text_col).where(F.col("quality.kept"))
     if replace_text:
-        out = out.withColumn(text_col, F.col("quality.clean_text"))
+        out = out.withColumn(text_col, without_failed_lines(F.col(text_col)))
     return out.select(*docs.columns)
 
 
