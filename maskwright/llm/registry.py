@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, neardup, oracles, packing, pieces, pii, quality, secrets, sharding
+from . import chat, langid, neardup, oracles, packing, pieces, pii, quality, secrets, sharding
 
 QUERIES = {
     "op1_odd_sketch": neardup.op1_odd_sketch,
+    "op9_string_kernel": langid.op9_string_kernel,
     "op10_markov_secrets": secrets.op10_markov_secrets,
     "op2_line_first": quality.op2_line_first,
     "op3_boosted_pii": pii.op3_boosted_pii,
