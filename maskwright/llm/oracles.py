@@ -21,3 +21,38 @@ SELECT conv_id, count(*) AS n_turns,
   bool_and(fits) AS valid
 FROM moved GROUP BY conv_id
 """
+
+OP5 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM (SELECT * FROM v WHERE vec_id % 50 = 0) q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+OP2 = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+c AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM w),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM c)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g WHERE n > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, trim(line) AS s, length(trim(line)) AS chars, length(trim(line)) - length(replace(trim(line), ' ', '')) + 1 AS n
+  FROM (SELECT doc_id, unnest(lines) AS line FROM c)),
+j AS (SELECT doc_id, chars,
+    regexp_matches(s, '(?i)^\s*(copyright\b|all rights reserved|cookie (policy|settings)|terms of (use|service)|privacy policy|subscribe (now|to our)|click here|sign (in|up)\b|log ?in\b|skip to (main )?content|enable javascript)')
+    OR (length(regexp_replace(s, '[^|»›•·]+', '', 'g')) >= 1 AND length(regexp_replace(s, '[^|»›•·]+', '', 'g')) * 8 >= n)
+    OR length(regexp_replace(s, '[^#*$%&|<>]+', '', 'g')) * 4 > n
+    OR (len(string_split(s, '!!')) - 1) * 3 > n
+    OR (n >= 10 AND length(regexp_replace(s, '[^.,;:!?…。！？]+', '', 'g')) * 40 < n) AS failed FROM l),
+d AS (SELECT doc_id, CAST(sum(chars) AS BIGINT) AS line_chars, CAST(sum(CASE WHEN failed THEN chars ELSE 0 END) AS BIGINT) AS lost_chars FROM j GROUP BY doc_id),
+o AS (SELECT c.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(r.n_repeat_words, 0) AS n_repeat_words,
+    coalesce(line_chars, 0) AS line_chars, coalesce(lost_chars, 0) AS lost_chars
+  FROM c LEFT JOIN r USING (doc_id) LEFT JOIN d USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM o)
+SELECT *, NOT base_failed AND NOT 100 * lost_chars > 30 * line_chars AS kept FROM f
+"""
