@@ -4,11 +4,13 @@
     class, and its smallest id stands for it from here on, so thousands of copies cost one row a band.
 2.  128 MinHash samples of a set give band keys of four samples each, and, folded into a parity bitmap
     of 512 bits, an odd sketch. The XOR of two sketches keeps the samples in which two sets differ, so
-    its population count tells high similarities precisely.
+    its population count tells high similarities precisely. The whole set is folded into a second
+    bitmap; there the count never exceeds the size of the symmetric difference, so it refuses pairs
+    that can't reach the threshold and never one that does.
 3.  In each bucket the smallest and the largest id are compared with all members: that is linear, and
-    all there is in buckets of up to three. Pairs whose sketches are close enough are confirmed on full sets.
+    all there is in buckets of up to three. Pairs that pass both bitmaps are confirmed on full sets.
 4.  Larger buckets that still hold several components are searched further: members outside a bucket's
-    most frequent component against the members of other components, on sketches inside the join, so
+    most frequent component against the members of other components, on bitmaps inside the join, so
     that only close pairs leave it. Nothing is capped or sampled; in a large group of near copies most
     members are linked in step 3 and drop out here.
 5.  Components of the confirmed links by alternating large-star and small-star steps.
@@ -39,6 +41,8 @@ SAMPLES = 128
 BAND_ROWS = 4
 MISS = 1e-7
 SKETCH_BITS = 512
+#: Bits of the bitmap of a whole set.
+SET_BITS = 2048
 #: Standard deviations of the sketch's estimate that a pair may lie below the threshold and still be confirmed.
 SLACK_SIGMAS = 5.0
 #: Ids up to which the list of candidates is broadcast to the texts; beyond it both sides are shuffled.
@@ -118,6 +122,12 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Parities of how many of all shingles fall on each bit."""
+    at = (shingles & np.uint64(SET_BITS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=SET_BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def band_keys(samples: np.ndarray, bands: int) -> np.ndarray:
     rows = samples[: bands * BAND_ROWS].astype(np.uint64).reshape(bands, BAND_ROWS)
     key = np.arange(1, bands + 1, dtype=np.uint64)
@@ -127,31 +137,33 @@ def band_keys(samples: np.ndarray, bands: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, c1 and c2 (which name the class of the set), bands, sketch."""
+    """doc_id, n_shingles, c1 and c2 (which name the class of the set), bands, sketch, parity."""
     bands = bands_for(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            n, classes, keys, sketches = [], [], [], []
+            n, classes, keys, sketches, whole = [], [], [], [], []
             for s in shingle_sets([t or "" for t in batch.column(1).to_pylist()], k):
                 n.append(len(s))
                 if not len(s):
                     classes.append((0, 0))
                     keys.append(None)
                     sketches.append(None)
+                    whole.append(None)
                     continue
                 classes.append(tuple(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist()))
                 samples = minhash(s)
                 keys.append(band_keys(samples, bands))
                 sketches.append(odd_sketch(samples))
+                whole.append(parities(s))
             yield pa.record_batch(
-                [batch.column(0), pa.array(n, pa.int64()), *(pa.array([c[i] for c in classes], pa.int64()) for i in (0, 1)), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "c1", "c2", "bands", "sketch"],
+                [batch.column(0), pa.array(n, pa.int64()), *(pa.array([c[i] for c in classes], pa.int64()) for i in (0, 1)), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())), pa.array(whole, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "c1", "c2", "bands", "sketch", "parity"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>, sketch array<long>, parity array<long>")
 
 
 def odd_bits(a: Column, b: Column) -> Column:
@@ -159,6 +171,22 @@ def odd_bits(a: Column, b: Column) -> Column:
     return reduce(lambda x, y: x + y, (F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SKETCH_BITS // 64)))
 
 
+def all_odd_bits(a: Column, b: Column) -> Column:
+    """As ``odd_bits`` for long bitmaps; few pairs get here, and a join's compiled condition stays small."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+
+
+def close(a: str, b: str, percent: int) -> Column:
+    """Whether sketches a (struct of n, sketch, parity) and b let a pair reach the threshold."""
+    of = lambda x, field: F.col(f"{x}.{field}")
+    most = (of(a, "n") + of(b, "n")) * (100 - percent)
+    return (
+        (F.abs(of(a, "n") - of(b, "n")) * (100 + percent) <= most)
+        & (odd_bits(of(a, "sketch"), of(b, "sketch")) <= most_odd_bits(percent))
+        & (all_odd_bits(of(a, "parity"), of(b, "parity")) * (100 + percent) <= most)
+    )
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those pairs (a, b) whose full sets reach the threshold, with the size of their intersection."""
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
@@ -209,17 +237,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     real = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     stands = cut(real.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")))
     classed = real.join(stands, ["c1", "c2"])
-    first = cut(classed.where("doc_id = rep").select("rep", "bands", "sketch"))
+    first = cut(classed.where("doc_id = rep").select("rep", "bands", F.struct(F.col("n_shingles").alias("n"), "sketch", "parity").alias("maps")))
 
     rows = first.select(F.explode("bands").alias("key"), "rep")
     hubs = cut(rows.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n")).where("lo <> hi"))
     met = cut(rows.join(hubs, "key"))
     stars = met.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("rep").alias("b")), F.struct(F.col("rep").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.a", "p.b").where("a <> b").distinct()
-    sketches = first.select("rep", "sketch")
+    sketches = first.select("rep", "maps")
     near = cut(
-        stars.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("x")), "a")
-        .join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("y")), "b")
-        .where(odd_bits(F.col("x"), F.col("y")) <= most_odd_bits(percent))
+        stars.join(sketches.select(F.col("rep").alias("a"), F.col("maps").alias("x")), "a")
+        .join(sketches.select(F.col("rep").alias("b"), F.col("maps").alias("y")), "b")
+        .where(close("x", "y", percent))
         .select("a", "b")
         .distinct()
     )
@@ -252,10 +280,10 @@ def _across(rows: DataFrame, labels: DataFrame, sketches: DataFrame, percent: in
         .agg(F.count("*").alias("labels"), F.max_by("label", "n").alias("main")).where("labels > 1").select("key", "main")
     )
     held = told.join(cut(open_keys), "key").join(sketches, "rep")
-    left = held.where("label <> main").select("key", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("sketch").alias("x"))
-    right = held.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("sketch").alias("y"), (F.col("label") == F.col("main")).alias("is_main"))
-    close = left.join(right, "key").where((F.col("la") != F.col("lb")) & (F.col("is_main") | (F.col("a") < F.col("b"))) & (odd_bits(F.col("x"), F.col("y")) <= most_odd_bits(percent)))
-    return close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = held.where("label <> main").select("key", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("maps").alias("x"))
+    right = held.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("maps").alias("y"), (F.col("label") == F.col("main")).alias("is_main"))
+    met = left.join(right, "key").where((F.col("la") != F.col("lb")) & (F.col("is_main") | (F.col("a") < F.col("b"))) & close("x", "y", percent))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
