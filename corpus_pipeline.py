@@ -1,13 +1,70 @@
-"""The corpus pipeline: language ID, quality rules, near-dedup, PII and packing, in this order."""
+"""The corpus pipeline: language ID, quality rules, near-dedup, PII and packing, in this order.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+``docs``. A stage works on all that its predecessor kept.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from maskwright.llm import langid, neardup, packing, pii, quality
+from maskwright.llm._shared import cut, documents
+
+#: Predictions below this are no language for sure; a guess among four has 0.25.
+LEAST_SCORE = 0.3
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without letters and those that look like none of the learned languages."""
+    model = langid.train(docs, ~langid.held_out())
+    seen = langid.predict(docs, model)
+    return seen.where((F.col("lang_pred") != langid.UNDEFINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def line_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that fail, and removes failed lines from those that stay."""
+    return _counted(quality.clean(docs, replace_text=True))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: five-word shingles, similarity of 0.8 or more."""
+    return neardup.deduplicate(docs, k=5, percent=80)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by marks."""
+    return _counted(pii.redact(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences, with their ids."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+STAGES = [
+    ("language", language),
+    ("line_quality", line_quality),
+    ("near_dedup", near_dedup),
+    ("personal_data", personal_data),
+    ("pack", pack),
+]
+
+#: Trained models, hashes and tokenizers are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``. What a stage reads several times is cut before it."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES:
+        if name in ("near_dedup", "personal_data"):
+            docs = cut(docs)
         docs = stage(spark, docs, sf_dir)
     return docs

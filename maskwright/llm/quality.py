@@ -164,7 +164,7 @@ def clean(docs: DataFrame, text_col: str = "text", replace_text: bool = False) -
     """The documents that pass, with their columns; with ``replace_text`` without their failed lines."""
     out = measure(docs, text_col).where(F.col("quality.kept"))
     if replace_text:
-        out = out.withColumn(text_col, without_failed_lines(F.col(text_col)))
+        out = out.withColumn(text_col, F.when(F.col("quality.lost_chars") > 0, without_failed_lines(F.col(text_col))).otherwise(F.col(text_col)))
     return out.select(*docs.columns)
 
 
