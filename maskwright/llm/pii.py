@@ -296,9 +296,10 @@ def op3_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = find(documents(spark, sf_dir))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
         "doc_id",
-        *(F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS),
+        *(count(k).alias(f"n_{k}") for k in BASE_KINDS),
         F.sha2(joined(F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
