@@ -1,5 +1,19 @@
 """The queries of the de-identification engine and their SQL."""
 
-QUERIES: dict = {}
+from __future__ import annotations
 
-ORACLE_SQL: dict = {}
+from . import queries as q
+from .oracles import ORACLE_SQL
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        q.mask_stats_by_type, q.mapping_values, q.mask_totals, q.restore_roundtrip, q.restore_by_join, q.luhn_values, q.html_text, q.flatten_props,
+        q.id_checksum, q.credit_checksum, q.structured_rules, q.structured_types, q.all_dates, q.person_placeholders, q.entity_table,
+        q.role_conflicts, q.company_links, q.slash_accounts, q.preprocessed, q.scan_findings, q.scan_documents, q.review_residues,
+        q.review_tiers, q.surviving_originals, q.eval_scores, q.eval_macro, q.column_kinds, q.cells_masked, q.cell_offsets, q.resume_pending,
+        q.fingerprint_changed, q.batch_report, q.reply_check, q.stage_merge, q.drift_restore, q.mapping_markdown, q.redaction_boxes, q.output_names,
+    )
+}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
