@@ -18,7 +18,7 @@ FAMILIES = (
     ("公司/机构简称残留", rf"(?<![{HAN}A-Za-z0-9\]])[{HAN}]{{2,8}}(?:公司|事务所|集团|商行|经营部|服务部|商店|店|商铺|超市|宾馆|饭店)"),
     ("地址残留", rf"[{HAN}]{{1,3}}(?:省|自治区)[{HAN} ]{{1,12}}(?:市)[{HAN} ]{{1,12}}(?:区|县|市|镇)[{HAN}\d\- ]{{3,30}}(?:号|室|层)|[{HAN}]{{2,10}}(?:路|街|大道|巷)[{HAN}\d\-]{{1,10}}(?:号|栋|弄)"),
     ("项目名称残留", rf"[{HAN}]{{2,6}}(?:项目|小区|大厦|花园|公寓|家园|新村|广场|商城)"),
-    ("金额残留", r"\d[\d,，.]{3,}[ \t]*[万千亿]?[ \t]*(?:元|美元|欧元)|(?<!\d)(?!(?:19|20)\d{6})\d{7,}(?:\.\d{1,3})?(?!\d)"),
+    ("金额残留", r"(?<!\d)(?<!\d[,，.])\d[\d,，.]{3,}[ \t]*[万千亿]?[ \t]*(?:元|美元|欧元)|(?<!\d)(?!(?:19|20)\d{6})\d{7,}(?:\.\d{1,3})?(?!\d)"),
     ("案号", rf"[（(]\d{{4}}[）)]\s*[{HAN}]{{1,12}}\s*\d{{1,8}}\s*号"),
     ("身份证号/手机号/银行账号", r"(?<!\d)(?:1[3-9]\d{9}|\d{17}[\dXx]|\d{14,20})(?!\d)"),
     ("提示注入模式", r"(?:忽略|无视|忘记)(?:之前|以上|上面|此前|所有|之前所有)?(?:的)?(?:要求|指令|指示|提示|消息|对话)|输出(?:你的|一下|所有)?(?:系统)?(?:提示词|指令|prompt|系统提示)|(?:system|prompt|指令)(?:泄露|显示|leak|reveal)|现在你是(?:一个)?(?:没有|不受|无需).{0,6}(?:限制|规则)的"),

@@ -1,6 +1,8 @@
 """The catalogue of masking rules, as data, in the order in which they run.
 
-Order is part of the semantics: what an earlier rule has taken a later one doesn't see.
+Order is part of the semantics: what an earlier rule has taken a later one doesn't see. Patterns that
+begin with an unbounded run say where a run may be entered (at its start, or where the last match
+ended), which changes no match but keeps endless runs linear.
 """
 
 from __future__ import annotations
@@ -69,7 +71,7 @@ BEFORE_NAMES: tuple[Rule, ...] = (
     *(Rule(kind, rf"((?:{labels}){_COLON})({form})", label_first=True) for kind, labels, form in _CERTIFICATES),
     Rule("身份证号", rf"((?:身份证号|身份证号码|身份证|证件号码|证件号){_COLON})(\d{{15,17}}[\dXx]?)", label_first=True),
     Rule("身份证号", r"(?<!\d)\d{17}[\dXx](?!\d)", gate="id", reuse=True),
-    Rule("邮箱", r"[A-Za-z0-9.+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+", reuse=True),
+    Rule("邮箱", r"(?:(?<![A-Za-z0-9.+-])|\G)[A-Za-z0-9.+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+", reuse=True),
     Rule("手机号", r"(?<!\d)1[3-9]\d{9}(?!\d)", reuse=True),
     Rule("固定电话", r"(?<!\d)0\d{2,3}[-\s]?\d{7,8}(?!\d)", reuse=True),
     Rule("固定电话", r"(?<!\d)[48]00[-\s]?\d{3}[-\s]?\d{4}(?!\d)", "[服务电话]", reuse=True),
@@ -81,7 +83,7 @@ BEFORE_NAMES: tuple[Rule, ...] = (
     Rule("银行账号", r"(?<!\d)\d{14,20}(?!\d)", reuse=True),
     Rule("银行账号", rf"((?:银行账号|开户账号|账户号码|银行卡号|收款账号|付款账号|卡号){_COLON})([0-9]{{12,24}})", label_first=True),
     Rule("统一社会信用代码", r"(?<![0-9A-Z])9[0-9A-Z]{17}(?![0-9A-Z])", reuse=True),
-    Rule("案号", rf"[（(]?[ \t]*\d{{4}}[ \t]*[）)]?[ \t]*(?![年月日])[{HAN}]{{1,10}}[ \t]*\d{{0,6}}[ \t]*[{HAN}]{{0,6}}[ \t]*\d{{1,6}}[ \t]*号", reuse=True),
+    Rule("案号", rf"(?:(?<![ \t])|\G)[（(]?[ \t]*\d{{4}}[ \t]*[）)]?[ \t]*(?![年月日])[{HAN}]{{1,10}}[ \t]*\d{{0,6}}[ \t]*[{HAN}]{{0,6}}[ \t]*\d{{1,6}}[ \t]*号", reuse=True),
     Rule("地块编号", rf"[{HAN}]{{1,4}}储出[ \t]*[（(][ \t]*\d{{4}}[ \t]*[）)][ \t]*\d+[ \t]*号?[ \t]*地块?", reuse=True),
     Rule("车牌号", rf"(?<![A-Za-z0-9])[{HAN}][A-Z][A-Z0-9]{{5,6}}(?![\dA-Za-z])", reuse=True),
     Rule("出生日期", rf"((?:出生日期|出生年月|生日|出生于|生于){_COLON})({_DATE})", label_first=True, part="birth"),
@@ -97,7 +99,7 @@ AFTER_NAMES: tuple[Rule, ...] = (
     Rule("地址", ADDRESSES[0], label_first=True),
     *(Rule("地址", p) for p in ADDRESSES[1:]),
     Rule("金额", rf"(?<![\d{_CAPITALS}])(?:人民币|美金|港币)?[{_CAPITALS}](?:[{_CAPITALS}]|佰|仟|万|亿|元|圆|整)[{_CAPITALS}佰仟万亿元整]*(?:元|圆)?(?:整)?", reuse=True, part="amount"),
-    Rule("金额", r"[$¥]?(?:\d{1,3}(?:,\d{3})*|\d+)(?:\.\d{1,2})?[ \t]*[万千亿]?[ \t]*(?:元|美元|欧元|英镑|港币)[ \t]*整?(?![.\d万千亿])", reuse=True, part="amount"),
+    Rule("金额", r"(?:(?<!\d)|(?=\d{1,3},))[$¥]?(?:\d{1,3}(?:,\d{3})*|\d+)(?:\.\d{1,2})?[ \t]*[万千亿]?[ \t]*(?:元|美元|欧元|英镑|港币)[ \t]*整?(?![.\d万千亿])", reuse=True, part="amount"),
     Rule("金额", r"(?<!\d)\d+(?:\.\d+)?[万千亿](?![.\d万千亿])(?!像素|股|人|户|平方米|平米|瓦|公里|粉丝|预算|年薪|月薪|彩礼)", reuse=True, part="amount"),
     Rule("金额", r"(?<!\d)(?!(?:19|20)\d{6})\d{7,}(?:\.\d{1,3})?(?!\d)", reuse=True, part="amount"),
 )
