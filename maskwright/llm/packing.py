@@ -37,8 +37,9 @@ END_ID = 2
 POOL, POOL_LEFT = 2048, 512
 #: Free ids of a sequence that are padded rather than filled by a cut.
 SLACK = 8
-WORD_ENTRIES = 400_000
+WORD_ENTRIES = 250_000
 WORD_CHARS = 64
+_KEPT = "\x1c\x1d\x1e\x1f"
 _WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
 
@@ -76,7 +77,9 @@ class WordTable:
         return array("I", [t.id for t in self.model.tokenize(head.lower().translate(self.letters))]).tobytes() + tail
 
     def ids(self, text: str) -> bytes:
-        words = _WORD.findall(text)
+        # str.split() also splits at four control characters that the tokenizer keeps, and at other
+        # white space that the tokenizer drops as well
+        words = _WORD.findall(text) if any(c in text for c in _KEPT) else text.split()
         young = self.young
         try:
             return b"".join(map(young.__getitem__, words))
