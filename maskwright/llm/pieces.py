@@ -5,7 +5,8 @@ piece crosses the place before a marker or a line break. A text is cut there; ea
 segmented by the library once and kept in a table; the chunks' ids are joined back in the order of
 their positions. The table is per Python worker, not per cluster: words by position would be a
 shuffle many times the size of the texts, and a worker meets most of its words again anyway. It
-holds a bounded number of chunks and starts anew beyond that, so its memory is bounded too.
+has two generations of bounded size: when the young one is full it becomes the old one, and chunks
+met again move to the young one, so frequent ones stay and memory is bounded.
 
 The method is right only for models of this kind, so ``ChunkTable`` checks the model's vocabulary and
 normalisation first and refuses others.
@@ -25,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 MARK = "▁"
-#: Distinct chunks that a worker keeps at most; a longer chunk than this isn't kept.
-TABLE_ENTRIES = 400_000
+#: Distinct chunks that a generation of a worker's table holds; a longer chunk than this isn't kept.
+TABLE_ENTRIES = 300_000
 TABLE_CHUNK_CHARS = 64
 _CHUNK = re.compile(r"[ \n]+[^ \n]*")
 
@@ -51,8 +52,12 @@ class ChunkTable:
         self.processor = sentencepiece.SentencePieceProcessor(model_file=model_path)
         check_model(self.processor)
         self.mark_id = self.processor.piece_to_id(MARK)
-        self.ids: dict[str, str] = {}
-        self.texts: dict[str, str] = {}
+        size = range(self.processor.vocab_size())
+        self.decimal = [str(i) for i in size]
+        self.bytes = {i: int(self.processor.id_to_piece(i)[3:5], 16) for i in size if self.processor.is_byte(i)}
+        self.surface = ["" if i in self.bytes else self.processor.id_to_piece(i).replace(MARK, " ") for i in size]
+        self.young: dict[str, tuple[str, str]] = {}
+        self.old: dict[str, tuple[str, str]] = {}
 
     def _segment(self, chunks: list[str]) -> None:
         """The library adds a marker before each text; a chunk that begins with a space has that one already."""
@@ -61,42 +66,45 @@ class ChunkTable:
                 ids = [self.mark_id]
             elif chunk[0] == "\n":
                 ids = ids[1:]
-            text = "".join(self._surface(ids))
-            self.ids[chunk] = ",".join(map(str, ids))
-            self.texts[chunk] = chunk if text == chunk else text
-
-    def _surface(self, ids: list[int]) -> Iterator[str]:
-        run = bytearray()
+            text = self.decode(ids)
+            self.young[chunk] = ",".join([self.decimal[i] for i in ids]), chunk if text == chunk else text
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids, with the marker that the library adds to a text still at its beginning."""
+        if self.bytes.keys().isdisjoint(ids):
+            return "".join([self.surface[i] for i in ids])
+        out, run = [], bytearray()
         for i in ids:
-            if self.processor.is_byte(i):
-                run.append(int(self.processor.id_to_piece(i)[3:5], 16))
+            if i in self.bytes:
+                run.append(self.bytes[i])
                 continue
             if run:
-                yield run.decode("utf-8", "replace")
+                out.append(run.decode("utf-8", "replace"))
                 run.clear()
-            yield self.processor.id_to_piece(i).replace(MARK, " ")
-        yield run.decode("utf-8", "replace")
+            out.append(self.surface[i])
+        out.append(run.decode("utf-8", "replace"))
+        return "".join(out)
 
-    def look_up(self, texts: list[str]) -> Iterator[list[str]]:
-        """The chunks of each text, with all of them in the table while the caller looks at them."""
+    def run(self, texts: list[str]) -> Iterator[tuple[str, str]]:
+        """Decimal ids joined by commas, and decoded text."""
         for text in texts:
             chunks = _CHUNK.findall(" " + text.replace(MARK, " ")) if text else []
-            if missing := [c for c in dict.fromkeys(chunks) if c not in self.ids]:
-                self._segment(missing)
-            yield chunks
+            if missing := [c for c in dict.fromkeys(chunks) if c not in self.young]:
+                fresh = []
+                for c in missing:
+                    if c in self.old:
+                        self.young[c] = self.old[c]
+                    else:
+                        fresh.append(c)
+                if fresh:
+                    self._segment(fresh)
+            found = [*map(self.young.__getitem__, chunks)]
+            yield ",".join([ids for ids, _ in found]), "".join([part for _, part in found])[1:]
             for c in missing:
                 if len(c) > TABLE_CHUNK_CHARS:
-                    self.ids.pop(c, None)
-                    self.texts.pop(c, None)
-            if len(self.ids) > TABLE_ENTRIES:
-                self.ids.clear()
-                self.texts.clear()
-
-    def run(self, texts: list[str]) -> Iterator[tuple[str, str]]:
-        """Decimal ids joined by commas, and decoded text."""
-        ids, decoded = self.ids.__getitem__, self.texts.__getitem__
-        for chunks in self.look_up(texts):
-            yield ",".join(map(ids, chunks)), "".join(map(decoded, chunks))[1:]
+                    del self.young[c]
+            if len(self.young) > TABLE_ENTRIES:
+                self.young, self.old = {}, self.young
 
 
 _TABLES: dict[str, ChunkTable] = {}
@@ -128,7 +136,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = table(model_path)
         for batch in batches:
-            texts = ["".join(own._surface(ids))[1:] if ids else "" for ids in batch.column(1).to_pylist()]
+            texts = [own.decode(ids)[1:] for ids in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
