@@ -48,7 +48,9 @@ SLACK_SIGMAS = 5.0
 #: Ids up to which the list of candidates is broadcast to the texts; beyond it both sides are shuffled.
 BROADCAST_IDS = 1_000_000
 #: Characters of text that are hashed at a time.
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 1_000_000
+#: Rows of a batch that are turned into Python strings at a time.
+SLICE_ROWS = 256
 
 _SEEDS = np.random.default_rng(20240607)
 _A = (_SEEDS.integers(0, 2**32, SAMPLES, np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
@@ -76,7 +78,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[str], k: int) -> Iterator[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text; A-Z are lower-cased, words end at ASCII white space."""
-    import pandas as pd
+    import xxhash
 
     start = 0
     while start < len(texts):
@@ -90,7 +92,7 @@ def shingle_sets(texts: list[str], k: int) -> Iterator[np.ndarray]:
         words = np.asarray(pc.greater(pc.binary_length(flat), 0))
         counts = np.concatenate([[0], np.cumsum(words)])[bounds]
         coded = flat.dictionary_encode()
-        hashes = pd.util.hash_array(np.asarray(coded.dictionary.to_numpy(zero_copy_only=False), object), categorize=False).astype(np.uint64)
+        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
         word = hashes[np.asarray(coded.indices)[words]] if len(hashes) else np.zeros(0, np.uint64)
         rolled = np.full(max(0, len(word) - k + 1), k, np.uint64)
         for j in range(k):
@@ -136,6 +138,12 @@ def band_keys(samples: np.ndarray, bands: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, c1 and c2 (which name the class of the set), bands, sketch, parity."""
     bands = bands_for(percent)
@@ -143,7 +151,7 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
+        for batch in sliced(batches):
             n, classes, keys, sketches, whole = [], [], [], [], []
             for s in shingle_sets([t or "" for t in batch.column(1).to_pylist()], k):
                 n.append(len(s))
@@ -194,7 +202,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [s.view(np.int64) for s in shingle_sets([t or "" for t in batch.column(1).to_pylist()], k)]
             yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "s"])
 
