@@ -137,14 +137,13 @@ def ratio(value: Column, table: tuple[float, ...]) -> Column:
     """Mean log-likelihood ratio a pair of neighbouring characters."""
     size = len(ALPHABET)
     ratios = F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast("array<double>")
-    return F.aggregate(
-        F.transform(
-            F.sequence(F.lit(1), F.length(value) - 1),
-            lambda i: F.get(ratios, (F.instr(F.lit(ALPHABET), F.substring(value, i, F.lit(1))) - 1) * size + F.instr(F.lit(ALPHABET), F.substring(value, i + 1, F.lit(1))) - 1),
-        ),
-        F.lit(0.0),
-        lambda acc, x: acc + F.coalesce(x, F.lit(0.0)),
-    ) / (F.length(value) - 1)
+    place = lambda c: F.instr(F.lit(ALPHABET), c) - 1
+
+    def total(codes: Column) -> Column:
+        pairs = F.transform(codes, lambda c, i: F.coalesce(F.get(ratios, c * size + F.get(codes, i + 1)), F.lit(0.0)))
+        return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
+
+    return let(F.transform(F.split(value, ""), place), total) / (F.length(value) - 1)
 
 
 def scan(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, table: tuple[float, ...] | None = None) -> DataFrame:

@@ -92,7 +92,8 @@ def rebalance(slot_map: SlotMap, loads: list[tuple[int, int]], n_shards: int | N
     """The next version of the map, for new loads or a larger number of shards.
 
     Slots move from the fullest shard to the emptiest while that narrows the gap between them and
-    the fullest is over the mean by more than ``slack``; all others keep their shard.
+    either is off the mean by more than ``slack``; all others keep their shard. New shards are the only
+    ones that take slots when the number grows.
     """
     n_shards = n_shards or slot_map.n_shards
     if n_shards < slot_map.n_shards:
@@ -104,13 +105,14 @@ def rebalance(slot_map: SlotMap, loads: list[tuple[int, int]], n_shards: int | N
     for h in held:
         h.sort(key=lambda s: (loads[s][0], s))
     mean, moved, shard_of = sum(totals) / n_shards, [], list(slot_map.shard_of)
+    targets = range(slot_map.n_shards, n_shards) or range(n_shards)
     for _ in range(len(loads)):
-        top, low = max(range(n_shards), key=totals.__getitem__), min(range(n_shards), key=totals.__getitem__)
+        top, low = max(range(n_shards), key=totals.__getitem__), min(targets, key=totals.__getitem__)
         gap = totals[top] - totals[low]
         fits = [s for s in held[top] if 0 < loads[s][0] < gap]
-        if totals[top] <= mean * (1 + slack) or not fits:
+        if (totals[top] <= mean * (1 + slack) and totals[low] >= mean * (1 - slack)) or not fits:
             break
-        slot = min(fits, key=lambda s: (abs(loads[s][0] - min(gap / 2, totals[top] - mean)), s))
+        slot = min(fits, key=lambda s: (abs(loads[s][0] - gap / 2), s))
         held[top].remove(slot)
         held[low].append(slot)
         totals[top] -= loads[slot][0]
