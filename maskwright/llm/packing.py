@@ -37,7 +37,7 @@ END_ID = 2
 POOL, POOL_LEFT = 2048, 512
 #: Free ids of a sequence that are padded rather than filled by a cut.
 SLACK = 8
-WORD_ENTRIES = 250_000
+WORD_ENTRIES = 350_000
 WORD_CHARS = 64
 _KEPT = "\x1c\x1d\x1e\x1f"
 _WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -72,21 +72,22 @@ class WordTable:
         pre-token that normalisation only lower-cases, so the model can be asked directly."""
         tail = self.marks.get(word[-1], b"")
         head = word[:-1] if tail else word
-        if not head.isalpha() or max(head) > "\u012f":
+        if not head.isalpha() or not (head.isascii() or max(head) <= "\u012f"):
             return None
-        return array("I", [t.id for t in self.model.tokenize(head.lower().translate(self.letters))]).tobytes() + tail
+        head = head.lower()
+        known = self.young.get(head)
+        if known is None:
+            letters = head if head.isascii() else head.translate(self.letters)
+            known = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        return known + tail
 
     def ids(self, text: str) -> bytes:
         # str.split() also splits at four control characters that the tokenizer keeps, and at other
         # white space that the tokenizer drops as well
         words = _WORD.findall(text) if any(c in text for c in _KEPT) else text.split()
         young = self.young
-        try:
-            return b"".join(map(young.__getitem__, words))
-        except KeyError:
-            pass
         rest = []
-        missing = [w for w in dict.fromkeys(words) if w not in young]
+        missing = set(words).difference(young)
         for w in missing:
             ids = self.old.get(w) or self._plain(w)
             if ids is None:
