@@ -131,4 +131,17 @@ ORACLE_SQL = {
     "mapping_markdown": f"SELECT k, '总额 ' || k || ' 元' AS original, '[金额]' AS replacement, 1 AS n FROM (SELECT {_K})",
     "redaction_boxes": f"SELECT k AS doc_id, '手机 ' || {_MOBILE} AS text FROM (SELECT {_K}) UNION ALL SELECT k, substr({_MOBILE}, 1, 5) || ' ' || substr({_MOBILE}, 6) FROM (SELECT {_K})",
     "output_names": f"SELECT k AS doc_id, '起诉状_' || k || CASE WHEN k % 2 = 0 THEN '.txt' ELSE '.docx' END AS output FROM (SELECT {_K})",
+    "synthetic_recall": f"""WITH c AS (SELECT {_K}), t AS (SELECT unnest([['人名', '身份证号', '手机号'], ['公司名', '统一社会信用代码', '金额'], ['案号', '车牌号', '邮箱'], ['银行账号', '地址', '出生日期']][CAST(k % 4 + 1 AS INTEGER)]) AS type FROM c)
+      SELECT coalesce(type, 'MICRO') AS type, count(*) AS tp, 0 AS fp, 0 AS fn, 1.0 AS recall FROM t GROUP BY ROLLUP (type)""",
+    "synthetic_valid": f"SELECT k, true AS id, true AS credit, true AS card FROM (SELECT {_K})",
+    "bio_labels": f"SELECT k AS id, true AS whole, 3 AS begun FROM (SELECT {_K})",
+    "user_rule_pass": f"SELECT k, '[审理法院]受理，尾款[金额]，由[审理法院]执行' AS masked2, '海淀法院|' || k || '元|海淀法院' AS originals FROM (SELECT {_K})",
+    "reply_final": f"SELECT k, CASE WHEN k % 3 = 0 THEN '尾款[金额]，见[法院]' ELSE '尾款[金额]，见海淀法院' END AS final, ['', 'placeholders', 'form'][CAST(k % 3 + 1 AS INTEGER)] AS faults FROM (SELECT {_K})",
+    "audit_counts": _DOC_VALUES + "SELECT d.doc_id, count(original) AS replaced, 0 AS network_calls FROM documents d LEFT JOIN v USING (doc_id) GROUP BY d.doc_id",
+    "shared_people": f"""WITH c AS (SELECT {_K}), m AS (SELECT k, 0 AS pos, {_person()} AS name, 'plaintiff' AS role FROM c UNION ALL SELECT k, 1, {_person('k + 37')} || '明', 'defendant' FROM c
+        UNION ALL SELECT k, 2, '孙宝玉', '交易对手' FROM c),
+      p AS (SELECT name, min(k * 4 + pos) AS first, arg_min(role, k * 4 + pos) AS role, count(DISTINCT k) AS documents FROM m GROUP BY name)
+      SELECT name, row_number() OVER (ORDER BY first) AS number, role, documents FROM p""",
+    "recognised": f"SELECT k AS doc_id, '由[审理法院]审理，被告住在[地址]' AS masked FROM (SELECT {_K})",
+    "retyped_cells": f"SELECT k, CAST(k AS DOUBLE) AS amount, CAST(-1 AS DOUBLE) AS account FROM (SELECT {_K})",
 }

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .functions import checks
 from .functions.text import html_to_text, preprocess
-from .operators import batching, boxes, evaluation, masking, restore, review, scanning, tables
+from .functions import synthetic
+from .operators import batching, boxes, evaluation, masking, recognisers, restore, review, scanning, second_pass, shared, tables
 from .operators.masking import Options
 from .sources import convert, readers
 
@@ -334,3 +335,72 @@ def redaction_boxes(spark, sf):
 def output_names(spark, sf):
     rows = _people(spark, sf).select(F.col("k").alias("doc_id"), F.when(F.col("k") % 2 == 0, "起诉状.pdf").otherwise("起诉状.docx").alias("masked_name"))
     return batching.safe_names(rows).select("doc_id", "output")
+
+
+def _synthetic(spark, sf) -> DataFrame:
+    return _spread(synthetic.labelled_cases(_people(spark, sf).withColumnRenamed("k", "id")))
+
+
+def synthetic_recall(spark, sf):
+    """Scores of masking on made-up sentences whose values are known."""
+    cases = masking.mask(_synthetic(spark, sf)).withColumn("expect_kept", F.array().cast(readers.CASE_ITEM)).withColumn("expect_absent", F.array().cast("array<string>"))
+    return evaluation.scores(evaluation.run_cases(cases)).select("type", "tp", "fp", "fn", "recall")
+
+
+def synthetic_valid(spark, sf):
+    """Made-up numbers carry check digits that hold."""
+    k = F.col("k")
+    return _people(spark, sf).select("k", checks.valid_id(synthetic.id_number(k)).alias("id"), checks.valid_credit_code(synthetic.credit_code(k)).alias("credit"), checks.valid_card(synthetic.card(k)).alias("card"))
+
+
+def bio_labels(spark, sf):
+    """Tokens and spans that begin, by template."""
+    rows = synthetic.bio(_synthetic(spark, sf))
+    begun = F.size(F.filter("bio_labels", lambda b: F.substring(b, 1, 2) == "B-"))
+    return rows.select("id", (F.size("tokens") == F.length("text")).alias("whole"), begun.cast("long").alias("begun"))
+
+
+def user_rule_pass(spark, sf):
+    """A second masking by a user's rules, with one mapping for both."""
+    k = F.col("k")
+    text = F.concat(F.lit("海淀法院受理，尾款"), k.cast("string"), F.lit("元，由海淀法院执行"))
+    first = masking.mask(_people(spark, sf).select("k", text.alias("text")))
+    second = second_pass.user_rules(first, [("法院", "海淀法院", "[审理法院]"), ("金额", r"\d+元", "[金额二]")])
+    return second.select("k", "masked2", F.array_join(F.transform("merged", lambda m: m["original"]), "|").alias("originals"))
+
+
+def reply_final(spark, sf):
+    """Replies that drift are refused, and the masked text stays."""
+    k = F.col("k")
+    text = F.concat(F.lit("尾款"), k.cast("string"), F.lit("元，见海淀法院"))
+    masked = masking.mask(_people(spark, sf).select("k", text.alias("text")))
+    good = F.lit('### 脱敏后文本\n尾款[金额]，见[法院]\n### 补充映射表\n[{"original":"海淀法院","replacement":"[法院]","type":"法院"}]')
+    reply = F.when(k % 3 == 0, good).when(k % 3 == 1, F.replace(good, F.lit("[金额]"), F.lit("一笔"))).otherwise(F.lit("no"))
+    return second_pass.accept_replies(masked.withColumn("reply", reply)).select("k", "final", F.array_join("faults", ",").alias("faults"))
+
+
+def audit_counts(spark, sf):
+    """What the audit records say, read back."""
+    rows = second_pass.audit(_masked_documents(spark, sf))
+    got = F.from_json("audit", "replaced long, network_calls long, output_sha256 string")
+    return rows.select("doc_id", got["replaced"].alias("replaced"), got["network_calls"].alias("network_calls"))
+
+
+def shared_people(spark, sf):
+    """One identity for each name over all documents."""
+    rows = masking.mask(_disputes(spark, sf).withColumnRenamed("k", "doc_id"))
+    return shared.people(rows).select("name", "number", "role", "documents")
+
+
+def recognised(spark, sf):
+    """A plug-in's entities in a text, masked."""
+    text = F.concat(F.lit("由海淀区法院审理，被告住在长安街"), F.col("k").cast("string"), F.lit("号"))
+    rows = _people(spark, sf).select(F.col("k").alias("doc_id"), text.alias("text"))
+    factory = recognisers.pattern_recogniser({"COURT": "海淀区法院", "ADDRESS": r"长安街\d+号"}, 0.9)
+    return recognisers.mask_entities(recognisers.recognise(rows, factory)).select("doc_id", "masked")
+
+
+def retyped_cells(spark, sf):
+    """Restored cells that are numbers again, identifiers apart."""
+    k = F.col("k")
+    return _people(spark, sf).select("k", second_pass.retyped(k.cast("string"), F.lit("金额")).alias("amount"), F.coalesce(second_pass.retyped(k.cast("string"), F.lit("银行账号")), F.lit(-1.0)).alias("account"))
