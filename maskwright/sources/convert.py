@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import html_to_text
+
 
 def leaf_paths(schema: T.StructType, prefix: str = "") -> list[tuple[str, T.DataType]]:
     """Dotted paths of a nested schema's leaves; arrays and maps are leaves."""
@@ -52,3 +54,14 @@ def markdown_to_html(text):
     out = F.regexp_replace(out, r"\*\*([^*]+)\*\*", "<strong>$1</strong>")
     out = F.regexp_replace(out, r"\[([^\]]+)\]\(((?:https?://|mailto:)[^)\s]+)\)", '<a href="$2">$1</a>')
     return F.regexp_replace(out, r"(?m)^(?!<h[1-6]>)(.+)$", "<p>$1</p>")
+
+
+def html_to_markdown(html):
+    """Headings, bold, items and safe links of a page as Markdown; everything else as text."""
+    out = F.coalesce(html, F.lit(""))
+    for level in range(1, 7):
+        out = F.regexp_replace(out, rf"(?is)<h{level}[^>]*>(.*?)</h{level}>", "\n" + "#" * level + " $1\n\n")
+    out = F.regexp_replace(out, r"(?is)<(?:b|strong)>(.*?)</(?:b|strong)>", "**$1**")
+    out = F.regexp_replace(out, r"(?is)<li[^>]*>(.*?)</li>", "- $1\n")
+    out = F.regexp_replace(out, r'(?is)<a [^>]*href="((?:https?://|mailto:)[^"]*)"[^>]*>(.*?)</a>', "[$2]($1)")
+    return html_to_text(out)

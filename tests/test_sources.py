@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import crypto
 from maskwright.functions.text import html_to_text, leaks, repair_placeholders
-from maskwright.sources import convert, readers
+from maskwright.sources import convert, readers, writers
 from maskwright.streaming import mask_new_files
 
 
@@ -89,3 +89,21 @@ def test_stream_resumes(spark, tmp_path):
     spark.createDataFrame([(2, "a@b.com")], "doc_id long, text string").write.mode("append").parquet(src)
     mask_new_files(spark, src, schema, out, log)
     assert {(r.doc_id, r.masked) for r in spark.read.parquet(out).collect()} == {(1, "[手机号]"), (2, "[邮箱]")}
+
+
+def test_office_files_written_back(spark, tmp_path):
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    doc = _zip({"word/document.xml": f'<w:document xmlns:w="{w}"><w:body><w:p><w:r><w:t>原告</w:t><w:t>张三</w:t></w:r></w:p><w:p><w:r><w:t>完</w:t></w:r></w:p></w:body></w:document>', "word/header1.xml": f'<w:hdr xmlns:w="{w}"><w:p><w:r><w:t>机密</w:t></w:r></w:p></w:hdr>', "docProps/core.xml": "<a/>"})
+    (row,) = writers.refill_docx(spark.createDataFrame([("a", doc, "原告[当事人甲（原告）]\n完")], "path string, content binary, masked string")).collect()
+    z = zipfile.ZipFile(io.BytesIO(bytes(row.content)))
+    assert readers._docx(bytes(row.content)) == "原告[当事人甲（原告）]\n完" and "机密" not in z.read("word/header1.xml").decode() and "docProps/core.xml" not in z.namelist()
+    cells = spark.createDataFrame([("b", 1, 1, "a<b"), ("b", 2, 28, "x")], "path string, row_idx int, col_idx int, masked string")
+    (row,) = writers.xlsx(cells).collect()
+    assert readers._xlsx(bytes(row.content)) == [("Sheet1", 1, 1, "a<b"), ("Sheet1", 2, 28, "x")]
+    writers.private_file(str(tmp_path / "key"), b"k")
+    assert (tmp_path / "key").stat().st_mode & 0o777 == 0o600
+
+
+def test_html_to_markdown(spark):
+    html = '<h2>t</h2><p>a <b>b</b></p><ul><li>x</li></ul><a href="https://e.example">l</a><a href="javascript:1">m</a>'
+    assert spark.range(1).select(convert.html_to_markdown(F.lit(html))).first()[0] == "## t\n\na **b**\n- x\n[l](https://e.example)m"
