@@ -20,8 +20,8 @@ LEAST_SCORE = 0.3
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters and those that look like none of the learned languages."""
     model = langid.train(docs, ~langid.held_out())
-    seen = langid.predict(docs, model)
-    return seen.where((F.col("lang_pred") != langid.UNDEFINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    seen = langid.predict(docs, model, names=("_mw_lang", "_mw_score"))
+    return seen.where((F.col("_mw_lang") != langid.UNDEFINED) & (F.col("_mw_score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def line_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,7 +89,7 @@ class ChunkTable:
         """Decimal ids joined by commas, and decoded text."""
         for text in texts:
             chunks = _CHUNK.findall(" " + text.replace(MARK, " ")) if text else []
-            if missing := [c for c in dict.fromkeys(chunks) if c not in self.young]:
+            if missing := set(chunks).difference(self.young):
                 fresh = []
                 for c in missing:
                     if c in self.old:

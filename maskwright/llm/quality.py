@@ -118,8 +118,8 @@ def without_failed_lines(text: Column) -> Column:
     return F.array_join(F.filter(lines_of(text), lambda x: line_verdict(x) == ""), "\n")
 
 
-def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds a struct ``quality`` with the counts and verdicts."""
+def measure(docs: DataFrame, text_col: str = "text", name: str = "quality") -> DataFrame:
+    """Adds a struct ``name`` with the counts and verdicts; it replaces a column so named."""
     text = F.col(text_col)
     per_row = let(
         lines_of(text),
@@ -141,19 +141,19 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
             repeat_words(words).alias("n_repeat_words"),
         ),
     )
-    out = docs.withColumn("_l", per_row).withColumn("_w", per_word)
-    failed = (F.col("_w.n_words") < MIN_WORDS) | (100 * F.col("_w.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_w.n_words"))
-    lost = 100 * F.col("_l.lost_chars") > MAX_LOST_PERCENT * F.col("_l.line_chars")
+    out = docs.withColumn("_mw_lines", per_row).withColumn("_mw_words", per_word)
+    failed = (F.col("_mw_words.n_words") < MIN_WORDS) | (100 * F.col("_mw_words.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_mw_words.n_words"))
+    lost = 100 * F.col("_mw_lines.lost_chars") > MAX_LOST_PERCENT * F.col("_mw_lines.line_chars")
     return out.withColumn(
-        "quality",
+        name,
         F.struct(
-            F.col("_w.n_words"), F.col("_w.word_chars"),
+            F.col("_mw_words.n_words"), F.col("_mw_words.word_chars"),
             F.coalesce(F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")), F.lit(0)).cast("long").alias("n_symbols"),
-            F.col("_l.n_dup_lines"), F.col("_w.n_repeat_words"), failed.alias("base_failed"),
+            F.col("_mw_lines.n_dup_lines"), F.col("_mw_words.n_repeat_words"), failed.alias("base_failed"),
             (~failed & ~lost).alias("kept"),
-            F.col("_l.line_chars"), F.col("_l.lost_chars"), F.col("_l.reasons"),
+            F.col("_mw_lines.line_chars"), F.col("_mw_lines.lost_chars"), F.col("_mw_lines.reasons"),
         ),
-    ).drop("_l", "_w")
+    ).drop("_mw_lines", "_mw_words")
 
 
 def _chars(judged: Column, keep) -> Column:
@@ -162,9 +162,9 @@ def _chars(judged: Column, keep) -> Column:
 
 def clean(docs: DataFrame, text_col: str = "text", replace_text: bool = False) -> DataFrame:
     """The documents that pass, with their columns; with ``replace_text`` without their failed lines."""
-    out = measure(docs, text_col).where(F.col("quality.kept"))
+    out = measure(docs, text_col, "_mw_quality").where(F.col("_mw_quality.kept"))
     if replace_text:
-        out = out.withColumn(text_col, F.when(F.col("quality.lost_chars") > 0, without_failed_lines(F.col(text_col))).otherwise(F.col(text_col)))
+        out = out.withColumn(text_col, F.when(F.col("_mw_quality.lost_chars") > 0, without_failed_lines(F.col(text_col))).otherwise(F.col(text_col)))
     return out.select(*docs.columns)
 
 

@@ -146,8 +146,8 @@ def ratio(value: Column, table: tuple[float, ...]) -> Column:
     return let(F.transform(F.split(value, ""), place), total) / (F.length(value) - 1)
 
 
-def scan(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, table: tuple[float, ...] | None = None) -> DataFrame:
-    """Adds ``secrets``: array<struct<start, kind_no, kind, end, value>> by start, then kind as listed.
+def scan(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, table: tuple[float, ...] | None = None, name: str = "secrets") -> DataFrame:
+    """Adds ``name``, replacing a column so named: array<struct<start, kind_no, kind, end, value>> by start, then kind as listed.
 
     A span of the models that lies inside a base span or shares text with one is left out, as it is
     found already.
@@ -163,31 +163,31 @@ def scan(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD,
     mixed = F.filter(matches(text, rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z]){CANDIDATE}"), lambda m: ~m["value"].rlike(UUID) & (ratio(m["value"], table) >= threshold))
     out = docs
     for kind, found in spans.items():
-        out = out.withColumn(f"_{kind}", found)
-    base = F.concat(*(F.col(f"_{k}") for k in spans))
-    out = out.withColumn("_base", base).withColumn("_mixed", mixed)
-    out = out.withColumn("_random", F.filter("_mixed", lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))))
+        out = out.withColumn(f"_mw_{kind}", found)
+    base = F.concat(*(F.col(f"_mw_{k}") for k in spans))
+    out = out.withColumn("_mw_base", base).withColumn("_mw_mixed", mixed)
+    out = out.withColumn("_mw_random", F.filter("_mw_mixed", lambda m: ~F.exists("_mw_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))))
 
     def named(kind: str) -> Column:
-        return F.transform(f"_{kind}", lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), F.lit(kind).alias("kind"), m["end"].alias("end"), m["value"].alias("value")))
+        return F.transform(f"_mw_{kind}", lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), F.lit(kind).alias("kind"), m["end"].alias("end"), m["value"].alias("value")))
 
-    return out.withColumn("secrets", F.array_sort(F.concat(*map(named, KINDS)))).drop("_base", "_mixed", *(f"_{k}" for k in KINDS))
+    return out.withColumn(name, F.array_sort(F.concat(*map(named, KINDS)))).drop("_mw_base", "_mw_mixed", *(f"_mw_{k}" for k in KINDS))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with every secret replaced by ``[secret:kind]``; of overlapping ones the first counts."""
-    found = scan(docs, text_col)
+    found = scan(docs, text_col, name="_mw_secrets")
     step = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     kept = F.aggregate(
-        "secrets",
+        "_mw_secrets",
         step,
         lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(
             F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("[secret:"), s["kind"], F.lit("]")).alias("out"))
         ),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    return found.withColumn(text_col, F.when(F.size("secrets") > 0, kept).otherwise(F.col(text_col))).drop("secrets")
+    return found.withColumn(text_col, F.when(F.size("_mw_secrets") > 0, kept).otherwise(F.col(text_col))).drop("_mw_secrets")
 
 
 def op10_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -358,3 +358,13 @@ def test_secret_models_on_held_out_samples():
     score = lambda s: sum(table[at[a] * size + at[b]] for a, b in zip(s, s[1:], strict=False)) / (len(s) - 1)
     rows = [(score(s), label) for s, label in secrets.labelled_samples(3000, 99) if len(s) >= secrets.LEAST_CANDIDATE]
     assert sum((x >= secrets.THRESHOLD) == bool(label) for x, label in rows) > 0.99 * len(rows)
+
+
+def test_clashing_columns_stay(spark):
+    text = " ".join("".join(random.Random(i).choices("abcdefghi", k=6)) + "," for i in range(60))
+    names = "quality secrets score lang_pred component_id kept spans slot"
+    df = spark.createDataFrame([(1, text, *names.split())], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names.split()))
+    want = df.first().asDict()
+    for out in (quality.clean(df), secrets.redact(df), pii.redact(df), neardup.deduplicate(df)):
+        assert out.first().asDict() == want
+    assert sharding.shard(df, 3).count() == 1 and langid.identify(df.withColumn("lang", F.lit("en"))).count() == 1
