@@ -31,3 +31,25 @@ def safe_names(files: DataFrame, name_col: str = "masked_name", id_col: str = "d
     """Output names that stay apart where masked names coincide."""
     stem, ext = F.regexp_extract(name_col, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name_col, r"(\.[^.]*)$", 1)
     return files.withColumn("output", F.concat(stem, F.lit("_"), F.col(id_col).cast("string"), F.when(F.lower(ext).isin(".pdf", ".png", ".jpg", ".jpeg"), ".txt").otherwise(ext)))
+
+
+def run(spark, source: str, target: str, log_path: str, text_col: str = "text", path_col: str = "path") -> DataFrame:
+    """Mask what earlier runs haven't finished, append results and a log row for each, and return the log.
+
+    Source, target and log are Parquet tables. A run that dies appends no log, so its inputs are pending
+    again; results carry the path, and readers take a path's rows once.
+    """
+    from .masking import mask
+
+    files = spark.read.parquet(source)
+    try:
+        log = spark.read.parquet(log_path)
+    except Exception as e:  # the first run has no log yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        log = spark.createDataFrame([], f"{path_col} string, status string, replaced long")
+    todo = pending(files, log, path_col)
+    mask(todo, text_col).drop(text_col, "names").write.mode("append").parquet(target)
+    done = spark.read.parquet(target).join(log.where("status = 'done'").select(path_col), path_col, "left_anti")
+    done.dropDuplicates([path_col]).select(path_col, F.lit("done").alias("status"), F.size("mapping").cast("long").alias("replaced")).write.mode("append").parquet(log_path)
+    return spark.read.parquet(log_path)

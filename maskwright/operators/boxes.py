@@ -25,3 +25,37 @@ def covered(box: Column, cover: Column, share: float = 0.85) -> Column:
     """Whether a cover (struct x, y, w, h) takes in that share of a box."""
     side = lambda a, n: F.greatest(F.lit(0.0), F.least(box[a] + box[n], cover[a] + cover[n]) - F.greatest(box[a], cover[a]))
     return side("x", "w") * side("y", "h") >= share * box["w"] * box["h"]
+
+
+def value_pattern(value: Column) -> Column:
+    """A pattern for a value with blanks allowed between its characters; identifiers end at word borders."""
+    chars = F.array_join(F.transform(F.filter(F.split(solid(value), ""), lambda c: c != ""), lambda c: F.concat(F.lit(r"\Q"), c, F.lit(r"\E"))), r"\s*")
+    return F.when(solid(value).rlike(r"^[A-Za-z0-9]+$"), F.concat(F.lit("(?<![A-Za-z0-9])"), chars, F.lit("(?![A-Za-z0-9])"))).otherwise(chars)
+
+
+def still_readable(text: Column, values: Column) -> Column:
+    """Values of an array that a text still shows, blanks aside; ones that say nothing are left out."""
+    return F.filter(values, lambda v: ~noisy(v) & F.contains(solid(text), solid(v)))
+
+
+def text_lines(boxes: DataFrame, id_col: str = "doc_id", gap: float = 0.02) -> DataFrame:
+    """Lines of recognised text: a box joins the line whose running mean height it is nearest to within ``gap``.
+
+    A page's boxes are folded from top to bottom; a page is bounded by what fits on paper.
+    """
+    box = F.struct((-F.col("y")).alias("top"), "x", "text")
+    pages = boxes.groupBy(id_col, "page").agg(F.array_sort(F.collect_list(box)).alias("bs"))
+    line = "struct<sum:double,n:int,words:array<struct<x:double,text:string>>>"
+    start = F.array().cast(f"array<{line}>")
+
+    def step(acc: Column, b: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        word = F.array(F.struct(b["x"].alias("x"), b["text"].alias("text")))
+        fits = F.coalesce(F.abs(last["sum"] / last["n"] - b["top"]) < gap, F.lit(False))
+        joined = F.struct((last["sum"] + b["top"]).alias("sum"), (last["n"] + 1).alias("n"), F.concat(last["words"], word).alias("words"))
+        fresh = F.struct(b["top"].alias("sum"), F.lit(1).alias("n"), word.alias("words"))
+        return F.when(fits, F.concat(F.slice(acc, F.lit(1), F.greatest(F.lit(0), F.size(acc) - 1)), F.array(joined))).otherwise(F.concat(acc, F.array(fresh)))
+
+    shown = lambda ws: F.array_join(F.transform(F.array_sort(ws), lambda w: w["text"]), " ")
+    rows = pages.select(id_col, "page", F.posexplode_outer(F.aggregate("bs", start, step)).alias("line", "l")).where("l IS NOT NULL")
+    return rows.select(id_col, "page", "line", shown(F.col("l.words")).alias("text"))

@@ -79,3 +79,33 @@ def audit(masked: DataFrame, id_col: str = "doc_id") -> DataFrame:
         by_type.alias("by_type"), F.size(F.array_distinct(F.regexp_extract_all("masked", F.lit(f"({PLACEHOLDER})"), F.lit(1)))).alias("placeholders"), F.lit(0).alias("network_calls"),
     )
     return masked.select(id_col, F.to_json(record).alias("audit"))
+
+
+def call_model(masked: DataFrame, endpoint: str, model: str, allow_remote: bool = False, timeout: int = 180, id_col: str = "doc_id") -> DataFrame:
+    """Id and reply of a model at an OpenAI-style endpoint; refused before any plan is made if it isn't local.
+
+    A call that fails is a row with an error, and the text stays as it is.
+    """
+    from ..functions.crypto import check_endpoint
+
+    check_endpoint(endpoint, allow_remote)
+
+    def run(batches):
+        import json
+        from urllib.request import Request, urlopen
+
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for key, text in zip(b[id_col], b["prompt"], strict=True):
+                body = json.dumps({"model": model, "temperature": 0, "messages": [{"role": "user", "content": text}]}).encode()
+                try:
+                    with urlopen(Request(f"{endpoint.rstrip('/')}/v1/chat/completions", body, {"Content-Type": "application/json"}), timeout=timeout) as r:
+                        rows.append((key, json.load(r)["choices"][0]["message"]["content"], None))
+                except (OSError, ValueError, KeyError, IndexError) as e:
+                    rows.append((key, None, repr(e)))
+            yield pd.DataFrame(rows, columns=[id_col, "reply", "error"])
+
+    kind = masked.schema[id_col].dataType.simpleString()
+    return masked.select(id_col, prompt(F.col("masked")).alias("prompt")).mapInPandas(run, f"{id_col} {kind}, reply string, error string")
