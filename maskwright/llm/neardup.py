@@ -299,9 +299,11 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Rows without an id can't be linked and stay.
     """
-    kept = near_duplicates(docs, k, percent).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
-    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    kept = cut(near_duplicates(docs, k, percent).where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")))
+    rows, repeated = kept.agg(F.count("*"), F.count_if(F.col("n") > 1)).first()
+    only = lambda ids: docs.join(F.broadcast(ids.select("doc_id")) if rows <= BROADCAST_IDS else ids.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    out = only(kept.where("n = 1")).unionByName(docs.where("doc_id IS NULL"))
+    return out.unionByName(only(kept.where("n > 1")).dropDuplicates(["doc_id"])) if repeated else out
 
 
 def op1_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
