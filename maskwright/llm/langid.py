@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._shared import give_back
+
 FEATURES = 1 << 14
 TRAIN_ROWS = 1600
 LANDMARKS = 256
@@ -175,6 +177,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[
         for batch in batches:
             langs, scores = model.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, *names])
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import cut
+from ._shared import cut, give_back
 
 SAMPLES = 128
 BAND_ROWS = 4
@@ -142,6 +142,7 @@ def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE_ROWS):
             yield batch.slice(at, SLICE_ROWS)
+    give_back()
 
 
 def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:

@@ -31,13 +31,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from ._shared import give_back
+
 CAPACITY = 4096
 END_ID = 2
 #: Pieces in a pool at most, and how many stay when it is packed, so that sums keep their choice.
 POOL, POOL_LEFT = 2048, 512
 #: Free ids of a sequence that are padded rather than filled by a cut.
 SLACK = 8
-WORD_ENTRIES = 350_000
+WORD_ENTRIES = 250_000
 WORD_CHARS = 64
 _KEPT = "\x1c\x1d\x1e\x1f"
 _WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -249,6 +251,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
         note(packer.finish())
         if rows:
             yield flush()
+        give_back()
 
     return docs.selectExpr(f"CAST(`{id_col}` AS LONG) AS doc_id", f"CAST(`{text_col}` AS STRING) AS text").mapInArrow(run, SCHEMA + ", ids binary" * with_ids)
 
