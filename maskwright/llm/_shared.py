@@ -44,3 +44,14 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
+
+
+#: Rows of an Arrow batch where the session leaves Spark's default of ten thousand. Batches lie outside
+#: the heap, several copies of them, and texts are long.
+BATCH_ROWS = 1000
+_ROWS_KEY, _DEFAULT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    if spark.conf.get(_ROWS_KEY, _DEFAULT_ROWS) == _DEFAULT_ROWS:
+        spark.conf.set(_ROWS_KEY, str(BATCH_ROWS))

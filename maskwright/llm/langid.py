@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import give_back
+from ._shared import bounded_batches, give_back
 
 FEATURES = 1 << 14
 TRAIN_ROWS = 1600
@@ -170,6 +170,7 @@ def train(docs: DataFrame, teaches: Column, rows: int = TRAIN_ROWS) -> Model:
 def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The documents with the predicted language and its score, which replace columns so named. The model, a weight a position and language, is in the closure."""
     docs = docs.drop(*names)
+    bounded_batches(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     at = docs.columns.index(text_col)
 

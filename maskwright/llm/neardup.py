@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import cut, give_back
+from ._shared import bounded_batches, cut, give_back
 
 SAMPLES = 128
 BAND_ROWS = 4
@@ -148,6 +148,7 @@ def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, c1 and c2 (which name the class of the set), bands, sketch, parity."""
     bands = bands_for(percent)
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash

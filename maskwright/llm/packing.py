@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from ._shared import give_back
+from ._shared import bounded_batches, give_back
 
 CAPACITY = 4096
 END_ID = 2
@@ -227,6 +227,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     sequence_id holds the task's number above bit 32 and the task's count below it.
     """
     end = np.asarray([end_id], "<u4").tobytes()
+    bounded_batches(docs.sparkSession)
     names = [f.split()[0] for f in SCHEMA.split(", ")] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

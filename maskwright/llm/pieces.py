@@ -25,6 +25,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ._shared import bounded_batches
+
 MARK = "▁"
 #: Distinct chunks that a generation of a worker's table holds; a longer chunk than this isn't kept.
 TABLE_ENTRIES = 300_000
@@ -119,6 +121,7 @@ def table(model_path: str) -> ChunkTable:
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids array<int> of every text."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = table(model_path)
@@ -144,6 +147,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
 
 def digests(docs: DataFrame, model_path: str) -> DataFrame:
     """Per document: number of ids, and digests of the ids and of the text decoded from them."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = table(model_path)

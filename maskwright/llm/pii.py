@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import bounded_batches
 from .boosting import Boosted, least_threshold, platt, sigmoid
 
 SAMPLES = 6000
@@ -267,6 +268,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     model = train()
     schema = docs.schema
     at = docs.columns.index(text_col)
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,6 +283,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def find(docs: DataFrame) -> DataFrame:
     """doc_id and spans array<struct<kind, start, end>> of every text."""
     model = train()
+    bounded_batches(docs.sparkSession)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
