@@ -4,7 +4,9 @@ Base patterns find assignments, access keys and long hexadecimal runs. Beyond th
 runs of key characters that hold letters and digits; each is scored by two first-order Markov models
 over characters, one trained on random strings and one on ordinary identifiers. The log-likelihood
 ratio is a sum over neighbouring characters, so one table of ratios is all that a task needs, and its
-size is that of the alphabet squared.
+size is that of the alphabet squared. A run whose mean reaches the threshold is a secret as a whole. In
+any other the stretches of neighbouring characters that gain most over the threshold are looked for, so
+words joined to a secret don't dilute it; such a stretch is widened to the separators around it.
 
 Offsets are counted natively: a text is split at a pattern's matches, and the lengths of the parts and
 of the matches, summed up, give each match's place in code points.
@@ -35,10 +37,15 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 LEAST_CANDIDATE = 20
 #: Mean log-likelihood ratio a character from which a candidate is a secret.
 THRESHOLD = 0.3
+#: What the ratios of a stretch must sum to beyond the threshold of each, and the fall from its best sum that ends it.
+LEAST_GAIN, FALL = 9.0, 8.0
 #: Identifiers of this form are random but public.
 UUID = r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"
+UUID_INSIDE = r"(?<![0-9A-Za-z])[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![0-9A-Za-z])"
 
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_-"
+#: The alphabet from here on separates words.
+SEPARATORS = ALPHABET.index("/")
 
 # Words that ordinary identifiers of code and configuration are made of.
 WORDS = (
@@ -133,24 +140,86 @@ def matches(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)).otherwise(empty)
 
 
+def _table(table: tuple[float, ...]) -> Column:
+    return F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast("array<double>")
+
+
+def _place(c: Column) -> Column:
+    return F.instr(F.lit(ALPHABET), c) - 1
+
+
 def ratio(value: Column, table: tuple[float, ...]) -> Column:
     """Mean log-likelihood ratio a pair of neighbouring characters."""
     size = len(ALPHABET)
-    ratios = F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast("array<double>")
-    place = lambda c: F.instr(F.lit(ALPHABET), c) - 1
+    ratios = _table(table)
 
     def total(codes: Column) -> Column:
         pairs = F.transform(codes, lambda c, i: F.coalesce(F.get(ratios, c * size + F.get(codes, i + 1)), F.lit(0.0)))
         return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
 
-    return let(F.transform(F.split(value, ""), place), total) / (F.length(value) - 1)
+    return let(F.transform(F.split(value, ""), _place), total) / (F.length(value) - 1)
+
+
+def stretches(value: Column, table: tuple[float, ...], threshold: float) -> Column:
+    """array<struct<start, end, value>> of a run's random stretches, widened to the separators around them.
+
+    One pass over the pairs of neighbours: a stretch begins where the sum of ratios beyond the threshold
+    turns positive and reaches to its largest sum; it is over when the sum is used up or falls by ``FALL``.
+    Pieces between separators are numbered on the way, and stretches that share one are joined. UUIDs
+    inside a run count as separators.
+    """
+    size, ratios = len(ALPHABET), _table(table)
+    blanked = F.regexp_replace(value, UUID_INSIDE, " " * 36)
+    none = F.array().cast("array<struct<first:int,last:int>>")
+
+    def pair(codes: Column):
+        def gain(c: Column, i: Column) -> Column:
+            after = F.get(codes, i + 1)
+            known = F.when((c >= 0) & (after >= 0), F.get(ratios, c * size + after) - threshold)
+            # the end of the run, like a UUID, ends a stretch
+            return F.struct(F.coalesce(known, F.lit(-1e9)).alias("gain"), ((c < 0) | (c >= SEPARATORS)).cast("int").alias("cut"))
+
+        return gain
+
+    def step(acc: Column, x: Column) -> Column:
+        piece, total = acc["piece"] + x["cut"], acc["total"] + x["gain"]
+        first = F.when(acc["total"] > 0, acc["first"]).otherwise(piece)
+        more = total > acc["best"]
+        best = F.when(more, total).otherwise(acc["best"])
+        last = F.when(more, piece).otherwise(acc["last"])
+        over = (total <= 0) | (total < best - FALL)
+        out = F.when(over & (best >= LEAST_GAIN), F.concat(acc["out"], F.array(F.struct(first.alias("first"), last.alias("last"))))).otherwise(acc["out"])
+        zero = lambda c: F.when(over, F.lit(0.0)).otherwise(c)
+        return F.struct(piece.alias("piece"), zero(total).alias("total"), zero(best).alias("best"), first.alias("first"), last.alias("last"), out.alias("out"))
+
+    def found(codes: Column) -> Column:
+        start = F.struct(F.lit(0).alias("piece"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"), F.lit(0).alias("first"), F.lit(0).alias("last"), none.alias("out"))
+        pieces = F.aggregate(F.transform(codes, pair(codes)), start, step, lambda acc: acc["out"])
+
+        def join(acc: Column, x: Column) -> Column:
+            end = F.get(acc, F.size(acc) - 1)
+            one = lambda first: F.array(F.struct(first.alias("first"), x["last"].alias("last")))
+            return F.when(end["last"] >= x["first"], F.concat(F.slice(acc, 1, F.size(acc) - 1), one(end["first"]))).otherwise(F.concat(acc, one(x["first"])))
+
+        # where each piece starts; its end is the separator before the next
+        places = F.filter(F.transform(codes, lambda c, i: F.when((c < 0) | (c >= SEPARATORS), i + 1)), lambda i: i.isNotNull())
+        starts = F.concat(F.array(F.lit(0)), places, F.array(F.size(codes) + 1))
+
+        def placed(at: Column) -> Column:
+            span = lambda s: let(F.struct(F.get(at, s["first"]).alias("start"), (F.get(at, s["last"] + 1) - 1).alias("end")), lambda b: F.struct(b["start"], b["end"], F.substring(value, b["start"] + 1, b["end"] - b["start"]).alias("value")))
+            return F.transform(F.aggregate(pieces, none, join), span)
+
+        return let(starts, placed)
+
+    spans = let(F.transform(F.split(blanked, ""), _place), found)
+    return F.filter(spans, lambda s: (s["end"] - s["start"] >= LEAST_CANDIDATE) & s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
 
 
 def scan(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, table: tuple[float, ...] | None = None, name: str = "secrets") -> DataFrame:
     """Adds ``name``, replacing a column so named: array<struct<start, kind_no, kind, end, value>> by start, then kind as listed.
 
     A span of the models that lies inside a base span or shares text with one is left out, as it is
-    found already.
+    found already; the run's other stretches are still looked for.
     """
     table = table or train()
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -160,18 +229,23 @@ def scan(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD,
         # a run of the pattern's characters that is long enough is a whole match, and shorter ones fail anyway
         "hex": matches(text, rf"(?<![0-9a-f])[0-9a-f]{{{LEAST_HEX},}}"),
     }
-    mixed = F.filter(matches(text, rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z]){CANDIDATE}"), lambda m: ~m["value"].rlike(UUID) & (ratio(m["value"], table) >= threshold))
+    runs = F.filter(matches(text, rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z]){CANDIDATE}"), lambda m: ~m["value"].rlike(UUID))
+    free = lambda m: ~F.exists("_mw_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+
+    def random_parts(m: Column) -> Column:
+        parts = F.transform(stretches(m["value"], table, threshold), lambda s: F.struct((m["start"] + s["start"]).alias("start"), (m["start"] + s["end"]).alias("end"), s["value"].alias("value")))
+        return F.when(free(m) & (ratio(m["value"], table) >= threshold), F.array(m)).otherwise(F.filter(parts, free))
+
     out = docs
     for kind, found in spans.items():
         out = out.withColumn(f"_mw_{kind}", found)
     base = F.concat(*(F.col(f"_mw_{k}") for k in spans))
-    out = out.withColumn("_mw_base", base).withColumn("_mw_mixed", mixed)
-    out = out.withColumn("_mw_random", F.filter("_mw_mixed", lambda m: ~F.exists("_mw_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))))
+    out = out.withColumn("_mw_base", base).withColumn("_mw_random", F.flatten(F.transform(runs, random_parts)))
 
     def named(kind: str) -> Column:
         return F.transform(f"_mw_{kind}", lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), F.lit(kind).alias("kind"), m["end"].alias("end"), m["value"].alias("value")))
 
-    return out.withColumn(name, F.array_sort(F.concat(*map(named, KINDS)))).drop("_mw_base", "_mw_mixed", *(f"_mw_{k}" for k in KINDS))
+    return out.withColumn(name, F.array_sort(F.concat(*map(named, KINDS)))).drop("_mw_base", *(f"_mw_{k}" for k in KINDS))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -360,6 +360,24 @@ def test_secret_models_on_held_out_samples():
     assert sum((x >= secrets.THRESHOLD) == bool(label) for x, label in rows) > 0.99 * len(rows)
 
 
+def test_secrets_joined_to_words(spark):
+    draw = random.Random(17)
+    keys = ["".join(draw.choices(secrets.ALPHABET[:62], k=24)) for _ in range(40)]
+    words = ("service_account_key_", "production_database_", "/home/build/config/secrets/", "com/services/")
+    texts = [f"see {w}{k}{tail} é" for w in words for k in keys for tail in ("", "/backup/before/release/manager")]
+    uuid = "550e8400-e29b-41d4-a716-446655440000"
+    two = f"service/account/manager/{keys[0]}/of/the/production/database/with/configuration/{keys[1]}"
+    quiet = [f"com/example/production/service/configuration/{uuid}/document/history", "get_user_name_from_database_table_2 com/example/project/version_2/config"]
+    texts += [two, f"{'deadbeef' * 3}/of/the/production/database/with/{keys[2]}", *quiet]
+    rows = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert all(r.text[s.start : s.end] == s.value for r in rows for s in r.secrets)
+    values = [[s.value for s in r.secrets if s.kind == "random"] for r in rows]
+    made = values[: len(words) * len(keys) * 2]
+    assert sum(any(k in v for v in found) for found, k in zip(made, (k for _ in words for k in keys for _ in range(2)), strict=True)) >= 0.98 * len(made)
+    assert values[-4] == keys[:2] and values[-3] == [keys[2]] and rows[-3].secrets[0].kind == "hex"
+    assert values[-2:] == [[], []]
+
+
 def test_clashing_columns_stay(spark):
     text = " ".join("".join(random.Random(i).choices("abcdefghi", k=6)) + "," for i in range(60))
     names = "quality secrets score lang_pred component_id kept spans slot"
