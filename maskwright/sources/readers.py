@@ -93,6 +93,13 @@ def _xlsx(content: bytes) -> list[tuple[str, int, int, str]]:
     return out
 
 
+def _read(found: DataFrame, run, schema: str) -> DataFrame:
+    """Rows of ``run`` for the files that fit one row, and a row with an error for each that doesn't, whose content is not read."""
+    large = found.where(F.col("length") >= MAX_FILE_BYTES).select("path", F.format_string(f"%d bytes, the limit is {MAX_FILE_BYTES}", "length").alias("error"))
+    fits = found.where(F.col("length") < MAX_FILE_BYTES).select("path", "content").mapInPandas(run, schema)
+    return fits.unionByName(large, allowMissingColumns=True)
+
+
 def docx_texts(found: DataFrame) -> DataFrame:
     """path, text and error of Word files among ``files``."""
 
@@ -106,7 +113,7 @@ def docx_texts(found: DataFrame) -> DataFrame:
                     rows.append((path, None, repr(e)))
             yield pd.DataFrame(rows, columns=["path", "text", "error"])
 
-    return found.where(F.col("length") < MAX_FILE_BYTES).select("path", "content").mapInPandas(run, "path string, text string, error string")
+    return _read(found, run, "path string, text string, error string")
 
 
 def xlsx_cells(found: DataFrame) -> DataFrame:
@@ -122,4 +129,4 @@ def xlsx_cells(found: DataFrame) -> DataFrame:
                     rows.append((path, None, None, None, None, repr(e)))
             yield pd.DataFrame(rows, columns=["path", "sheet", "row_idx", "col_idx", "value", "error"])
 
-    return found.where(F.col("length") < MAX_FILE_BYTES).select("path", "content").mapInPandas(run, "path string, sheet string, row_idx int, col_idx int, value string, error string")
+    return _read(found, run, "path string, sheet string, row_idx int, col_idx int, value string, error string")

@@ -33,6 +33,17 @@ def test_office_files(spark, tmp_path):
     assert cells == [("流水", 1, 1, "户␊名"), ("流水", 1, 2, "12")]
 
 
+def test_large_office_files_are_listed(spark, tmp_path):
+    for name in ("a.docx", "a.xlsx"):
+        with open(tmp_path / name, "wb") as f:
+            f.truncate(readers.MAX_FILE_BYTES)
+    (tmp_path / "small.docx").write_bytes(b"no archive")
+    docs = {r.path.split("/")[-1]: r for r in readers.docx_texts(readers.files(spark, str(tmp_path), "*.docx")).collect()}
+    assert set(docs) == {"a.docx", "small.docx"} and docs["a.docx"].text is None and str(readers.MAX_FILE_BYTES) in docs["a.docx"].error
+    (cell,) = readers.xlsx_cells(readers.files(spark, str(tmp_path), "*.xlsx")).collect()
+    assert cell.path.endswith("a.xlsx") and cell.sheet is None and cell.value is None and cell.error
+
+
 def test_cases_skip_what_is_no_case(spark, tmp_path):
     (tmp_path / "c.jsonl").write_text('# note\n\n{"id": "a", "text": "t", "expect_absent": ["x"]}\n{broken\n')
     (row,) = readers.cases(spark, str(tmp_path / "c.jsonl")).collect()
