@@ -36,6 +36,8 @@ ADDED_KINDS = ("hidden_email", "contact", "national_id", "iban", "birth_date", "
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+#: Necessary for a hidden address, in lower case: the at word, a label, then a dot and more, or the dot word.
+_HIDDEN = re.compile(r"at[\])]? ?[^\s.]{1,128}(?:\.[^\s.]| ?[\[(]?dot)")
 _DIGIT = re.compile(r"[0-9]")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -44,7 +46,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # The generators' patterns, by kind.
 GENERATORS = {
     "hidden_email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{1,64}(?:(?:\.| ?[\[(]?\bdot\b[\])]? ?)[A-Za-z0-9_%+-]{1,64}){0,4} ?(?:\[at\]|\(at\)|\bat\b) ?[A-Za-z0-9-]{1,64}(?:(?:\.| ?[\[(]?\bdot\b[\])]? ?)[A-Za-z0-9-]{2,24}){1,4}", re.I),
-    "contact": re.compile(r"(?<![A-Za-z0-9.+-])(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[ ./-])[0-9]{2,8}(?:[ .-][0-9]{2,6}){0,4}(?![A-Za-z0-9])"),
+    "contact": re.compile(r"(?<![A-Za-z0-9.+-])(?:(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[ ./-])[0-9]{2,8}(?:[ .-][0-9]{2,6}){0,4}|[0-9]{7,15})(?![A-Za-z0-9])"),
     "national_id": re.compile(r"(?<![A-Za-z0-9-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2} ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[A-D]|[0-9]{8}[A-Z]|[12] ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[0-9]{3} ?[0-9]{3} ?[0-9]{2})(?![A-Za-z0-9-])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "birth_date": re.compile(r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2})(?![0-9])"),
@@ -127,13 +129,10 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     """Spans of all generators; they may overlap."""
     out = []
     has_digit = bool(_DIGIT.search(text))
-    lowered = None
     for kind, pattern in GENERATORS.items():
         if kind == "hidden_email":
-            if "(at)" not in text and "[at]" not in text and "(AT)" not in text and "[AT]" not in text:
-                lowered = text.lower() if lowered is None else lowered
-                if " dot " not in lowered or " at " not in lowered:
-                    continue
+            if not _HIDDEN.search(text.lower()):
+                continue
         elif not has_digit:
             continue
         out += [(kind, *m.span()) for m in pattern.finditer(text)]
@@ -172,10 +171,10 @@ def labelled_samples(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
     low = lambda a, b: "".join(d.choices("abcdefghijklmnopqrstuvwxyz", k=d.randint(a, b)))
     up = lambda k: "".join(d.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ", k=k))
     date = lambda a, b: d.choice(("{0}-{1:02}-{2:02}", "{2:02}/{1:02}/{0}", "{2:02}.{1:02}.{0}")).format(d.randint(a, b), d.randint(1, 12), d.randint(1, 28))
-    local = lambda: d.choice((f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"0{num(3)} {num(6)}", f"0{num(1)} {num(2)} {num(2)} {num(2)} {num(2)}", f"{num(3)}.{num(3)}.{num(4)}", f"{num(3)}-{num(4)}"))
+    local = lambda: d.choice((f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"0{num(3)} {num(6)}", f"0{num(1)} {num(2)} {num(2)} {num(2)} {num(2)}", f"{num(3)}.{num(3)}.{num(4)}", f"{num(3)}-{num(4)}", num(10), f"0{num(d.randint(9, 11))}"))
     plain = lambda: " ".join(low(1, 9) for _ in range(d.randint(2, 8)))
     good = {
-        "hidden_email": lambda: d.choice(("mail me: {}", "write to {}", "{}", "contact {}", "e-mail {}")).format(d.choice((f"{low(3, 8)} at {low(3, 8)} dot com", f"{low(3, 8)} (at) {low(3, 8)}.org", f"{low(3, 8)}[at]{low(3, 8)}.net", f"{low(3, 8)} dot {low(3, 8)} at {low(3, 8)} dot org"))),
+        "hidden_email": lambda: d.choice(("mail me: {}", "write to {}", "{}", "contact {}", "e-mail {}")).format(d.choice((f"{low(3, 8)} at {low(3, 8)} dot com", f"{low(3, 8)} (at) {low(3, 8)}.org", f"{low(3, 8)}[at]{low(3, 8)}.net", f"{low(3, 8)} at {low(3, 8)} [dot] org", f"{low(3, 8)} (At) {low(3, 8)}.org", f"{low(3, 8)} dot {low(3, 8)} at {low(3, 8)} dot org"))),
         "contact": lambda: d.choice(("phone {}", "call me at {}", "tel: {}", "Tel. {}", "mobile {}", "fax {}", "reach us on {}", "Telefon {}", "téléphone {}", "teléfono {}")).format(local()),
         "national_id": lambda: d.choice(("SSN {}", "SSN: {}", "social security number {}", "my social is {}", "taxpayer id {}")).format(f"{num(3)}-{num(2)}-{num(4)}") if d.random() < 0.7 else d.choice(("DNI {}", "NIF: {}", "national id {}")).format(num(8) + up(1)),
         "iban": lambda: d.choice(("IBAN {}", "account {}", "transfer to {}", "bank: {}", "{}")).format(d.choice(("DE", "FR", "ES", "GB", "NL")) + num(2) + "".join(d.choice(("", " ")) + num(4) for _ in range(d.randint(3, 5)))),
@@ -184,8 +183,8 @@ def labelled_samples(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
         "mac": lambda: d.choice(("mac {}", "MAC address {}", "device {}", "{}", "wifi adapter {}")).format(":".join(d.choice("0123456789abcdef") + d.choice("0123456789abcdef") for _ in range(6))),
     }
     bad = {
-        "hidden_email": lambda: d.choice((f"we met at {low(3, 8)} dot {low(2, 5)}", f"look at {low(3, 8)}.{low(2, 4)} dot")),
-        "contact": lambda: d.choice(("order {}", "invoice {}", "page {}", "version {}", "score {}", "figure {}", "pp {}", "part {}", "serial {}", "model {}", "in {}", "{}", "total {}", "years {}", "ratio {}")).format(d.choice((f"{num(3)}-{num(3)}", f"{d.randint(1900, 2030)}-{d.randint(1900, 2030)}", f"{num(2)}.{num(2)}.{num(2)}", f"{num(3)} {num(3)} {num(3)}", f"{num(2)}-{num(2)}-{num(2)}", f"{num(2)}/{num(4)}", f"{num(4)} {num(4)}", local()))),
+        "hidden_email": lambda: d.choice((f"we met at {low(3, 8)} dot {low(2, 5)}", f"look at {low(3, 8)}.{low(2, 4)} dot", f"{low(3, 8)} at {low(3, 8)}.{low(2, 4)}", f"read more at www.{low(3, 8)}.com")),
+        "contact": lambda: d.choice(("order {}", "invoice {}", "page {}", "version {}", "score {}", "figure {}", "pp {}", "part {}", "serial {}", "model {}", "in {}", "{}", "total {}", "years {}", "ratio {}")).format(d.choice((f"{num(3)}-{num(3)}", f"{d.randint(1900, 2030)}-{d.randint(1900, 2030)}", f"{num(2)}.{num(2)}.{num(2)}", f"{num(3)} {num(3)} {num(3)}", f"{num(2)}-{num(2)}-{num(2)}", f"{num(2)}/{num(4)}", f"{num(4)} {num(4)}", num(d.randint(7, 15)), local()))),
         "national_id": lambda: d.choice(("part {}", "order {}", "serial {}", "model {}", "sku {}", "case {}")).format(d.choice((f"{num(3)}-{num(2)}-{num(4)}", num(8) + up(1)))),
         "iban": lambda: d.choice(("model {}", "part {}", "serial {}", "sku {}")).format(up(2) + num(2) + " " + " ".join(up(4) for _ in range(3))),
         "birth_date": lambda: d.choice(("released {}", "published {}", "version {}", "updated {}", "on {}", "{}", "invoice {}", "since {}", "until {}", "build {}")).format(date(1990, 2030)),

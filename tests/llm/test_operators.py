@@ -337,6 +337,20 @@ def test_language(spark, sf, edge, none):
     assert {r.lang_pred for r in untaught} == {"und"}
 
 
+def test_hidden_addresses_and_bare_numbers_are_proposed():
+    seen = lambda text: {(k, text[s:e]) for k, s, e in pii.candidates(text)}
+    for text in ("jane at mail [dot] example", "jane at mail.example.com", "jane (At) mail.org", "Jane AT mail DOT org", "a.b[at]c(dot)de"):
+        assert ("hidden_email", text) in seen(text)
+    assert ("contact", "4155552671") in seen("call 4155552671") and ("contact", "06123456789") in seen("Tel: 06123456789")
+    draw, pattern = random.Random(2), pii.GENERATORS["hidden_email"]
+    parts = (" at ", "(at)", "[AT]", "at", " ", ".", " dot ", "[dot]", "dot", "x", "mail", "İ", "ſs", "\n")
+    texts = ["".join(draw.choices(parts, k=12)) for _ in range(5000)]
+    assert all(pii._HIDDEN.search(t.lower()) for t in texts if pattern.search(t))
+    model = pii.train()
+    for text in ("please call 4155552671 today", "Tel: 06123456789", "mail me: jane at mail [dot] org"):
+        assert pii.added_spans(text, pii.base_spans(text), model)
+
+
 # secrets
 
 
