@@ -222,7 +222,12 @@ def added_spans(text: str, base: dict[str, list[tuple[int, int]]], model) -> dic
         return out
     trees, (slope, offset), least = model
     p = sigmoid(slope * trees.score(np.array([features(text, *c) for c in found])) + offset)
-    taken = sorted(span for spans in base.values() for span in spans)
+    taken: list[tuple[int, int]] = []  # disjoint stretches
+    for start, end in sorted(span for spans in base.values() for span in spans):
+        if taken and start < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(end, taken[-1][1]))
+        else:
+            taken.append((start, end))
     for k in sorted((i for i in range(len(found)) if p[i] >= least[found[i][0]]), key=lambda i: (-p[i], found[i][1], -found[i][2])):
         kind, start, end = found[k]
         if free(taken, start, end):
@@ -231,13 +236,12 @@ def added_spans(text: str, base: dict[str, list[tuple[int, int]]], model) -> dic
 
 
 def free(taken: list[tuple[int, int]], start: int, end: int) -> bool:
-    """Whether a span overlaps none of those taken; if so it joins them. Base spans may overlap each other."""
+    """Whether a span overlaps none of those taken, which are disjoint; if so it joins them."""
     from bisect import bisect_left, insort
 
     at = bisect_left(taken, (end, -1))
-    for s, e in reversed(taken[max(0, at - 8) : at]):
-        if e > start:
-            return False
+    if at and taken[at - 1][1] > start:
+        return False
     insort(taken, (start, end))
     return True
 

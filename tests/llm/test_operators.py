@@ -351,6 +351,16 @@ def test_hidden_addresses_and_bare_numbers_are_proposed():
         assert pii.added_spans(text, pii.base_spans(text), model)
 
 
+def test_added_spans_clear_of_nested_base_spans(monkeypatch):
+    text = ".".join("1.2.3.4" for _ in range(12)) + "@mail.org"
+    base = pii.base_spans(text)
+    assert len(base["ip"]) > 9 and base["email"] == [(0, len(text))]
+    inner = (len(text) - 6, len(text) - 1)
+    monkeypatch.setattr(pii, "candidates", lambda t: [("contact", *inner)])
+    trees, scale, least = pii.train()
+    assert pii.added_spans(text, base, (trees, scale, dict.fromkeys(least, 0.0))) == {}
+
+
 # secrets
 
 
