@@ -145,8 +145,8 @@ def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, c1 and c2 (which name the class of the set), bands, sketch, parity."""
+def signatures(docs: DataFrame, k: int, percent: int, keep_text: bool = False) -> DataFrame:
+    """doc_id, n_shingles, c1 and c2 (which name the class of the set), bands, sketch, parity, and the text if asked for."""
     bands = bands_for(percent)
     bounded_batches(docs.sparkSession)
 
@@ -169,11 +169,11 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 sketches.append(odd_sketch(samples))
                 whole.append(parities(s))
             yield pa.record_batch(
-                [batch.column(0), pa.array(n, pa.int64()), *(pa.array([c[i] for c in classes], pa.int64()) for i in (0, 1)), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())), pa.array(whole, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "c1", "c2", "bands", "sketch", "parity"],
+                [batch.column(0), pa.array(n, pa.int64()), *(pa.array([c[i] for c in classes], pa.int64()) for i in (0, 1)), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())), pa.array(whole, pa.list_(pa.int64())), *([batch.column(1)] if keep_text else [])],
+                ["doc_id", "n_shingles", "c1", "c2", "bands", "sketch", "parity", *(["text"] if keep_text else [])],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>, sketch array<long>, parity array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>, sketch array<long>, parity array<long>" + ", text string" * keep_text)
 
 
 def odd_bits(a: Column, b: Column) -> Column:
@@ -243,6 +243,11 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text)."""
+    return _labelled(docs, k, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``near_duplicates`` with c1 and c2, the class of each row's set."""
     signed = cut(signatures(docs, k, percent))
     real = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     stands = cut(real.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")))
@@ -271,11 +276,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             labels = cut(components(links.unionByName(found)))
 
     own = F.coalesce("component", "rep", "doc_id")
-    linked = classed.select("doc_id", "n_shingles", "rep").unionByName(
-        signed.where("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").select("doc_id", "n_shingles", F.col("doc_id").alias("rep"))
+    linked = classed.select("doc_id", "n_shingles", "rep", "c1", "c2").unionByName(
+        signed.where("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").select("doc_id", "n_shingles", F.col("doc_id").alias("rep"), "c1", "c2")
     )
     return linked.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept")
+        "doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), "c1", "c2"
     )
 
 
@@ -299,13 +304,25 @@ def _across(rows: DataFrame, labels: DataFrame, sketches: DataFrame, percent: in
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id, with its columns.
 
-    Rows without an id can't be linked and stay.
+    Rows without an id can't be linked and stay. Where rows share an id but not a set, those that are
+    kept stay, one of each set.
     """
-    kept = cut(near_duplicates(docs, k, percent).where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")))
+    labelled = _labelled(docs, k, percent).where("doc_id IS NOT NULL")
+    kept = cut(labelled.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept")).where("kept"))
     rows, repeated = kept.agg(F.count("*"), F.count_if(F.col("n") > 1)).first()
     only = lambda ids: docs.join(F.broadcast(ids.select("doc_id")) if rows <= BROADCAST_IDS else ids.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     out = only(kept.where("n = 1")).unionByName(docs.where("doc_id IS NULL"))
-    return out.unionByName(only(kept.where("n > 1")).dropDuplicates(["doc_id"])) if repeated else out
+    if not repeated:
+        return out
+    # of ids that repeat, the id doesn't tell the rows apart: their texts' sets are named once more
+    again = kept.where("n > 1").select("doc_id")
+    classes = cut(labelled.where("kept").join(again, "doc_id", "left_semi").select("doc_id", "c1", "c2").distinct())
+    rows_again = only(again)
+    texts = signatures(rows_again, k, percent, keep_text=True).select(F.col("doc_id").alias("_mw_id"), F.col("text").alias("_mw_text"), F.col("c1").alias("_mw_c1"), F.col("c2").alias("_mw_c2")).distinct()
+    named = rows_again.join(texts, (F.col("doc_id").cast("long") == F.col("_mw_id")) & F.col("text").cast("string").eqNullSafe(F.col("_mw_text")))
+    same = classes.select(F.col("doc_id").alias("_mw_id"), F.col("c1").alias("_mw_c1"), F.col("c2").alias("_mw_c2"))
+    one = named.join(same, ["_mw_id", "_mw_c1", "_mw_c2"], "left_semi").dropDuplicates(["_mw_id", "_mw_c1", "_mw_c2"])
+    return out.unionByName(one.select(*docs.columns))
 
 
 def op1_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:

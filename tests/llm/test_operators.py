@@ -361,6 +361,16 @@ def test_added_spans_clear_of_nested_base_spans(monkeypatch):
     assert pii.added_spans(text, base, (trees, scale, dict.fromkeys(least, 0.0))) == {}
 
 
+def test_deduplicate_keeps_unrelated_texts_of_one_id(spark):
+    text = lambda i: " ".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz", k=60))
+    rows = [(1, text(1), "a"), (5, text(5), "b"), (5, text(6), "c"), (5, text(5), "d"), (8, text(8), "e"), (9, None, "f")]
+    out = neardup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, tag string")).collect()
+    assert sorted((r.doc_id, r.text or "") for r in out) == sorted((i, t or "") for i, t, tag in rows if tag != "d")
+    rows = [(1, text(1), "a"), (5, text(1), "b"), (5, text(6), "c")]
+    out = neardup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, tag string")).collect()
+    assert sorted(r.tag for r in out) == ["a", "c"]
+
+
 # secrets
 
 
