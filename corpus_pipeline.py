@@ -6,6 +6,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 
 from __future__ import annotations
 
+import warnings
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,15 +15,22 @@ from pyspark.sql import functions as F
 from maskwright.llm import langid, neardup, packing, pii, quality
 from maskwright.llm._shared import cut, documents
 
-#: Predictions below this are no language for sure; a guess among four has 0.25.
-LEAST_SCORE = 0.3
+#: Predictions below this times a guess among the learned languages are no language for sure; among four it is 0.3.
+LEAST_OVER_GUESS = 1.2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those that look like none of the learned languages."""
+    """Drops documents without letters and those that look like none of the learned languages.
+
+    Where no row teaches a language nothing can be judged, and all documents with letters stay.
+    """
     model = langid.train(docs, ~langid.held_out())
+    if not model.languages:
+        warnings.warn("no row teaches a language: all documents with letters stay", stacklevel=2)
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    least = min(1.0, LEAST_OVER_GUESS / len(model.languages))
     seen = langid.predict(docs, model, names=("_mw_lang", "_mw_score"))
-    return seen.where((F.col("_mw_lang") != langid.UNDEFINED) & (F.col("_mw_score") >= LEAST_SCORE)).select(*docs.columns)
+    return seen.where((F.col("_mw_lang") != langid.UNDEFINED) & (F.col("_mw_score") >= least)).select(*docs.columns)
 
 
 def line_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

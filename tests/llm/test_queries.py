@@ -5,6 +5,7 @@ import re
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from maskwright.llm import langid, neardup, pii, quality, registry
@@ -54,6 +55,21 @@ def test_stages(spark, sf, tmp_path):
     assert docs.select("doc_id").distinct().count() == before.count()
 
 
+def test_language_without_labels_keeps_texts_with_letters(spark):
+    rows = [(1, "a few words"), (2, "123 456"), (3, None), (4, "слова")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
+    with pytest.warns(UserWarning):
+        assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()) == [1, 4]
+
+
+def test_language_score_follows_the_number_of_languages(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a few words", "en")], "doc_id long, text string, lang string")
+    for score, languages, kept in ((0.2, 10, 1), (0.1, 10, 0), (0.55, 2, 0), (1.0, 1, 1), (0.3, 4, 1)):
+        monkeypatch.setattr(langid, "train", lambda *a, n=languages: type("Model", (), {"languages": ("en",) * n}))
+        monkeypatch.setattr(langid, "predict", lambda d, m, names, s=score: d.withColumn(names[0], F.lit("en")).withColumn(names[1], F.lit(s)))
+        assert corpus_pipeline.language(spark, docs, "").count() == kept
+
+
 def test_pipeline_keeps_odd_rows_out_without_failing(spark, tmp_path):
     rows = [(1, None, "en", None, None), (None, "w. " * 80, None, "s", 1), (2, "", "en", "s", 0), (3, " ".join(f"word{i}, again." for i in range(60)), "en", "s", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
