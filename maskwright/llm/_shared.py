@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share for cut lineages.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a folder of this machine is set instead.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset and all runs in one process,
+    as in tests, a folder of this machine is set instead; on a cluster that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -21,6 +21,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc._jsc.sc().isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="maskwright-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -7,12 +7,14 @@ of them span the Nyström approximation, and kernel ridge regression fits one fu
 against the rest. As the kernel is a scaled inner product of presence vectors, a function's landmark
 expansion folds into one weight per position, and a batch of texts is scored by one matrix product.
 
-``TRAIN_ROWS`` bounds the sample: the rows with the smallest hash of their id, as many for each
-language as the bound allows. Their features are computed by the executors, so only bits come to the driver.
+``TRAIN_ROWS`` bounds the sample: the rows with the smallest hash of id and text, as many for each
+language as the bound allows, and of rare languages all. Their features are computed by the executors,
+so only bits come to the driver.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0. Null languages teach
-nothing; without any labelled row every text is ``und``. Null ids pass through; repeated rows get
-equal results; other columns are ignored.
+nothing; without any labelled row every text is ``und``. Null ids teach nothing and pass through;
+repeated rows get equal results; an empty table gives an empty result. ``predict`` keeps all columns and
+replaces those with the names that it is asked to give; ``identify`` ignores other columns.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ._shared import bounded_batches, give_back
 
@@ -32,8 +35,10 @@ FEATURES = 1 << 14
 TRAIN_ROWS = 1600
 LANDMARKS = 256
 RIDGE = 1e-2
-#: Languages at most; more would be labels of another kind.
-LANGUAGES = 400
+#: Rows that every language has a share of, however many languages divide the sample.
+LEAST_SHARE = 4
+#: Languages beyond this are refused by an error: such labels name something else.
+LANGUAGES = 4000
 UNDEFINED = "und"
 #: Code points that are featurised at a time.
 CHUNK_CHARS = 2_000_000
@@ -144,24 +149,28 @@ def _features(rows: DataFrame) -> DataFrame:
 
 
 def training_rows(docs: DataFrame, teaches: Column, rows: int = TRAIN_ROWS) -> DataFrame:
-    """lang and text of the sample: for each language those rows with the smallest hash of their id.
+    """lang and text of the sample: for each language those rows with the smallest hash of id and text.
 
-    The counts by language set a cut of the hash that keeps a little more than its share, so the
-    texts of other rows are never sorted or moved.
+    The sample holds ``rows`` rows in equal shares, or ``LEAST_SHARE`` of each language where that is more.
+    The counts by language set a cut of the hash that keeps a little more than a share, so the texts of
+    other rows are never sorted or moved.
     """
     ok = docs.where(teaches & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    counts = ok.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()  # bounded by LANGUAGES
-    share = -(-rows // max(1, len(counts)))
-    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    cut = F.lit(False)
-    for r in counts:
-        least = min(1.0, (share + 4 * share**0.5) / r["count"])
-        cut = cut | ((F.col("lang") == r["lang"]) & (u < int(least * (1 << 30))))
-    return ok.where(cut).orderBy(u, "doc_id", "lang").limit(2 * rows).select("lang", F.coalesce("text", F.lit("")).alias("text"))
+    counts = ok.groupBy("lang").count().orderBy("lang").limit(LANGUAGES + 1).collect()  # bounded by LANGUAGES
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} distinct values of lang")
+    share = max(LEAST_SHARE, -(-rows // max(1, len(counts))))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    u = F.pmod(F.xxhash64("doc_id", text), F.lit(1 << 30))
+    least = {r["lang"]: int(min(1.0, (share + 4 * share**0.5 + 8) / r["count"]) * (1 << 30)) for r in counts}
+    cuts = docs.sparkSession.createDataFrame(sorted(least.items()), "lang string, _mw_least long")
+    near = ok.select("lang", text.alias("text"), u.alias("u"), "doc_id").join(F.broadcast(cuts), "lang").where("u < _mw_least")
+    first = Window.partitionBy("lang").orderBy("u", "doc_id", "text")
+    return near.withColumn("_mw_rank", F.row_number().over(first)).where(F.col("_mw_rank") <= share).select("lang", "text")
 
 
 def train(docs: DataFrame, teaches: Column, rows: int = TRAIN_ROWS) -> Model:
-    got = _features(training_rows(docs, teaches, rows)).collect()  # 2 KB a row, twice TRAIN_ROWS rows at most
+    got = _features(training_rows(docs, teaches, rows)).collect()  # 2 KB a row; rows as training_rows bounds them
     got.sort(key=lambda r: (r["lang"], r["bits"]))
     present = np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in got), np.uint8).reshape(len(got), -1), axis=1).astype(bool) if got else np.zeros((0, FEATURES), bool)
     return fit(present, [r["lang"] for r in got])

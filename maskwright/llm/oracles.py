@@ -1,5 +1,7 @@
 """DuckDB SQL for the results of the corpus queries that SQL can express."""
 
+from .quality import BOILERPLATE
+
 OP8 = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -42,7 +44,7 @@ r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, un
 l AS (SELECT doc_id, trim(line) AS s, length(trim(line)) AS chars, length(trim(line)) - length(replace(trim(line), ' ', '')) + 1 AS n
   FROM (SELECT doc_id, unnest(lines) AS line FROM c)),
 j AS (SELECT doc_id, chars,
-    regexp_matches(s, '(?i)^\s*(copyright\b|all rights reserved|cookie (policy|settings)|terms of (use|service)|privacy policy|subscribe (now|to our)|click here|sign (in|up)\b|log ?in\b|skip to (main )?content|enable javascript)')
+    regexp_matches(s, '__BOILERPLATE__')
     OR (length(regexp_replace(s, '[^|»›•·]+', '', 'g')) >= 1 AND length(regexp_replace(s, '[^|»›•·]+', '', 'g')) * 8 >= n)
     OR length(regexp_replace(s, '[^#*$%&|<>]+', '', 'g')) * 4 > n
     OR (len(string_split(s, '!!')) - 1) * 3 > n
@@ -55,4 +57,4 @@ o AS (SELECT c.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_s
   FROM c LEFT JOIN r USING (doc_id) LEFT JOIN d USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM o)
 SELECT *, NOT base_failed AND NOT 100 * lost_chars > 30 * line_chars AS kept FROM f
-"""
+""".replace("__BOILERPLATE__", BOILERPLATE)

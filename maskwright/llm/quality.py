@@ -26,11 +26,14 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_LOST_PERCENT = 30
 NAV_WORDS = 40
-#: Bits of a packed value that hold a window's position: texts of up to 2**28 words.
-POSITION_BITS = 28
 
 # Notices that make a line boilerplate wherever they stand.
-BOILERPLATE = r"(?i)^\s*(copyright\b|all rights reserved|cookie (policy|settings)|terms of (use|service)|privacy policy|subscribe (now|to our)|click here|sign (in|up)\b|log ?in\b|skip to (main )?content|enable javascript)"
+BOILERPLATE = (
+    r"(?i)^\s*(copyright\b|all rights reserved|cookie (policy|settings)|terms of (use|service)|privacy policy|subscribe (now|to our)|click here|sign (in|up)\b|log ?in\b|skip to (main )?content|enable javascript"
+    r"|alle rechte vorbehalten|datenschutzerkl|impressum\b|nutzungsbedingungen|jetzt abonnieren|hier klicken|zum inhalt springen"
+    r"|tous droits r[ée]serv|mentions l[ée]gales|politique de confidentialit|conditions d.utilisation|abonnez-vous|cliquez ici|aller au contenu"
+    r"|todos los derechos reservados|aviso legal|pol[ií]tica de (privacidad|cookies)|t[ée]rminos (de uso|y condiciones)|suscr[ií]bete|haz clic aqu|saltar al contenido)"
+)
 
 
 def words_of(text: Column) -> Column:
@@ -40,12 +43,10 @@ def words_of(text: Column) -> Column:
 def repeat_words(words: Column) -> Column:
     """Words inside three-word windows found twice or more.
 
-    A window's value packs the upper bits of its hash and its position. Sorted, equal windows are
-    neighbours; neighbours count as equal if their full hashes are. Texts
-    whose windows are all different, most of them, need no sort.
+    Windows are told apart by 64-bit hashes of their words. Sorted with their positions, equal ones are
+    neighbours. Texts whose windows are all different, most of them, need no sort.
     """
     n = F.size(words)
-    mask = (1 << POSITION_BITS) - 1
 
     def windows(w: Column) -> Column:
         return F.when(
@@ -54,22 +55,13 @@ def repeat_words(words: Column) -> Column:
         ).otherwise(F.array().cast("array<bigint>"))
 
     def found(hashes: Column) -> Column:
-        packed = F.array_sort(F.transform(hashes, lambda h, i: h.bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long"))))
+        placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
 
         def twice(p: Column) -> Column:
-            at = lambda k: F.get(p, k).bitwiseAND(F.lit(mask)).cast("int")
-            value = lambda k: F.get(hashes, at(k))
-            last = F.size(p) - 1
-            return F.transform(
-                F.filter(
-                    F.sequence(F.lit(0), last),
-                    lambda k: ((k > 0) & (value(k - 1) == value(k))) | ((k < last) & (value(k + 1) == value(k))),
-                ),
-                at,
-            )
-
-        starts = F.when(F.size(packed) > 0, F.array_sort(let(packed, twice))).otherwise(F.array().cast("array<int>"))
-        return let(starts, covered)
+            same = lambda x, k: F.coalesce(F.get(p, k)["h"] == x["h"], F.lit(False))
+            return F.transform(F.filter(p, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["at"])
+
+        return let(F.array_sort(let(placed, twice)), covered)
 
     def covered(s: Column) -> Column:
         return F.when(F.size(s) == 0, F.lit(0)).otherwise(

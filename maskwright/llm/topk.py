@@ -1,19 +1,23 @@
 """Exact top-k inner products by no-random-access aggregation over sorted lists.
 
 Each dimension of a block of candidates is a list sorted by its component; a query reads it from the
-end that its own component's sign asks for. After a depth is read, a candidate's score lies between a
-lower bound, with the list's worst value for each component not seen, and an upper bound, with the
-value at the depth. A candidate whose upper bound is below the k-th largest lower bound can't
-qualify; when only few can, or all is read, their final scores are resolved. How far a list is read
-doesn't depend on the query, so bounds of all queries of a block are matrix products.
+end that its own component's sign asks for. All lists are read in step, slice after slice; what a slice
+holds is added to its candidates' sums, and nothing else of a candidate is looked at. A candidate's
+score lies between a lower bound, with the list's worst value for each component not read, and an upper
+bound, with the value at the depth. A query stops reading a block when, apart from a few candidates,
+upper bounds are below the k-th largest score that is certain: of the lower bounds of this block, or of
+the final scores of blocks read before, which is carried along. The few that may still qualify get their
+final scores; a query that nobody in the block can satisfy ends without any.
 
-Queries and candidates are dealt to blocks of bounded size, and each pair of blocks is a unit of work:
-the stated queries against all rows, in blocks. Only k rows a query leave a unit.
+Queries and candidates are dealt to a grid of cells of bounded size: the stated queries against all rows,
+in blocks. A cell is a unit of work and reads its blocks one after another; only k rows a query leave it.
 
 Defined results: vectors that are null or hold nulls or non-finite numbers take no part, nor do rows
 with a null id; vectors meet only vectors of equal length. A query's own rows, those with its id, are
-no candidates. Repeated query rows count once, repeated candidates each; ties go to the smaller
-vec_id. With fewer than k candidates all are returned. Other columns are ignored.
+no candidates. Repeated query rows count once, repeated candidates each, up to k; ties go to the smaller
+vec_id. With fewer than k candidates all are returned. Sums are exact whatever the size of the numbers; a
+score outside 64 bits is given as the nearest that fits. An empty table gives an empty result. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,66 +30,127 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-QUERY_BLOCK = 512
-CANDIDATE_BLOCK = 8192
-#: Parts of the lists that are read before bounds are looked at again.
-DEPTHS = (0.25, 0.5)
-#: Up to this part of the candidates the final scores of those that may qualify are resolved.
-RESOLVE = 0.1
-#: Whole numbers up to here are exact as doubles.
-EXACT = 2.0**53
+#: Queries that read a block together, and candidates of a block.
+QUERY_BATCH = 64
+BLOCK = 8192
+#: Most and fewest queries and candidates of a cell.
+QUERY_CELL, LEAST_QUERY_CELL = 8192, 256
+CANDIDATE_CELL, LEAST_CANDIDATE_CELL = 65_536, 4096
+#: Parts of the lists at which bounds are looked at; the last is all.
+DEPTHS = (0.3, 0.5, 0.65, 0.75, 0.82, 0.88, 0.93, 0.97, 1.0)
+#: A query stops reading when this part of the candidates may still qualify, or k of them if that is more.
+RESOLVE = 1 / 64
+_LEAST, _MOST = -(2**63), 2**63 - 1
+
+
+def number_type(largest: int, dim: int):
+    """A type in which sums of ``dim`` products of two numbers up to ``largest`` are exact."""
+    bound = 4 * largest * largest * max(1, dim)
+    return np.float64 if bound < 2**53 else np.int64 if bound < 2**63 else object
+
+
+def whole(values: np.ndarray) -> np.ndarray:
+    """Whole numbers that came as doubles, as Python's integers."""
+    return np.array([int(v) for v in values.ravel()], object).reshape(values.shape)
 
 
 class SortedLists:
-    """The sorted lists of a block of candidates."""
-
-    def __init__(self, values: np.ndarray):
-        self.values = values
-        self.sorted = np.sort(values, axis=0)
-
-    def bounds(self, queries: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds of all scores once ``depth`` entries of each list are read."""
-        x, least, most = self.values, self.sorted[0], self.sorted[-1]
-        from_top, from_end = self.sorted[len(x) - depth], self.sorted[depth - 1]
-        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-        upper = up @ np.maximum(x, from_top).T + down @ np.minimum(x, from_end).T
-        lower = up @ np.where(x >= from_top, x, least).T + down @ np.where(x <= from_end, x, most).T
-        return lower, upper
-
-
-def top(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, values: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query id, id, score) of each query's k best candidates."""
-    largest = max(float(np.abs(values).max(initial=0)), float(np.abs(queries).max(initial=0)))
-    if largest * largest * values.shape[1] >= EXACT:
-        values, queries = values.astype(object), queries.astype(object)  # Python's integers: slow, but right
-    order = np.argsort(ids, kind="stable")
-    ids, values = ids[order], values[order]
-    own = query_ids[:, None] == ids[None, :]
-    open_ = ~own
-    if values.dtype != object:
-        lists, active = SortedLists(values), np.arange(len(queries))
+    """A block's sorted lists. ``read`` counts the entries that queries read."""
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray):
+        by_id = np.argsort(ids, kind="stable")
+        self.ids, self.values = ids[by_id], values[by_id]
+        self.order = np.argsort(self.values, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(self.values, self.order, axis=0)
+        self.place = np.empty_like(self.order)
+        np.put_along_axis(self.place, self.order, np.arange(len(ids))[:, None], axis=0)
+        self.read = 0
+
+    def open_after(self, queries: np.ndarray, certain: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(query, places of the candidates that may qualify), as the queries stop reading.
+
+        ``certain`` is a score that k candidates of other blocks are known to reach, or None.
+        """
+        n, dim = self.values.shape
+        active = np.arange(len(queries))
+        up = np.maximum(queries, 0)
+        down = np.minimum(queries, 0)
+        worst = up @ self.sorted[0] + down @ self.sorted[-1]  # the sum of the worst values of all lists
+        lower = np.repeat(worst[None, :], n, axis=0)  # candidates x queries
+        done = 0
         for part in DEPTHS:
-            depth = max(1, int(part * len(ids)))
-            lower, upper = lists.bounds(queries[active], depth)
-            lower[own[active]] = -np.inf
-            if len(ids) > k:
-                at_least = np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k]
-                open_[active] &= upper >= at_least[:, None]
-            active = active[open_[active].sum(axis=1) > RESOLVE * len(ids)]
-            if not len(active):
-                break
-    out = []
-    some = open_.any(axis=0)
-    ids, values, open_ = ids[some], values[some], open_[:, some]
-    scores = queries @ values.T
-    for q, row, allowed in zip(query_ids.tolist(), scores, open_, strict=True):
-        at = np.flatnonzero(allowed)
-        if len(at) > k and values.dtype != object:
-            least = np.partition(row[at], len(at) - k)[len(at) - k]
-            at = at[row[at] >= least]
-        best = sorted(((-int(row[i]), int(ids[i])) for i in at.tolist()))[:k]
-        out += [(q, i, -s) for s, i in best]
-    return out
+            depth = n if part == 1.0 else max(done + 1, int(part * n))
+            if depth > n:
+                return
+            for d in range(dim):
+                for sign, at, least in ((up, self.order[n - depth : n - done, d], self.sorted[0, d]), (down, self.order[done:depth, d], self.sorted[-1, d])):
+                    reads = np.flatnonzero(sign[active, d])
+                    if len(reads):
+                        gain = (self.values[at, d] - least)[:, None] * sign[active[reads], d][None, :]
+                        if len(reads) == len(active):
+                            lower[at] += gain
+                        else:
+                            lower[np.ix_(at, reads)] += gain
+                        self.read += len(at) * len(reads)
+            done = depth
+            unread_top, unread_end = (self.place < n - depth), (self.place >= depth)
+            most_top, most_end = self.sorted[n - depth], self.sorted[depth - 1]
+            of = self.values.dtype
+            upper = lower + unread_top.astype(of) @ (up[active] * (most_top - self.sorted[0])).T + unread_end.astype(of) @ (down[active] * (most_end - self.sorted[-1])).T
+            stays = []
+            for j, q in enumerate(active.tolist()):
+                mine = np.flatnonzero(~own[q])
+                least = certain[q]
+                if len(mine) >= k:
+                    reached = np.partition(lower[mine, j], len(mine) - k)[len(mine) - k] if of != object else sorted(lower[mine, j].tolist())[-k]
+                    least = reached if least is None else max(least, reached)
+                places = mine if least is None else mine[(upper[mine, j] >= least).astype(bool)]
+                if len(places) <= max(k, int(RESOLVE * n)) or depth == n:
+                    yield q, places
+                else:
+                    stays.append(j)
+            if not stays:
+                return
+            active, lower = active[stays], lower[:, stays]
+
+
+class Cell:
+    """The best k of each query over the blocks read so far."""
+
+    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
+        self.query_ids, self.queries, self.k = query_ids, queries, k
+        self.best: list[list[tuple[int, int]]] = [[] for _ in query_ids]  # (-score, id), sorted
+        self.read = self.resolved = 0
+
+    def take(self, ids: np.ndarray, values: np.ndarray) -> None:
+        """Read a block of candidates."""
+        largest = int(max((abs(v) for side in (values, self.queries) for v in (side.max(initial=0), side.min(initial=0)))))
+        kind = number_type(largest, values.shape[1])
+        cast = whole if kind is object else lambda x: x.astype(kind)
+        lists, queries = SortedLists(ids, cast(values)), cast(self.queries)
+        for a in range(0, len(queries), QUERY_BATCH):
+            rows = slice(a, a + QUERY_BATCH)
+            own = self.query_ids[rows, None] == lists.ids[None, :]
+            certain = np.array([-int(b[-1][0]) if len(b) == self.k else None for b in self.best[rows]], object)
+            for q, places in lists.open_after(queries[rows], certain, own, self.k):
+                if len(places):
+                    scores = lists.values[places] @ queries[a + q]
+                    self.resolved += len(places)
+                    found = [(-int(s), int(lists.ids[p])) for s, p in zip(scores.tolist(), places.tolist(), strict=True)]
+                    self.best[a + q] = sorted(self.best[a + q] + found)[: self.k]
+        self.read += lists.read
+
+    def rows(self) -> list[tuple[int, int, int]]:
+        """(query id, id, score)."""
+        return [(int(q), i, min(max(-s, _LEAST), _MOST)) for q, best in zip(self.query_ids, self.best, strict=True) for s, i in best]
+
+
+def top(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, values: np.ndarray, k: int, block: int = BLOCK) -> Cell:
+    """A cell's queries against all its candidates, block after block."""
+    cell = Cell(query_ids, queries, k)
+    for a in range(0, len(ids), block):
+        cell.take(ids[a : a + block], values[a : a + block])
+    return cell
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
@@ -97,31 +162,49 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     )
 
 
-def _blocks(rows: DataFrame, size: int, n: int, prefix: str) -> DataFrame:
-    """Packed blocks of about ``size`` rows of equal vector length, dealt by a hash of the id."""
-    count = max(1, -(-n // size))
-    return (
-        rows.groupBy(F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(count)).alias("block"))
-        .agg(F.collect_list(F.struct("vec_id", "v")).alias("rows"))
-        .select(F.col("dim").alias(f"{prefix}_dim"), F.col("rows.vec_id").alias(f"{prefix}_ids"), F.flatten("rows.v").alias(f"{prefix}_values"))
+def _cells(rows: DataFrame, mine: int, other: int, prefix: str, turned: bool) -> DataFrame:
+    """Packed parts of ``rows``, dealt by a hash to ``mine`` stripes, each copied to the ``other`` side's stripes.
+
+    Rows must be distinct, so a hash of id and vector deals them evenly.
+    """
+    packed = (
+        rows.groupBy(F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(mine)).cast("int").alias("own"))
+        .agg(F.collect_list(F.struct("vec_id", "v", "copies")).alias("rows"))
+        .withColumn("met", F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
     )
+    row, column = ("met", "own") if turned else ("own", "met")
+    return packed.select(
+        "dim", F.col(row).alias("cell_row"), F.col(column).alias("cell_column"), F.col("rows.vec_id").alias(f"{prefix}_ids"), F.flatten("rows.v").alias(f"{prefix}_values"), F.col("rows.copies").alias(f"{prefix}_copies")
+    )
+
+
+def _stripes(n: int, tasks: int, least: int, most: int) -> int:
+    """Into how many stripes n rows go: enough for the tasks, none under ``least`` or over ``most`` rows on average."""
+    return max(1, -(-n // min(most, max(least, -(-n // tasks)))))
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id, score; both sides have vec_id and v as from ``quantised``."""
-    asked = queries.dropDuplicates(["vec_id", "v"])
-    left = _blocks(candidates, CANDIDATE_BLOCK, candidates.count(), "c")
-    right = _blocks(asked, QUERY_BLOCK, asked.count(), "q")
+    """query_id, rank, vec_id, score; both sides have vec_id and v as from ``quantised``.
+
+    Repeated rows are counted before they are dealt, so a vector that fills a third of the table is one row.
+    """
+    tasks = max(1, candidates.sparkSession.sparkContext.defaultParallelism)
+    held = candidates.groupBy("vec_id", "v").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("copies"))
+    asked = queries.select("vec_id", "v", F.lit(1).alias("copies")).dropDuplicates(["vec_id", "v"])
+    n_rows = _stripes(candidates.count(), tasks, LEAST_CANDIDATE_CELL, CANDIDATE_CELL)
+    n_columns = _stripes(queries.count(), max(1, tasks // n_rows), LEAST_QUERY_CELL, QUERY_CELL)
+    left, right = _cells(held, n_rows, n_columns, "c", False), _cells(asked, n_columns, n_rows, "q", True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                dim = batch.column("c_dim")[i].as_py()
-                ids, values, query_ids, queries = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("c_ids", "c_values", "q_ids", "q_values"))
-                rows = top(query_ids, queries.reshape(-1, dim), ids, values.reshape(-1, dim), k)
+                dim = batch.column("dim")[i].as_py()
+                ids, values, copies, query_ids, asked_values = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("c_ids", "c_values", "c_copies", "q_ids", "q_values"))
+                where = np.repeat(np.arange(len(ids)), copies)
+                rows = top(query_ids, asked_values.reshape(-1, dim), ids[where], values.reshape(-1, dim)[where], k).rows()
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else ((), (), ()))], ["query_id", "vec_id", "score"])
 
-    met = left.crossJoin(right).where("c_dim = q_dim").mapInArrow(run, "query_id long, vec_id long, score long")
+    met = left.join(right, ["dim", "cell_row", "cell_column"]).mapInArrow(run, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

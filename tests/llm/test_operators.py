@@ -123,6 +123,12 @@ def test_quality_matches_brute_force(spark, edge):
         assert r.base_failed == (len(w) < 50 or 100 * len(repeated) > 50 * len(w))
 
 
+def test_windows_that_share_hash_bits_are_told_apart(spark):
+    a, b = "a29118", "a938093"
+    df = spark.createDataFrame([(1, f"{a} b c x1 {b} b c x2 {a} b c x3 {b} b c")], "doc_id long, text string")
+    assert quality.measure(df).select("quality.n_repeat_words").first()[0] == 12
+
+
 def test_quality_lines(spark):
     d = random.Random(4)
     body = "\n".join(" ".join("".join(d.choices("abcdefghi", k=6)) for _ in range(20)) + ", and so on." for _ in range(8))
@@ -263,13 +269,32 @@ def test_top_k_matches_brute_force(spark):
     assert topk.top_k(rows.where("vec_id < 0"), rows).count() == 0
 
 
-def test_bounds_hold():
+@pytest.mark.parametrize("scale", [40, 2**31, 2**60])
+def test_lists_stop_early_and_stay_exact(scale):
     d = np.random.default_rng(3)
-    x, q = np.floor(d.normal(0, 40, (200, 6))), np.floor(d.normal(0, 40, (9, 6)))
-    for depth in (1, 20, 100, 200):
-        low, high = topk.SortedLists(x).bounds(q, depth)
-        assert (low <= q @ x.T).all() and (q @ x.T <= high).all()
-    assert (low == high).all()
+    x, q = (np.floor(np.cumsum(d.normal(0, scale / 8, (n, 6)), axis=1)) for n in (600, 9))
+    ids, query_ids = d.permutation(600), np.arange(9)
+    cell = topk.top(query_ids, q, ids, x, 5, block=100)
+    dot = lambda a, b: sum(int(u) * int(v) for u, v in zip(a, b, strict=True))
+    want = [(i, c, s) for i in range(9) for s, c in sorted((-dot(q[i], x[j]), int(ids[j])) for j in range(600) if ids[j] != i)[:5]]
+    assert cell.rows() == [(i, c, min(max(-s, -(2**63)), 2**63 - 1)) for i, c, s in want]
+    every = 9 * 600 * 6
+    assert cell.read < 0.8 * every and cell.resolved < 0.2 * 9 * 600
+
+
+def test_read_counts_and_carried_scores():
+    d = np.random.default_rng(4)
+    x, q = (np.floor(d.normal(0, 40, (n, 4))) for n in (4000, 20))
+    ids, query_ids = np.arange(4000), np.arange(-20, 0)
+    carried, alone = topk.top(query_ids, q, ids, x, 5, block=500), [topk.top(query_ids, q, ids[a : a + 500], x[a : a + 500], 5) for a in range(0, 4000, 500)]
+    assert carried.read < sum(c.read for c in alone) < 20 * 4000 * 4 and carried.resolved < sum(c.resolved for c in alone)
+
+
+def test_top_k_repeats_and_clashing_columns(spark):
+    rows = [(i, [1.0, 0.5], "a", 1) for i in (50, 51, 51, 51, 52)] + [(51, [1.0, 0.5], "b", 2)] * 9
+    df = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string, rank int"))
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df.where("vec_id = 50"), df, 5).orderBy("rank").collect()]
+    assert got == [(50, k, 51, 256 * 256 + 128 * 128) for k in range(1, 6)]
 
 
 # sharding
@@ -337,6 +362,35 @@ def test_language(spark, sf, edge, none):
     assert {r.lang_pred for r in untaught} == {"und"}
 
 
+def test_every_language_has_its_share(spark):
+    rows = [(i, f"text {i}", f"l{i % 150}" if i >= 20 else "rare") for i in range(20 + 150 * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = {r["lang"]: r["count"] for r in langid.training_rows(docs, F.lit(True), 1510).groupBy("lang").count().collect()}
+    assert len(counts) == 151 and set(counts.values()) == {10}
+    few = {r["lang"]: r["count"] for r in langid.training_rows(docs, F.lit(True), 10).groupBy("lang").count().collect()}
+    assert len(few) == 151 and set(few.values()) == {langid.LEAST_SHARE}
+    one = spark.createDataFrame([(7, f"text {i}", "en") for i in range(300)] + [(7, "same", "en")] * 50, "doc_id long, text string, lang string")
+    assert langid.training_rows(one, F.lit(True), 100).count() == 100
+
+
+def test_kernel_matches_its_definition(spark):
+    d = random.Random(21)
+    texts = ["".join(d.choices("abcdefg hij", k=30)) if i % 2 else "".join(d.choices("klmnopq rst", k=30)) for i in range(60)]
+    labels = ["x" if i % 2 else "y" for i in range(60)]
+    present = langid._grams(texts).astype(bool)
+    model = langid.fit(present, labels, landmarks=60, ridge=1e-2)
+    sets = [set(np.flatnonzero(p)) for p in present]
+    kernel = np.array([[len(a & b) / (len(a) * len(b)) ** 0.5 for b in sets] for a in sets])
+    y = np.where(np.array(labels) == "x", 1.0, -1.0)
+    w, v = np.linalg.eigh(kernel)
+    keep = w > 1e-6 * w[-1]
+    phi = kernel @ (v[:, keep] / np.sqrt(w[keep]))
+    value = phi @ np.linalg.solve(phi.T @ phi + 1e-2 * 60 * np.eye(keep.sum()), phi.T @ (y - y.mean()))
+    folded = (langid._grams(texts) @ model.weights)[:, 0] / np.sqrt(present.sum(axis=1))
+    assert np.abs(folded - value).max() < 1e-3
+    assert model.predict(texts)[0] == labels
+
+
 def test_hidden_addresses_and_bare_numbers_are_proposed():
     seen = lambda text: {(k, text[s:e]) for k, s, e in pii.candidates(text)}
     for text in ("jane at mail [dot] example", "jane at mail.example.com", "jane (At) mail.org", "Jane AT mail DOT org", "a.b[at]c(dot)de"):
