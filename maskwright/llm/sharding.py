@@ -2,7 +2,9 @@
 
 Every record is hashed into one of a fixed number of virtual slots, thousands of them whatever the
 number of shards. Bytes and rows are aggregated per slot, a table of bounded size, and a versioned
-map gives each slot its shard. Rebalancing edits the map: it moves slots, never single records.
+map, stored as a table, gives each slot its shard. The first version deals slots round robin, before any
+record is seen. Rebalancing edits the newest version for the loads that were measured and stores the next: it
+moves slots, never single records. Records are placed by the map as it is stored.
 
 Defined results: a null text counts no bytes, and its checksum is that of an empty text. A null id is
 hashed by its text. Repeated rows are rows of their own with their own positions; their order among
@@ -12,7 +14,7 @@ so clashing names do no harm. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import heapq
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +46,12 @@ def store_map(spark: SparkSession, slot_map: SlotMap, path: str) -> None:
     spark.createDataFrame(slot_map.to_rows(), MAP_SCHEMA).coalesce(1).write.mode("append").parquet(path)
 
 
+def has_map(spark: SparkSession, path: str) -> bool:
+    """Whether a map is stored at ``path``, on whatever file system that is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
     """The given version of a stored map, or its newest."""
     table = spark.read.schema(MAP_SCHEMA).parquet(path)
@@ -77,18 +85,12 @@ def slot_loads(recs: DataFrame, slots: int = SLOTS) -> list[tuple[int, int]]:
     return loads
 
 
-def balance(loads: list[tuple[int, int]], n_shards: int) -> SlotMap:
-    """A first map: slots by falling bytes, each to the shard with the fewest bytes so far."""
-    heap = [(0, 0, s) for s in range(n_shards)]
-    shard_of = [0] * len(loads)
-    for slot in sorted(range(len(loads)), key=lambda k: (-loads[k][0], k)):
-        b, n, shard = heapq.heappop(heap)
-        shard_of[slot] = shard
-        heapq.heappush(heap, (b + loads[slot][0], n + 1, shard))
-    return SlotMap(1, n_shards, tuple(shard_of))
+def first_map(n_shards: int, slots: int = SLOTS) -> SlotMap:
+    """The version before any load is known: slots round robin."""
+    return SlotMap(1, n_shards, tuple(slot % n_shards for slot in range(slots)))
 
 
-def rebalance(slot_map: SlotMap, loads: list[tuple[int, int]], n_shards: int | None = None, slack: float = 0.01) -> SlotMap:
+def rebalance(slot_map: SlotMap, loads: list[tuple[int, int]], n_shards: int | None = None, slack: float = 0.0005) -> SlotMap:
     """The next version of the map, for new loads or a larger number of shards.
 
     Slots move from the fullest shard to the emptiest while that narrows the gap between them and
@@ -142,17 +144,29 @@ def place(recs: DataFrame, slot_map: SlotMap, loads: list[tuple[int, int]]) -> D
     )
 
 
-def shard(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """All rows of ``docs`` dealt to ``n_shards`` shards of nearly equal bytes."""
+def shard(docs: DataFrame, n_shards: int, map_path: str, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
+    """All rows of ``docs`` dealt to ``n_shards`` shards of nearly equal bytes.
+
+    The map at ``map_path`` is begun where there is none, edited for the loads of ``docs``, and read again.
+    """
+    spark = docs.sparkSession
     recs = records(docs, id_col, text_col, slots)
     loads = slot_loads(recs, slots)
-    return place(recs, balance(loads, n_shards), loads)
+    if not has_map(spark, map_path):
+        store_map(spark, first_map(n_shards, slots), map_path)
+    before = load_map(spark, map_path)
+    after = rebalance(before, loads, n_shards)
+    if after.moved or after.n_shards != before.n_shards:
+        store_map(spark, after, map_path)
+    return place(recs, load_map(spark, map_path), loads)
 
 
 def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ._shared import documents
+    """A run begins its own map, so that its result depends on the table alone."""
+    from ._shared import documents, ensure_checkpoint_dir
 
-    return shard(documents(spark, sf_dir), 40).select(
+    path = f"{ensure_checkpoint_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    return shard(documents(spark, sf_dir), 40, path).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "vslot",
     )

@@ -301,27 +301,53 @@ def test_top_k_repeats_and_clashing_columns(spark):
 
 
 def test_shards(spark, edge, none, tmp_path):
-    rows = sharding.shard(edge, 5).collect()
+    rows = sharding.shard(edge, 5, str(tmp_path / "a")).collect()
     assert len(rows) == len(EDGE)
     for s in range(5):
         slots = sorted(r.slot for r in rows if r.shard == s)
         assert slots == list(range(len(slots)))
     assert {(r.doc_id, r.text_crc32) for r in rows} == {(i, zlib.crc32((t or "").encode())) for i, t in EDGE}
-    assert sharding.shard(none, 5).count() == 0
+    assert sharding.shard(none, 5, str(tmp_path / "b")).count() == 0
+
+
+def test_shards_match_brute_force_and_are_even(spark, sf):
+    """Sizes, checksums, positions and the balance of the query's whole result."""
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()}
+    rows = sharding.op7_virtual_slots(spark, "/root/testdata/sf0.1").collect()
+    assert {r.doc_id: (r.size, r.text_crc32) for r in rows} == {i: (len(t) + 16, zlib.crc32(t)) for i, t in docs.items()} and len(rows) == len(docs)
+    held = [[r for r in rows if r.shard == s] for s in range(40)]
+    assert all(sorted(r.slot for r in h) == list(range(len(h))) for h in held) and sum(map(len, held)) == len(rows)
+    assert len({(r.vslot, r.shard) for r in rows}) == len({r.vslot for r in rows})
+    totals = [sum(r.size for r in h) for h in held]
+    assert max(totals) - min(totals) <= 0.02 * sum(totals) / 40
+
+
+def test_the_stored_map_is_edited(spark, tmp_path):
+    path = str(tmp_path / "map")
+    docs = lambda k: spark.createDataFrame([(i, "x" * (i % 50) * k) for i in range(2000)], "doc_id long, text string")
+    sharding.shard(docs(1), 4, path, slots=64).collect()
+    one = sharding.load_map(spark, path)
+    rows = sharding.shard(docs(1), 5, path, slots=64).collect()
+    two = sharding.load_map(spark, path)
+    assert two.version == one.version + 1 and two.n_shards == 5
+    assert all(a == b or b == 4 for a, b in zip(one.shard_of, two.shard_of, strict=True))
+    assert all(two.shard_of[r.vslot] == r.shard for r in rows)
+    sharding.shard(docs(1), 5, path, slots=64).collect()
+    assert sharding.load_map(spark, path, one.version).shard_of == one.shard_of
 
 
 def test_rebalancing_moves_slots_only_where_needed(spark, tmp_path):
     loads = [(100 + k % 7, 1) for k in range(400)]
-    first = sharding.balance(loads, 8)
+    first = sharding.rebalance(sharding.first_map(8, 400), loads)
     grown = sharding.rebalance(first, loads, 9)
-    assert grown.version == 2 and set(grown.moved) == {k for k in range(400) if first.shard_of[k] != grown.shard_of[k]}
+    assert grown.version == 3 and set(grown.moved) == {k for k in range(400) if first.shard_of[k] != grown.shard_of[k]}
     assert all(grown.shard_of[k] == 8 for k in grown.moved)
     totals = [sum(loads[k][0] for k in range(400) if grown.shard_of[k] == s) for s in range(9)]
     assert max(totals) <= 1.03 * min(totals)
     for m in (first, grown):
         sharding.store_map(spark, m, str(tmp_path / "map"))
     assert sharding.load_map(spark, str(tmp_path / "map")).shard_of == grown.shard_of
-    assert sharding.load_map(spark, str(tmp_path / "map"), 1).shard_of == first.shard_of
+    assert sharding.load_map(spark, str(tmp_path / "map"), 2).shard_of == first.shard_of
 
 
 # chat
@@ -339,6 +365,34 @@ def test_marks_cannot_be_forged():
         assert chat.read_back("".join(t for t, _ in chat.render(turns))) == turns
 
 
+@pytest.mark.parametrize(
+    "template",
+    [chat.Template(opening="<|im_start|>{role}\n", closing="<|im_end|>", escape="~"), chat.Template(opening="{role}: ", closing="\n\n", separator=""), chat.Template(opening="e{role}n", closing="ee", separator="e", escape="x")],
+)
+def test_any_template_reads_back(template):
+    d = random.Random(10)
+    alphabet = template.opening.replace("{role}", "") + template.closing + template.separator + template.escape + "ab"
+    for _ in range(1000):
+        turns = [("".join(d.choices(alphabet, k=d.randint(0, 5))), "".join(d.choices(alphabet, k=d.randint(0, 30)))) for _ in range(d.randint(0, 4))]
+        assert chat.read_back("".join(t for t, _ in chat.render(turns, template)), template) == turns
+
+
+def test_templates_that_cannot_read_back_are_refused():
+    for bad in ({"closing": ""}, {"opening": "[{role}"}, {"escape": "["}, {"escape": ""}):
+        with pytest.raises(ValueError):
+            chat.Template(**bad)
+
+
+def test_chat_ids_long_texts_and_clashing_columns(spark):
+    names = "valid texts losses turns piece broke_at"
+    rows = [(9007199254740993, 1, "user", "q"), (None, 1, "user", "[x" * 200_000), (9007199254740992, 1, "assistant", "<" * 300_000)]
+    df = spark.createDataFrame([(*r, *names.split()) for r in rows], "conv_id long, turn long, role string, text string, " + ", ".join(f"{n} string" for n in names.split()))
+    out = {r.conv_id: r for r in chat.digests(chat.format_conversations(df)).collect()}
+    assert set(out) == {9007199254740993, 9007199254740992, None}
+    assert out[9007199254740992].loss_chars == 300_000 and out[None].turns_sha256 == hashlib.sha256(("user\n" + "[x" * 200_000 + "\n").encode()).hexdigest()
+    assert chat.digests(chat.format_conversations(df.limit(0))).count() == 0
+
+
 def test_chat_edge(spark):
     rows = spark.createDataFrame([(1, 2, "assistant", "b"), (1, 1, "user", None), (1, None, None, "x"), (None, 1, "user", "q"), (2, 1, "user", "t"), (2, 1, "user", "t")] + [(3, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(700)], "conv_id long, turn long, role string, text string")
     out = {r.conv_id: r for r in chat.digests(chat.format_conversations(rows)).collect()}
@@ -466,11 +520,11 @@ def test_secrets_joined_to_words(spark):
     assert values[-2:] == [[], []]
 
 
-def test_clashing_columns_stay(spark):
+def test_clashing_columns_stay(spark, tmp_path):
     text = " ".join("".join(random.Random(i).choices("abcdefghi", k=6)) + "," for i in range(60))
     names = "quality secrets score lang_pred component_id kept spans slot"
     df = spark.createDataFrame([(1, text, *names.split())], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names.split()))
     want = df.first().asDict()
     for out in (quality.clean(df), secrets.redact(df), pii.redact(df), neardup.deduplicate(df)):
         assert out.first().asDict() == want
-    assert sharding.shard(df, 3).count() == 1 and langid.identify(df.withColumn("lang", F.lit("en"))).count() == 1
+    assert sharding.shard(df, 3, str(tmp_path / 'map')).count() == 1 and langid.identify(df.withColumn("lang", F.lit("en"))).count() == 1
