@@ -8,8 +8,8 @@ size is that of the alphabet squared. A run whose mean reaches the threshold is
 any other the stretches of neighbouring characters that gain most over the threshold are looked for, so
 words joined to a secret don't dilute it; such a stretch is widened to the separators around it.
 
-Offsets are counted natively: a text is split at a pattern's matches, and the lengths of the parts and
-of the matches, summed up, give each match's place in code points.
+Offsets are counted natively: a text is split at a pattern's matches, and running sums of the lengths of
+the parts and of the matches give each match's place in code points, in time that grows with the text.
 
 Defined results: a null text counts as empty; null ids pass through; repeated rows give equal results;
 an empty table gives an empty result; other columns are ignored.
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 import random
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -118,28 +118,68 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Numbers whose sums are formed one by one; longer arrays are summed by blocks of so many.
+SUM_BLOCK = 32
+
+
+def running(numbers: Column, levels: int = 4) -> Column:
+    """Sums of an array up to each place, its own number included.
+
+    Blocks are summed by themselves, their totals in the same way a level higher, so the work grows in
+    proportion for arrays of up to ``SUM_BLOCK`` to the power of ``levels`` plus one, about 33 million.
+    """
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda acc, y: acc + y)
+    plain = lambda x: F.transform(x, lambda _, i: total(F.slice(x, 1, i + 1)))
+    if not levels:
+        return plain(numbers)
+
+    def blocked(x: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / SUM_BLOCK).cast("int")), lambda b: F.slice(x, b * SUM_BLOCK + 1, SUM_BLOCK))
+
+        def joined(parts: Column) -> Column:
+            def shifted(before: Column) -> Column:
+                return F.flatten(F.transform(parts, lambda part, b: F.transform(part, lambda _, i: F.coalesce(F.get(before, b - 1), F.lit(0)) + total(F.slice(part, 1, i + 1)))))
+
+            return let(running(F.transform(parts, total), levels - 1), shifted)
+
+        return let(blocks, joined)
+
+    return let(numbers, lambda x: F.when(F.size(x) <= SUM_BLOCK, plain(x)).otherwise(blocked(x)))
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of a pattern's leftmost non-overlapping matches, in code points."""
+    """array<struct<start, end, value>> of a pattern's leftmost non-overlapping matches, in code points.
+
+    The text is split at the matches; a match ends where the lengths of all parts and matches up to it sum to.
+    """
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
     def placed(found: Column) -> Column:
         def joined(parts: Column) -> Column:
-            step = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-            return F.aggregate(
-                F.zip_with(F.slice(parts, 1, F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("value"))),
-                step,
-                lambda acc, x: F.struct(
-                    (acc["at"] + x["gap"] + F.length(x["value"])).alias("at"),
-                    F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["value"])).alias("end"), x["value"].alias("value")))).alias("out"),
-                ),
-                lambda acc: acc["out"],
-            )
+            ends = running(F.transform(found, lambda m, i: (F.length(F.get(parts, i)) + F.length(m)).cast("long")))
+            return F.zip_with(found, ends, lambda m, e: F.struct((e - F.length(m)).cast("int").alias("start"), e.cast("int").alias("end"), m.alias("value")))
 
         return F.when(F.size(found) > 0, let(F.split(text, pattern, -1), joined)).otherwise(empty)
 
     return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)).otherwise(empty)
 
 
+def meets(spans: Column, m: Column) -> Column:
+    """Whether span ``m`` shares text with one of ``spans``, which are disjoint and in order: a search by halves."""
+    first_ending_after = F.aggregate(
+        F.sequence(F.lit(1), F.ceil(F.log2(F.size(spans) + 1)).cast("int")),
+        F.struct(F.lit(0).alias("low"), F.size(spans).alias("high")),
+        lambda acc, _: let(
+            F.floor((acc["low"] + acc["high"]) / 2).cast("int"),
+            lambda mid: F.when(acc["low"] >= acc["high"], acc)
+            .when(F.get(spans, mid)["end"] > m["start"], F.struct(acc["low"].alias("low"), mid.alias("high")))
+            .otherwise(F.struct((mid + 1).alias("low"), acc["high"].alias("high"))),
+        ),
+        lambda acc: acc["low"],
+    )
+    return F.when(F.size(spans) == 0, F.lit(False)).otherwise(F.coalesce(F.get(spans, first_ending_after)["start"] < m["end"], F.lit(False)))
+
+
 def _table(table: tuple[float, ...]) -> Column:
     return F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast("array<double>")
 
@@ -230,7 +270,7 @@ def scan(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD,
         "hex": matches(text, rf"(?<![0-9a-f])[0-9a-f]{{{LEAST_HEX},}}"),
     }
     runs = F.filter(matches(text, rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z]){CANDIDATE}"), lambda m: ~m["value"].rlike(UUID))
-    free = lambda m: ~F.exists("_mw_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+    free = lambda m: ~reduce(lambda x, y: x | y, (meets(F.col(f"_mw_{k}"), m) for k in spans))
 
     def random_parts(m: Column) -> Column:
         parts = F.transform(stretches(m["value"], table, threshold), lambda s: F.struct((m["start"] + s["start"]).alias("start"), (m["start"] + s["end"]).alias("end"), s["value"].alias("value")))
@@ -239,13 +279,12 @@ def scan(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD,
     out = docs
     for kind, found in spans.items():
         out = out.withColumn(f"_mw_{kind}", found)
-    base = F.concat(*(F.col(f"_mw_{k}") for k in spans))
-    out = out.withColumn("_mw_base", base).withColumn("_mw_random", F.flatten(F.transform(runs, random_parts)))
+    out = out.withColumn("_mw_random", F.flatten(F.transform(runs, random_parts)))
 
     def named(kind: str) -> Column:
         return F.transform(f"_mw_{kind}", lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), F.lit(kind).alias("kind"), m["end"].alias("end"), m["value"].alias("value")))
 
-    return out.withColumn(name, F.array_sort(F.concat(*map(named, KINDS)))).drop("_mw_base", *(f"_mw_{k}" for k in KINDS))
+    return out.withColumn(name, F.array_sort(F.concat(*map(named, KINDS)))).drop(*(f"_mw_{k}" for k in KINDS))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -494,6 +494,42 @@ def test_secrets(spark, edge):
     assert secrets.redact(edge).count() == len(EDGE)
 
 
+def test_base_secrets_match_their_patterns(spark):
+    """Spans of the base kinds against ``re`` on random texts."""
+    patterns = {"assign": r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}
+    good = {"assign": lambda m: len(m[1]) >= 6, "access": lambda m: len(m[0]) >= 20, "hex": lambda m: len(m[0]) >= 24}
+    d = random.Random(13)
+    parts = ("password", "Token", "api_key", "apikey", "secret", "=", ":", " ", "\"", "'", "AKIA", "AKIAAKIA", "ABCDEFGH12345678", "deadbeef0123", "0123456789abcdef", "xyz", "é", "😀", "\n", "/", "_", "-", ".")
+    texts = ["".join(d.choices(parts, k=d.randint(0, 80))) for _ in range(600)] + ["deadbeef" * 3 + " x"] * 3 + ["é " + ("0123456789abcdef" * 2 + " ") * 1200]
+    rows = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        want = sorted((m.start(), list(patterns).index(k), m.end()) for k, p in patterns.items() for m in re.finditer(p, r.text) if good[k](m))
+        assert [(s.start, s.kind_no, s.end) for s in r.secrets if s.kind != "random"] == want
+        base = [(s, e) for s, _, e in want]
+        assert all(r.text[s.start : s.end] == s.value and not any(a < s.end and s.start < b for a, b in base) for s in r.secrets if s.kind == "random")
+
+
+def test_running_sums(spark):
+    d = random.Random(14)
+    rows = [[d.randint(0, 9) for _ in range(n)] for n in (0, 1, 31, 32, 33, 1024, 1025, 5000, 40_000)]
+    got = [r[0] for r in spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "k int, x array<long>").orderBy("k").select(secrets.running(F.col("x"))).collect()]
+    assert got == [np.cumsum(r).tolist() for r in rows]
+
+
+def test_many_secrets_in_a_long_text(spark, none):
+    """Time grows with the text: 40 times the tokens may take no more than 40 times as long, with room for noise."""
+    import time
+
+    took = []
+    for n in (500, 20_000):
+        df = spark.createDataFrame([(1, "".join(f"x={i:032x} " for i in range(n)))], "doc_id long, text string")
+        began = time.time()
+        assert secrets.scan(df).selectExpr("size(secrets)").first()[0] == n
+        took.append(time.time() - began)
+    assert took[1] < 10 + 40 * took[0]
+    assert secrets.scan(none).count() == 0
+
+
 def test_secret_models_on_held_out_samples():
     table, at = secrets.train(), {c: i for i, c in enumerate(secrets.ALPHABET)}
     size = len(at)
