@@ -1,8 +1,9 @@
 """Exact top-k inner products by no-random-access aggregation over sorted lists.
 
 Each dimension of a block of candidates is a list sorted by its component; a query reads it from the
-end that its own component's sign asks for. All lists are read in step, slice after slice; what a slice
-holds is added to its candidates' sums, and nothing else of a candidate is looked at. A candidate's
+end that its own component's sign asks for. All lists are read in step, slice after slice, by many queries
+together: one product adds a slice to the sums of its candidates, and nothing else of a candidate is
+looked at. A candidate's
 score lies between a lower bound, with the list's worst value for each component not read, and an upper
 bound, with the value at the depth. A query stops reading a block when, apart from a few candidates,
 upper bounds are below the k-th largest score that is certain: of the lower bounds of this block, or of
@@ -30,88 +31,90 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Queries that read a block together, and candidates of a block.
-QUERY_BATCH = 64
-BLOCK = 8192
+#: Queries that read a block together, candidates of a block, and of a cell's first block.
+QUERY_BATCH = 512
+BLOCK, FIRST_BLOCK = 8192, 1024
 #: Most and fewest queries and candidates of a cell.
 QUERY_CELL, LEAST_QUERY_CELL = 8192, 256
 CANDIDATE_CELL, LEAST_CANDIDATE_CELL = 65_536, 4096
 #: Parts of the lists at which bounds are looked at; the last is all.
-DEPTHS = (0.3, 0.5, 0.65, 0.75, 0.82, 0.88, 0.93, 0.97, 1.0)
+DEPTHS = (0.5, 0.68, 0.78, 0.86, 0.93, 1.0)
 #: A query stops reading when this part of the candidates may still qualify, or k of them if that is more.
-RESOLVE = 1 / 64
+RESOLVE = 1 / 16
+#: Bounds are kept in single precision and widened by this part of the largest possible sum.
+ERROR = 1e-4
 _LEAST, _MOST = -(2**63), 2**63 - 1
 
 
-def number_type(largest: int, dim: int):
-    """A type in which sums of ``dim`` products of two numbers up to ``largest`` are exact."""
-    bound = 4 * largest * largest * max(1, dim)
-    return np.float64 if bound < 2**53 else np.int64 if bound < 2**63 else object
-
-
-def whole(values: np.ndarray) -> np.ndarray:
-    """Whole numbers that came as doubles, as Python's integers."""
-    return np.array([int(v) for v in values.ravel()], object).reshape(values.shape)
+def exact(values: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both sides, whole numbers that came as doubles, in a type in which their inner products are exact."""
+    largest = int(max(float(np.abs(side).max(initial=0)) for side in (values, queries)))
+    bound = largest * largest * max(1, values.shape[1])
+    if bound < 2**53:
+        return values, queries
+    if bound < 2**63:
+        return values.astype(np.int64), queries.astype(np.int64)
+    return tuple(np.array([int(v) for v in side.ravel()], object).reshape(side.shape) for side in (values, queries))
 
 
 class SortedLists:
-    """A block's sorted lists. ``read`` counts the entries that queries read."""
-
-    def __init__(self, ids: np.ndarray, values: np.ndarray):
-        by_id = np.argsort(ids, kind="stable")
-        self.ids, self.values = ids[by_id], values[by_id]
-        self.order = np.argsort(self.values, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(self.values, self.order, axis=0)
-        self.place = np.empty_like(self.order)
-        np.put_along_axis(self.place, self.order, np.arange(len(ids))[:, None], axis=0)
+    """A block's sorted lists, of components divided by ``scale``. ``read`` counts the entries that queries read."""
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray, scale: float):
+        self.ids, self.x = ids, (values / scale).astype(np.float32)
+        order = np.argsort(self.x, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(self.x, order, axis=0)
+        self.place = np.empty(order.shape, np.int32)
+        np.put_along_axis(self.place, order, np.arange(len(ids), dtype=np.int32)[:, None], axis=0)
+        self.largest = np.maximum(np.abs(self.sorted[0]), np.abs(self.sorted[-1]))
+        self.slices: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         self.read = 0
 
-    def open_after(self, queries: np.ndarray, certain: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    def slice(self, done: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Entries between two depths, from the lists' tops and then from their ends, and what lies below them as 0 or 1."""
+        if (done, depth) not in self.slices:
+            n, place = len(self.ids), self.place
+            top, end = (place >= n - depth) & (place < n - done), (place < depth) & (place >= done)
+            new = np.hstack([np.where(top, self.x, np.float32(0)), np.where(end, self.x, np.float32(0))])
+            self.slices[done, depth] = new, np.hstack([place < n - depth, place >= depth]).astype(np.float32)
+        return self.slices[done, depth]
+
+    def may_qualify(self, queries: np.ndarray, certain: np.ndarray, own: list[tuple[int, int, int]], k: int) -> Iterator[tuple[int, np.ndarray]]:
         """(query, places of the candidates that may qualify), as the queries stop reading.
 
-        ``certain`` is a score that k candidates of other blocks are known to reach, or None.
+        ``certain`` is a score that k candidates read before reach, or minus infinity; ``own`` names the
+        places (query, from, to) of queries' own rows.
         """
-        n, dim = self.values.shape
-        active = np.arange(len(queries))
-        up = np.maximum(queries, 0)
-        down = np.minimum(queries, 0)
-        worst = up @ self.sorted[0] + down @ self.sorted[-1]  # the sum of the worst values of all lists
-        lower = np.repeat(worst[None, :], n, axis=0)  # candidates x queries
-        done = 0
+        n = len(self.ids)
+        sides = np.hstack([np.maximum(queries, 0), np.minimum(queries, 0)])
+        slack = (ERROR * (np.abs(queries) @ self.largest))[:, None]
+        reads = np.count_nonzero(queries, axis=1)
+        active, sums, done = np.arange(len(queries)), np.zeros((len(queries), n), np.float32), 0
         for part in DEPTHS:
-            depth = n if part == 1.0 else max(done + 1, int(part * n))
-            if depth > n:
-                return
-            for d in range(dim):
-                for sign, at, least in ((up, self.order[n - depth : n - done, d], self.sorted[0, d]), (down, self.order[done:depth, d], self.sorted[-1, d])):
-                    reads = np.flatnonzero(sign[active, d])
-                    if len(reads):
-                        gain = (self.values[at, d] - least)[:, None] * sign[active[reads], d][None, :]
-                        if len(reads) == len(active):
-                            lower[at] += gain
-                        else:
-                            lower[np.ix_(at, reads)] += gain
-                        self.read += len(at) * len(reads)
+            depth = n if part == 1.0 else max(1, int(part * n))
+            if depth <= done:
+                continue
+            new, unread = self.slice(done, depth)
+            self.read += (depth - done) * int(reads[active].sum())
+            sums += sides[active] @ new.T
             done = depth
-            unread_top, unread_end = (self.place < n - depth), (self.place >= depth)
-            most_top, most_end = self.sorted[n - depth], self.sorted[depth - 1]
-            of = self.values.dtype
-            upper = lower + unread_top.astype(of) @ (up[active] * (most_top - self.sorted[0])).T + unread_end.astype(of) @ (down[active] * (most_end - self.sorted[-1])).T
-            stays = []
-            for j, q in enumerate(active.tolist()):
-                mine = np.flatnonzero(~own[q])
-                least = certain[q]
-                if len(mine) >= k:
-                    reached = np.partition(lower[mine, j], len(mine) - k)[len(mine) - k] if of != object else sorted(lower[mine, j].tolist())[-k]
-                    least = reached if least is None else max(least, reached)
-                places = mine if least is None else mine[(upper[mine, j] >= least).astype(bool)]
-                if len(places) <= max(k, int(RESOLVE * n)) or depth == n:
-                    yield q, places
-                else:
-                    stays.append(j)
-            if not stays:
+            bound = lambda top, end: sums + (sides[active] * np.hstack([top, end])) @ unread.T  # noqa: B023, E731
+            least = certain[active]
+            mine = [(j, a, b) for j, (q, a, b) in zip(np.searchsorted(active, [q for q, _, _ in own]).tolist(), own, strict=True) if j < len(active) and active[j] == q]
+            if np.isneginf(least).any() and n >= k:
+                lower = bound(self.sorted[0], self.sorted[-1]) - slack[active]
+                for j, a, b in mine:
+                    lower[j, a:b] = -np.inf
+                least = np.maximum(least, np.partition(lower, n - k, axis=1)[:, n - k])
+            open_ = bound(self.sorted[n - depth], self.sorted[depth - 1]) + slack[active] >= least[:, None]
+            for j, a, b in mine:
+                open_[j, a:b] = False
+            stops = (open_.sum(axis=1) <= max(k, RESOLVE * n)) | (depth == n)
+            for j in np.flatnonzero(stops).tolist():
+                yield int(active[j]), np.flatnonzero(open_[j])
+            if stops.all():
                 return
-            active, lower = active[stays], lower[:, stays]
+            active, sums = active[~stops], sums[~stops]
 
 
 class Cell:
@@ -124,32 +127,42 @@ class Cell:
 
     def take(self, ids: np.ndarray, values: np.ndarray) -> None:
         """Read a block of candidates."""
-        largest = int(max((abs(v) for side in (values, self.queries) for v in (side.max(initial=0), side.min(initial=0)))))
-        kind = number_type(largest, values.shape[1])
-        cast = whole if kind is object else lambda x: x.astype(kind)
-        lists, queries = SortedLists(ids, cast(values)), cast(self.queries)
+        order = np.argsort(ids, kind="stable")
+        ids, values = ids[order], values[order]
+        scale = max(float(np.abs(side).max(initial=0)) for side in (values, self.queries)) or 1.0
+        lists, (values, queries) = SortedLists(ids, values, scale), exact(values, self.queries)
+        first, last = np.searchsorted(ids, self.query_ids, "left"), np.searchsorted(ids, self.query_ids, "right")
         for a in range(0, len(queries), QUERY_BATCH):
-            rows = slice(a, a + QUERY_BATCH)
-            own = self.query_ids[rows, None] == lists.ids[None, :]
-            certain = np.array([-int(b[-1][0]) if len(b) == self.k else None for b in self.best[rows]], object)
-            for q, places in lists.open_after(queries[rows], certain, own, self.k):
+            batch = range(a, min(a + QUERY_BATCH, len(queries)))
+            certain = np.array([-b[-1][0] / scale / scale if len(b) == self.k else -np.inf for b in self.best[a : batch.stop]], np.float32)
+            own = [(q - a, int(first[q]), int(last[q])) for q in batch if first[q] < last[q]]
+            for q, places in lists.may_qualify((self.queries[a : batch.stop] / scale).astype(np.float32), certain, own, self.k):
                 if len(places):
-                    scores = lists.values[places] @ queries[a + q]
+                    scores = values[places] @ queries[a + q]
                     self.resolved += len(places)
-                    found = [(-int(s), int(lists.ids[p])) for s, p in zip(scores.tolist(), places.tolist(), strict=True)]
+                    found = sorted((-int(s), int(ids[p])) for s, p in self._best_of(scores, places))
                     self.best[a + q] = sorted(self.best[a + q] + found)[: self.k]
         self.read += lists.read
 
+    def _best_of(self, scores: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Scores and places of the k largest scores and of those that tie with them."""
+        if len(scores) > self.k and scores.dtype != object:
+            at = scores >= np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
+            scores, places = scores[at], places[at]
+        return zip(scores.tolist(), places.tolist(), strict=True)
+
     def rows(self) -> list[tuple[int, int, int]]:
         """(query id, id, score)."""
         return [(int(q), i, min(max(-s, _LEAST), _MOST)) for q, best in zip(self.query_ids, self.best, strict=True) for s, i in best]
 
 
 def top(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, values: np.ndarray, k: int, block: int = BLOCK) -> Cell:
-    """A cell's queries against all its candidates, block after block."""
-    cell = Cell(query_ids, queries, k)
-    for a in range(0, len(ids), block):
-        cell.take(ids[a : a + block], values[a : a + block])
+    """A cell's queries against all its candidates, a short block first, which makes scores certain, then block after block."""
+    cell, at = Cell(query_ids, queries, k), 0
+    while at < len(ids):
+        to = at + (block if at else min(block, FIRST_BLOCK))
+        cell.take(ids[at:to], values[at:to])
+        at = to
     return cell
 
 
