@@ -15,6 +15,10 @@
     members are linked in step 3 and drop out here.
 5.  Components of the confirmed links by alternating large-star and small-star steps.
 
+Wherever rows meet by a key, keys that hold more than a small part of all rows are dealt to several
+tasks (``spread_join``). Texts and ids meet by a shuffle, whatever their number: nothing that grows with the
+corpus is broadcast or collected.
+
 The number of bands follows the threshold: a pair at the threshold shares no bucket in one of ten
 million cases.
 
@@ -45,8 +49,8 @@ SKETCH_BITS = 512
 SET_BITS = 2048
 #: Standard deviations of the sketch's estimate that a pair may lie below the threshold and still be confirmed.
 SLACK_SIGMAS = 5.0
-#: Ids up to which the list of candidates is broadcast to the texts; beyond it both sides are shuffled.
-BROADCAST_IDS = 1_000_000
+#: A join key with more than one in ``HOT`` of a join's rows, and with more than ``SPREAD``, is dealt to several tasks.
+HOT, SPREAD = 1000, 256
 #: Characters of text that are hashed at a time.
 CHUNK_CHARS = 1_000_000
 #: Rows of a batch that are turned into Python strings at a time.
@@ -63,11 +67,16 @@ def bands_for(percent: int) -> int:
 
 
 def most_odd_bits(percent: int) -> int:
-    """Set bits in the XOR of two sketches up to which a pair may be at the threshold."""
+    """Set bits in the XOR of two sketches up to which a pair may be at the threshold.
+
+    The number of samples that differ varies, and so does the number of bits on which they leave an odd count.
+    """
     t = percent / 100
-    low = t - SLACK_SIGMAS * math.sqrt(t * (1 - t) / SAMPLES)
-    differ = 2 * SAMPLES * (1 - low)
-    return math.ceil(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** differ) + 4)
+    differ = 2 * SAMPLES * (1 - t)
+    odd = (1 - (1 - 2 / SKETCH_BITS) ** differ) / 2
+    of_samples = 2 * math.sqrt(SAMPLES * t * (1 - t)) * (1 - 2 * odd)
+    of_bits = math.sqrt(SKETCH_BITS * odd * (1 - odd))
+    return math.ceil(SKETCH_BITS * odd + SLACK_SIGMAS * math.hypot(of_samples, of_bits))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -197,24 +206,49 @@ def close(a: str, b: str, percent: int) -> Column:
     )
 
 
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], by: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined with ``table`` on ``keys``; a key with many rows is dealt to several tasks by a hash of ``by``.
+
+    Only the table's rows of such a key are copied, to as many parts as the key has. Fewer than ``HOT``
+    keys can hold more than one in ``HOT`` of the rows, so the list of them is bounded whatever the input.
+    ``counts`` has the keys and ``n``, where that is known already.
+    """
+    counts = counts if counts is not None else rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    most, total = counts.agg(F.max("n"), F.sum("n")).first()
+    each = max(SPREAD, (total or 0) // HOT)
+    if (most or 0) <= each:
+        return rows.join(table, keys, how)
+    hot = counts.where(F.col("n") > each).select(*keys, F.ceil(F.col("n") / each).cast("int").alias("_mw_parts")).collect()
+    parts = F.broadcast(rows.sparkSession.createDataFrame(hot, rows.select(*keys, F.lit(0).alias("_mw_parts")).schema))
+    left = rows.join(parts, keys, "left").withColumn("_mw_part", F.coalesce(F.pmod(F.xxhash64(by), "_mw_parts"), F.lit(0).cast("long"))).drop("_mw_parts")
+    right = table.join(parts, keys, "left").withColumn("_mw_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_mw_parts", F.lit(1)) - 1))).drop("_mw_parts")
+    return left.join(right, [*keys, "_mw_part"], how).drop("_mw_part")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose full sets reach the threshold, with the size of their intersection."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
+    """Those pairs (a, b) whose full sets reach the threshold, with the size of their intersection.
+
+    The candidates' texts are found by a shuffle of ids and texts, at every size; their sets are cut, so
+    they are hashed once. ``pairs`` must be cut.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in sliced(batches):
             sets = [s.view(np.int64) for s in shingle_sets([t or "" for t in batch.column(1).to_pylist()], k)]
-            yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "s"])
+            names = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            yield pa.record_batch([batch.column(0), pa.array(names), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "h", "s"])
 
-    sets = texts.mapInArrow(run, "doc_id long, s array<long>")
-    both = (
-        pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
-        .join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-        .withColumn("shared", F.size(F.array_intersect("sa", "sb")))
-    )
-    return both.where(100 * F.col("shared") >= percent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b", "shared")
+    sets = cut(texts.mapInArrow(run, "doc_id long, h long, s array<long>"))
+    if sets.groupBy("doc_id", "h").count().where("count > 1").take(1):  # rows that are alike need to meet only once
+        sets = cut(sets.dropDuplicates(["doc_id", "h"]))
+    of = lambda side: sets.select(F.col("doc_id").alias(side), F.col("s").alias(f"s{side}"))
+    one = spread_join(pairs.select("a", "b"), of("a"), ["a"], "b")
+    both = spread_join(one, of("b"), ["b"], "a", counts=pairs.groupBy("b").agg(F.count("*").alias("n"))).withColumn("shared", F.size(F.array_intersect("sa", "sb")))
+    return both.where(100 * F.col("shared") >= percent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b", "shared").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -228,11 +262,12 @@ def components(links: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = cut(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        large = spread_join(both.where("v > u"), low.select("u", "m"), ["u"], "v", counts=low.where("n > 0").select("u", "n"))
+        large = cut(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = spread_join(large, low.select("u", "m"), ["u"], "v", counts=low.select("u", "n"))
+        small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         edges = cut(small.where("u <> v").distinct())
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
@@ -248,24 +283,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """``near_duplicates`` with c1 and c2, the class of each row's set."""
-    signed = cut(signatures(docs, k, percent))
+    signed = cut(signatures(docs, k, percent).withColumn("at", F.monotonically_increasing_id()))  # cut, so ``at`` stays
     real = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    stands = cut(real.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")))
-    classed = real.join(stands, ["c1", "c2"])
-    first = cut(classed.where("doc_id = rep").select("rep", "bands", F.struct(F.col("n_shingles").alias("n"), "sketch", "parity").alias("maps")))
+    # a class: its smallest id, and one row that has it
+    stands = cut(real.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.min_by("at", "doc_id").alias("at"), F.count("*").alias("n")))
+    first = cut(real.join(stands.select("at", "rep"), "at").select("rep", "bands", F.struct(F.col("n_shingles").alias("n"), "sketch", "parity").alias("maps")))
 
     rows = first.select(F.explode("bands").alias("key"), "rep")
     hubs = cut(rows.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n")).where("lo <> hi"))
-    met = cut(rows.join(hubs, "key"))
-    stars = met.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("rep").alias("b")), F.struct(F.col("rep").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.a", "p.b").where("a <> b").distinct()
+    met = cut(spread_join(rows, hubs, ["key"], "rep", counts=hubs.select("key", "n")))
+    stars = met.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("rep").alias("b")), F.struct(F.col("rep").alias("a"), F.col("hi").alias("b")))).alias("p"))
+    stars = cut(stars.select("p.a", "p.b").where("a <> b").distinct())
     sketches = first.select("rep", "maps")
-    near = cut(
-        stars.join(sketches.select(F.col("rep").alias("a"), F.col("maps").alias("x")), "a")
-        .join(sketches.select(F.col("rep").alias("b"), F.col("maps").alias("y")), "b")
-        .where(close("x", "y", percent))
-        .select("a", "b")
-        .distinct()
-    )
+    one = spread_join(stars, sketches.select(F.col("rep").alias("a"), F.col("maps").alias("x")), ["a"], "b")
+    both = spread_join(one, sketches.select(F.col("rep").alias("b"), F.col("maps").alias("y")), ["b"], "a", counts=stars.groupBy("b").agg(F.count("*").alias("n")))
+    near = cut(both.where(close("x", "y", percent)).select("a", "b").distinct())
     links = cut(confirm(near, docs, k, percent).select("a", "b"))
     labels = cut(components(links))
 
@@ -275,13 +307,11 @@ def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
         if found.take(1):
             labels = cut(components(links.unionByName(found)))
 
-    own = F.coalesce("component", "rep", "doc_id")
-    linked = classed.select("doc_id", "n_shingles", "rep", "c1", "c2").unionByName(
-        signed.where("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").select("doc_id", "n_shingles", F.col("doc_id").alias("rep"), "c1", "c2")
-    )
-    return linked.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), "c1", "c2"
-    )
+    classes = cut(stands.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id"), "n"))
+    narrow = ["doc_id", "n_shingles", "c1", "c2"]
+    linked = spread_join(real.select(*narrow, "at"), classes.drop("n"), ["c1", "c2"], "at", counts=classes.select("c1", "c2", "n")).select(*narrow, "component_id")
+    alone = signed.where("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").select(*narrow, F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _across(rows: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -294,10 +324,10 @@ def _across(rows: DataFrame, labels: DataFrame, sketches: DataFrame, percent: in
         told.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key")
         .agg(F.count("*").alias("labels"), F.max_by("label", "n").alias("main")).where("labels > 1").select("key", "main")
     )
-    held = told.join(cut(open_keys), "key").join(sketches, "rep")
+    held = cut(spread_join(told, cut(open_keys), ["key"], "rep")).join(sketches, "rep")
     left = held.where("label <> main").select("key", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("maps").alias("x"))
     right = held.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("maps").alias("y"), (F.col("label") == F.col("main")).alias("is_main"))
-    met = left.join(right, "key").where((F.col("la") != F.col("lb")) & (F.col("is_main") | (F.col("a") < F.col("b"))) & close("x", "y", percent))
+    met = spread_join(right, left, ["key"], "b").where((F.col("la") != F.col("lb")) & (F.col("is_main") | (F.col("a") < F.col("b"))) & close("x", "y", percent))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -309,8 +339,8 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """
     labelled = _labelled(docs, k, percent).where("doc_id IS NOT NULL")
     kept = cut(labelled.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept")).where("kept"))
-    rows, repeated = kept.agg(F.count("*"), F.count_if(F.col("n") > 1)).first()
-    only = lambda ids: docs.join(F.broadcast(ids.select("doc_id")) if rows <= BROADCAST_IDS else ids.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    repeated = kept.where("n > 1").take(1)
+    only = lambda ids: docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     out = only(kept.where("n = 1")).unionByName(docs.where("doc_id IS NULL"))
     if not repeated:
         return out

@@ -80,6 +80,67 @@ def test_components_match_brute_force(spark, k, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("monkey", ["SPREAD", "plain"])
+def test_hot_keys_are_dealt_to_several_tasks(spark, monkeypatch, monkey):
+    if monkey == "SPREAD":
+        monkeypatch.setattr(neardup, "SPREAD", 2)
+    rows = [(i, i % 7 if i % 3 else -1) for i in range(900)]
+    left = spark.createDataFrame(rows, "x long, k long")
+    right = spark.createDataFrame([(k, f"v{k}") for k in range(-1, 5)], "k long, v string")
+    for how in ("inner", "left"):
+        want = [(x, k, f"v{k}" if k < 5 else None) for x, k in rows if how == "left" or k < 5]
+        assert sorted((r.x, r.k, r.v or "") for r in neardup.spread_join(left, right, ["k"], "x", how).collect()) == sorted((x, k, v or "") for x, k, v in want)
+    if monkey == "SPREAD":
+        texts = near_rows(48) + [(5000 + i, "one text that many rows have in common") for i in range(40)]
+        got = neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), 3, 85).collect()
+        assert {r.doc_id: r.component_id for r in got} == brute_components(texts, 3, 85)
+
+
+def exact_components(rows, k, percent):
+    """Components by exact set joins: sets that reach the threshold share one of their rarest shingles."""
+    sets, first = {}, {}
+    for i, t in rows:
+        s = frozenset(shingles(t, k))
+        if s:
+            first[s] = min(i, first.get(s, i))
+            sets[i] = s
+    often = defaultdict(int)
+    for s in first:
+        for x in s:
+            often[x] += 1
+    parent = {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    index, links = defaultdict(list), 0
+    for s in sorted(first, key=len):
+        head = sorted(s, key=lambda x: (often[x], x))[: len(s) - -(-percent * len(s) // 100) + 1]
+        seen = {r for x in head for r in index[x]}
+        for r in seen:
+            if 100 * len(r) >= percent * len(s) and 100 * len(s & r) >= percent * len(s | r):
+                links += 1
+                a, b = find(first[s]), find(first[r])
+                parent[max(a, b)] = min(a, b)
+        for x in head:
+            index[x].append(s)
+    return {i: find(first[sets[i]]) if i in sets else i for i, _ in rows}, links
+
+
+def test_no_link_is_lost_on_whole_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    want, links = exact_components([tuple(r) for r in docs.collect()], 3, 85)
+    got = {r.doc_id: r.component_id for r in neardup.op1_odd_sketch(spark, "/root/testdata/sf0.1").collect()}
+    assert links > 50 and got == want
+    made = near_rows(4800)
+    want, links = exact_components(made, 3, 85)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(made, "doc_id long, text string"), 3, 85).collect()}
+    assert links > 5000 and got == want
+
+
 def test_whole_set_bitmap_never_refuses_a_link():
     d = np.random.default_rng(1)
     for n in (3, 40, 400, 4000):
