@@ -1,12 +1,14 @@
 """SentencePiece encoding and decoding through a table of distinct chunks.
 
 The model's pieces hold a white-space marker only at their beginning and no line break at all, so no
-piece crosses the place before a marker or a line break. A text is cut there; each distinct chunk is
-segmented by the library once and kept in a table; the chunks' ids are joined back in the order of
-their positions. The table is per Python worker, not per cluster: words by position would be a
-shuffle many times the size of the texts, and a worker meets most of its words again anyway. It
+piece crosses the place before a marker or a line break. The texts of a slice are cut there and their
+chunks dictionary-encoded: each distinct one is segmented by the library once, and ids and surfaces are
+taken back by the chunks' positions and joined text by text. Chunks that were segmented before, in other
+slices, are kept in a table. The table is per Python worker, not per cluster: words by position would be
+a shuffle many times the size of the texts, and a worker meets most of its words again anyway. It
 has two generations of bounded size: when the young one is full it becomes the old one, and chunks
-met again move to the young one, so frequent ones stay and memory is bounded.
+met again move to the young one, so frequent ones stay and memory is bounded. A very long text is
+taken in parts that end before a chunk.
 
 The method is right only for models of this kind, so ``ChunkTable`` checks the model's vocabulary and
 normalisation first and refuses others.
@@ -22,7 +24,9 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ._shared import bounded_batches
@@ -31,7 +35,10 @@ MARK = "▁"
 #: Distinct chunks that a generation of a worker's table holds; a longer chunk than this isn't kept.
 TABLE_ENTRIES = 300_000
 TABLE_CHUNK_CHARS = 64
+#: Characters of text whose chunks are taken together.
+SLICE_CHARS = 500_000
 _CHUNK = re.compile(r"[ \n]+[^ \n]*")
+_BORDER = re.compile(r"(?<=[^ \n])[ \n]")
 
 
 def check_model(processor) -> None:
@@ -87,26 +94,66 @@ class ChunkTable:
         out.append(run.decode("utf-8", "replace"))
         return "".join(out)
 
+    def _look_up(self, distinct: list[str]) -> list[tuple[str, str]]:
+        fresh = []
+        for c in distinct:
+            if c not in self.young:
+                if c in self.old:
+                    self.young[c] = self.old[c]
+                else:
+                    fresh.append(c)
+        if fresh:
+            self._segment(fresh)
+        found = [*map(self.young.__getitem__, distinct)]
+        for c in fresh:
+            if len(c) > TABLE_CHUNK_CHARS:
+                del self.young[c]
+        if len(self.young) > TABLE_ENTRIES:
+            self.young, self.old = {}, self.young
+        return found
+
+    def _slice(self, marked: list[str]) -> tuple[list[str], list[str]]:
+        """Joined ids and surfaces of texts with the library's marker before them, or of a text's parts."""
+        lists = [_CHUNK.findall(t) for t in marked]
+        coded = pa.array([c for chunks in lists for c in chunks], pa.string()).dictionary_encode()
+        found = self._look_up(coded.dictionary.to_pylist())
+        offsets = pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
+        joined = lambda k, by: pc.binary_join(pa.ListArray.from_arrays(offsets, pa.array([f[k] for f in found], pa.string()).take(coded.indices)), by).to_pylist()
+        return joined(0, ","), joined(1, "")
+
+    def _long(self, marked: str) -> tuple[str, str]:
+        ids, surfaces, at = [], [], 0
+        while at < len(marked):
+            border = _BORDER.search(marked, at + SLICE_CHARS)
+            to = border.start() if border else len(marked)
+            (part,), (surface,) = self._slice([marked[at:to]])
+            ids.append(part)
+            surfaces.append(surface)
+            at = to
+        return ",".join(ids), "".join(surfaces)
+
     def run(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """Decimal ids joined by commas, and decoded text."""
+        held, chars = [], 0
+
+        def flush() -> Iterator[tuple[str, str]]:
+            if held:
+                for ids, surface in zip(*self._slice(held), strict=True):
+                    yield ids, surface[1:]
+                held.clear()
+
         for text in texts:
-            chunks = _CHUNK.findall(" " + text.replace(MARK, " ")) if text else []
-            if missing := set(chunks).difference(self.young):
-                fresh = []
-                for c in missing:
-                    if c in self.old:
-                        self.young[c] = self.old[c]
-                    else:
-                        fresh.append(c)
-                if fresh:
-                    self._segment(fresh)
-            found = [*map(self.young.__getitem__, chunks)]
-            yield ",".join([ids for ids, _ in found]), "".join([part for _, part in found])[1:]
-            for c in missing:
-                if len(c) > TABLE_CHUNK_CHARS:
-                    del self.young[c]
-            if len(self.young) > TABLE_ENTRIES:
-                self.young, self.old = {}, self.young
+            marked = " " + text.replace(MARK, " ") if text else ""
+            if len(marked) > 2 * SLICE_CHARS or chars + len(marked) > SLICE_CHARS:
+                yield from flush()
+                chars = 0
+            if len(marked) > 2 * SLICE_CHARS:
+                ids, surface = self._long(marked)
+                yield ids, surface[1:]
+            else:
+                held.append(marked)
+                chars += len(marked)
+        yield from flush()
 
 
 _TABLES: dict[str, ChunkTable] = {}

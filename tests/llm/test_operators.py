@@ -249,12 +249,30 @@ def test_chunks_match_the_library():
 def test_small_tables_give_the_same(monkeypatch):
     monkeypatch.setattr(pieces, "TABLE_ENTRIES", 3)
     monkeypatch.setattr(packing, "WORD_ENTRIES", 3)
+    monkeypatch.setattr(pieces, "SLICE_CHARS", 7)
     a, w = pieces.ChunkTable(P.path("piece_bpe_32k.model")), packing.WordTable(P.path("word_bpe_49k.json"))
     texts = ["one two three four five one", "six one two", "x" * 300 + " one"] * 3
     assert [i for i, _ in a.run(texts)] == [",".join(map(str, a.processor.encode(t))) for t in texts]
     assert [np.frombuffer(w.ids(t), "<u4").tolist() for t in texts] == [w.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_tokens_and_packing_of_odd_tables(spark, none):
+    """Empty tables, null ids, clashing columns, and a text longer than a slice."""
+    piece, word = P.path("piece_bpe_32k.model"), P.path("word_bpe_49k.json")
+    assert pieces.digests(none, piece).count() == 0 and pieces.encode(none, piece).count() == 0 and packing.pack(none, word).count() == 0
+    names = "ids n_tokens ids_sha256 start length sequence_id offset ids_crc32 doc_tokens"
+    long = "some words\nof a text " * 60_000
+    rows = [(None, "no id"), (1, long), (2, None), (None, "no id")]
+    df = spark.createDataFrame([(*r, *names.split()) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names.split()))
+    processor = pieces.table(piece).processor
+    got = {r.doc_id: r for r in pieces.digests(df, piece).collect()}
+    assert got[1].n_tokens == len(processor.encode(long)) and got[1].decoded_sha256 == hashlib.sha256(long.encode()).hexdigest()
+    assert got[2].n_tokens == 0 and got[None].n_tokens == len(processor.encode("no id"))
+    packed = packing.pack(df, word).collect()
+    assert sum(r.length for r in packed if r.doc_id is None) == 2 * next(r.doc_tokens for r in packed if r.doc_id is None)
+    assert sum(r.length for r in packed if r.doc_id == 1) == next(r.doc_tokens for r in packed if r.doc_id == 1) and sum(r.length for r in packed if r.doc_id == 2) == 1
+
+
 def test_encode_and_decode_tables(spark, edge):
     path = P.path("piece_bpe_32k.model")
     back = pieces.decode(pieces.encode(edge, path), path)
