@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-OPEN, CLOSE, SEP, MID = (chr(0xE010 + i) for i in range(4))
+OPEN, CLOSE, SEP, MID, JOINT = (chr(0xE010 + i) for i in range(5))
 _FIRST_CODE = 0xE100
-#: Characters that a guard looks ahead for a close mark; longer spans than this must not occur.
+#: Characters that a guard looks ahead for a close mark. Longer spans get joints, which a guard knows as well.
 REACH = 2000
-GUARD = f"(?![^{OPEN}{CLOSE}]{{0,{REACH}}}+{CLOSE})"
+GUARD = f"(?![^{OPEN}{CLOSE}{JOINT}]{{0,{REACH}}}+[{CLOSE}{JOINT}])"
+_LONG = f"{OPEN}[^{OPEN}{CLOSE}{JOINT}]{{{REACH // 2}}}"
+_STRETCH = rf"(?:{OPEN}|\G(?!^))[^{OPEN}{CLOSE}{JOINT}]{{{REACH // 2}}}"
 SPAN = f"{OPEN}[^{CLOSE}]*{CLOSE}"
 
 
@@ -34,7 +36,12 @@ def let(value: Column, body) -> Column:
 
 def unmarked_input(text: Column) -> Column:
     """The text without the characters that marks are made of."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), f"[{OPEN}-{MID}{chr(_FIRST_CODE)}-{chr(_FIRST_CODE + 0xFF)}]", "")
+    return F.regexp_replace(F.coalesce(text, F.lit("")), f"[{OPEN}-{JOINT}{chr(_FIRST_CODE)}-{chr(_FIRST_CODE + 0xFF)}]", "")
+
+
+def jointed(text: Column) -> Column:
+    """Spans too long for a guard's reach, with joints inside; ``spans`` takes them out again."""
+    return let(text, lambda t: F.when(t.rlike(_LONG), F.regexp_replace(t, _STRETCH, f"$0{JOINT}")).otherwise(t))
 
 
 def mark(text: Column, rule: int, pattern: str, label_first: bool = False) -> Column:
@@ -54,10 +61,36 @@ def mark_if(text: Column, rule: int, pattern: str, valid) -> Column:
     return let(text, judge)
 
 
+#: Numbers whose sums are formed one by one; longer arrays are summed by blocks of so many.
+_BLOCK = 32
+
+
+def running(numbers: Column, levels: int = 4) -> Column:
+    """Sums of an array up to each place, its own number included, in time that grows with the array.
+
+    Blocks are summed by themselves, and their totals in the same way a level higher.
+    """
+    total = lambda x: F.aggregate(x, F.lit(0), lambda acc, y: acc + y)
+    plain = lambda x: F.transform(x, lambda _, i: total(F.slice(x, 1, i + 1)))
+    if not levels:
+        return plain(numbers)
+
+    def blocked(x: Column) -> Column:
+        def joined(parts: Column) -> Column:
+            def shifted(before: Column) -> Column:
+                return F.flatten(F.transform(parts, lambda part, b: F.transform(part, lambda _, i: F.coalesce(F.get(before, b - 1), F.lit(0)) + total(F.slice(part, 1, i + 1)))))
+
+            return let(running(F.transform(parts, total), levels - 1), shifted)
+
+        return let(F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / _BLOCK).cast("int")), lambda b: F.slice(x, b * _BLOCK + 1, _BLOCK)), joined)
+
+    return let(numbers, lambda x: F.when(F.size(x) <= _BLOCK, plain(x)).otherwise(blocked(x)))
+
+
 def spans(marked: Column) -> Column:
     """array<struct<rule, payload>> in text order."""
     found = F.regexp_extract_all(marked, F.lit(f"{OPEN}([^{CLOSE}]*){CLOSE}"), F.lit(1))
-    return F.transform(found, lambda s: F.struct(code_number(F.substring(s, 1, 1)).alias("rule"), F.substring(s, 2, 1 << 30).alias("payload")))
+    return F.transform(found, lambda s: F.struct(code_number(F.substring(s, 1, 1)).alias("rule"), F.replace(F.substring(s, 2, 1 << 30), F.lit(JOINT), F.lit("")).alias("payload")))
 
 
 def gaps(marked: Column) -> Column:

@@ -67,44 +67,62 @@ def _han_share(marked: Column) -> Column:
     return F.when(solid > 0, F.length(F.regexp_replace(shown, f"[^{HAN}]", "")) / solid).otherwise(F.lit(1.0))
 
 
-def _apply(df: DataFrame, number: int, rule: Rule) -> DataFrame:
-    m = F.col("_m")
+def _pass(number: int, rule: Rule):
+    """A rule as a function of the marked text."""
     if rule.gate == "id":
-        out = markup.mark_if(m, number, rule.pattern, checks.plausible_id)
-    elif rule.gate == "han_text":
-        out = let(m, lambda t: F.when(t.rlike(rule.pattern) & (_han_share(t) >= LEAST_HAN_SHARE), markup.mark(t, number, rule.pattern)).otherwise(t))
-    elif rule.gate == "project":
-        generic = "|".join(_PROJECT_GENERIC)
-        out = markup.mark_if(m, number, PROJECT, lambda p: ~F.regexp_replace(p, f"{_PROJECT_SUFFIX}$", "").rlike(generic))
-    else:
-        out = markup.mark(m, number, rule.pattern, rule.label_first)
-    return df.withColumn("_m", out)
+        return lambda m: markup.mark_if(m, number, rule.pattern, checks.plausible_id)
+    if rule.gate == "han_text":
+        return lambda m: let(m, lambda t: F.when(t.rlike(rule.pattern) & (_han_share(t) >= LEAST_HAN_SHARE), markup.mark(t, number, rule.pattern)).otherwise(t))
+    if rule.gate == "project":
+        return lambda m: project_names(m, number)
+    if rule.long:
+        return lambda m: markup.jointed(markup.mark(m, number, rule.pattern, rule.label_first))
+    return lambda m: markup.mark(m, number, rule.pattern, rule.label_first)
 
 
-def marked(df: DataFrame, text_col: str = "text", options: Options = Options()) -> DataFrame:
-    """Adds ``normal``, the preprocessed text, and ``_m``, that text with marked spans."""
-    df = df.withColumn("normal", markup.unmarked_input(preprocess(F.col(text_col)))).withColumn("_m", F.col("normal"))
+def project_names(m: Column, number: int) -> Column:
+    generic = "|".join(_PROJECT_GENERIC)
+    return markup.mark_if(m, number, PROJECT, lambda p: ~F.regexp_replace(p, f"{_PROJECT_SUFFIX}$", "").rlike(generic))
+
+
+def passes(options: Options = Options(), any_script: bool = False) -> list:
+    """The passes in order; with ``any_script`` only those that can match where no Han character is."""
     skipped = {"birth" if options.all_dates else "dates"} | (set() if options.amounts else {"amount"})
+    people = "".join(map(markup.code, CODES.people()))
+    known = f"{markup.OPEN}[{people}][^{markup.CLOSE}{MID}]*{MID}([^{MID}]*){MID}"
+    out: list = []
     for number, rule in enumerate(RULES):
-        if rule.part in skipped or (rule.gate in ("role", "platform", "slash", "company", "bare") and not options.names):
+        if rule.part in skipped or (any_script and not rule.any_script) or (rule.gate in ("role", "platform", "slash", "company", "bare") and not options.names):
             continue
         if rule.gate == "role":
-            df = df.withColumn("_m", entities.by_role_word(F.col("_m"), CODES))
+            out.append(lambda m: entities.by_role_word(m, CODES))
         elif rule.gate == "platform":
-            df = df.withColumn("_m", entities.by_platform(F.col("_m"), CODES))
+            out.append(lambda m: entities.by_platform(m, CODES))
         elif rule.gate == "slash":
-            for step in entities.slash_steps(CODES, _BANK):
-                df = df.withColumn("_m", step(F.col("_m")))
+            out += entities.slash_steps(CODES, _BANK)
         elif rule.gate == "company" and number == _COMPANY[0]:
-            for step in entities.company_steps(CODES):
-                df = df.withColumn("_m", step(F.col("_m")))
+            out += entities.company_steps(CODES)
         elif rule.gate == "bare" and options.bare_names and options.amounts:
-            people = "".join(map(markup.code, CODES.people()))
-            known = f"{markup.OPEN}[{people}][^{markup.CLOSE}{MID}]*{MID}([^{MID}]*){MID}"
-            df = df.withColumn("_m", entities.bare_names(F.col("_m"), CODES, lambda t, known=known: F.regexp_extract_all(t, F.lit(known), F.lit(1))))
+            out.append(lambda m: entities.bare_names(m, CODES, lambda t: F.regexp_extract_all(t, F.lit(known), F.lit(1))))
         elif rule.pattern or rule.gate == "project":
-            df = _apply(df, number, rule)
-    return df
+            out.append(_pass(number, rule))
+    return out
+
+
+def marked(df: DataFrame, text_col: str = "text", options: Options = Options()) -> DataFrame:
+    """Adds ``normal``, the preprocessed text, and ``_m``, that text with marked spans.
+
+    A text without Han characters needs only the few rules that can match there.
+    """
+
+    def run(text: Column, any_script: bool) -> Column:
+        for step in passes(options, any_script):
+            text = step(text)
+        return text
+
+    found = lambda t: F.when(t.rlike(f"[{HAN}]"), run(t, False)).when(t.rlike("[0-9@]"), run(t, True)).otherwise(t)
+    df = df.withColumn("normal", markup.unmarked_input(preprocess(F.col(text_col))))
+    return df.withColumn("_m", let(F.col("normal"), found))
 
 
 def _of_rule(field) -> Column:
