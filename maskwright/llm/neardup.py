@@ -51,6 +51,8 @@ SET_BITS = 2048
 SLACK_SIGMAS = 5.0
 #: A join key with more than one in ``HOT`` of a join's rows, and with more than ``SPREAD``, is dealt to several tasks.
 HOT, SPREAD = 1000, 256
+#: Bits, as a power of two, of the largest bit map of ids that is broadcast: 64 MB.
+FILTER_BITS = 29
 #: Characters of text that are hashed at a time.
 CHUNK_CHARS = 1_000_000
 #: Rows of a batch that are turned into Python strings at a time.
@@ -225,14 +227,28 @@ def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], by: str, how
     return left.join(right, [*keys, "_mw_part"], how).drop("_mw_part")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose full sets reach the threshold, with the size of their intersection.
+def marked_by(docs: DataFrame, ids: DataFrame, name: str = "_mw_hit") -> DataFrame:
+    """Adds ``name``: whether a row's doc_id is among ``ids``; of other rows a few are marked as well.
 
-    The candidates' texts are found by a shuffle of ids and texts, at every size; their sets are cut, so
-    they are hashed once. ``pairs`` must be cut.
+    The ids are hashed to a bit map of ``FILTER_BITS`` at most, whatever their number, and only that is
+    broadcast: 64 MB at most. Beyond that size more other rows are marked, and none is missed. ``ids`` must be cut.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
+    bits = 1 << max(15, min(FILTER_BITS, (16 * max(1, ids.count())).bit_length()))
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))
+    cell, at = (F.floor(place / 32768)).cast("int"), (place % 32768).cast("int")
+    maps = ids.select(cell.alias("_mw_cell"), at.alias("at")).groupBy("_mw_cell").agg(F.bitmap_construct_agg("at").alias("_mw_map"))
+    bit = F.expr("shiftright(cast(conv(hex(substring(_mw_map, cast(_mw_at div 8 AS int) + 1, 1)), 16, 10) AS int), cast(_mw_at % 8 AS int)) & 1") == 1
+    keyed = docs.withColumn("_mw_cell", cell).withColumn("_mw_at", at).join(F.broadcast(maps), "_mw_cell", "left")
+    return keyed.withColumn(name, F.coalesce(bit, F.lit(False))).select(*docs.columns, name)
+
+
+def sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """doc_id and s, the shingle sets of the texts of some ids; a row for each different set. ``ids`` must be cut.
+
+    Texts and ids meet by a shuffle of those texts that a bit map of the ids lets through.
+    """
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = marked_by(narrow, ids).where("_mw_hit").select("doc_id", "text").join(ids, "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -245,10 +261,45 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     sets = cut(texts.mapInArrow(run, "doc_id long, h long, s array<long>"))
     if sets.groupBy("doc_id", "h").count().where("count > 1").take(1):  # rows that are alike need to meet only once
         sets = cut(sets.dropDuplicates(["doc_id", "h"]))
+    return sets.select("doc_id", "s")
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b), which must be cut, whose full sets reach the threshold."""
     of = lambda side: sets.select(F.col("doc_id").alias(side), F.col("s").alias(f"s{side}"))
     one = spread_join(pairs.select("a", "b"), of("a"), ["a"], "b")
     both = spread_join(one, of("b"), ["b"], "a", counts=pairs.groupBy("b").agg(F.count("*").alias("n"))).withColumn("shared", F.size(F.array_intersect("sa", "sb")))
-    return both.where(100 * F.col("shared") >= percent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b", "shared").distinct()
+    return cut(both.where(100 * F.col("shared") >= percent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b").distinct())
+
+
+def linked(near: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Confirmed links among ``near`` pairs, enough to tell the components, and each node's component.
+
+    First every node meets its smallest partner, which links most of a large group with one pair a
+    node; then all pairs that still lie in different components are confirmed.
+    """
+    first = cut(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = confirm(first, sets, percent)
+    labels = cut(components(links))
+    apart = cut(across_labels(near, labels).join(first, ["a", "b"], "left_anti"))
+    if apart.take(1):
+        found = confirm(apart, sets, percent)
+        if found.take(1):
+            links = links.unionByName(found)
+            labels = cut(components(links))
+    return links, labels
+
+
+def across_labels(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose ends have different components."""
+    of = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"l{side}"))
+    one = spread_join(pairs.select("a", "b"), of("a"), ["a"], "b", "left")
+    both = spread_join(one, of("b"), ["b"], "a", "left", counts=pairs.groupBy("b").agg(F.count("*").alias("n")))
+    return both.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -298,20 +349,19 @@ def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
     one = spread_join(stars, sketches.select(F.col("rep").alias("a"), F.col("maps").alias("x")), ["a"], "b")
     both = spread_join(one, sketches.select(F.col("rep").alias("b"), F.col("maps").alias("y")), ["b"], "a", counts=stars.groupBy("b").agg(F.count("*").alias("n")))
     near = cut(both.where(close("x", "y", percent)).select("a", "b").distinct())
-    links = cut(confirm(near, docs, k, percent).select("a", "b"))
-    labels = cut(components(links))
+    links, labels = linked(near, sets_of(ends(near), docs, k), percent)
 
     more = cut(_across(met.where("n > 3").select("key", "rep"), labels, sketches, percent).join(near, ["a", "b"], "left_anti"))
     if more.take(1):
-        found = cut(confirm(more, docs, k, percent).select("a", "b"))
+        found, _ = linked(more, sets_of(ends(more), docs, k), percent)
         if found.take(1):
             labels = cut(components(links.unionByName(found)))
 
     classes = cut(stands.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id"), "n"))
     narrow = ["doc_id", "n_shingles", "c1", "c2"]
-    linked = spread_join(real.select(*narrow, "at"), classes.drop("n"), ["c1", "c2"], "at", counts=classes.select("c1", "c2", "n")).select(*narrow, "component_id")
+    joined = spread_join(real.select(*narrow, "at"), classes.drop("n"), ["c1", "c2"], "at", counts=classes.select("c1", "c2", "n")).select(*narrow, "component_id")
     alone = signed.where("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").select(*narrow, F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _across(rows: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -338,14 +388,18 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     kept stay, one of each set.
     """
     labelled = _labelled(docs, k, percent).where("doc_id IS NOT NULL")
-    kept = cut(labelled.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept")).where("kept"))
-    repeated = kept.where("n > 1").take(1)
-    only = lambda ids: docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    out = only(kept.where("n = 1")).unionByName(docs.where("doc_id IS NULL"))
-    if not repeated:
+    per_id = labelled.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
+    # ids that are dropped or come again; all other rows stay where they are
+    odd = cut(per_id.where("NOT kept OR n > 1"))
+    told = marked_by(docs, odd.select("doc_id"))
+    maybe = told.where("_mw_hit").select(*docs.columns)
+    ids = odd.select(F.col("doc_id").alias("_mw_id"))
+    out = told.where("NOT _mw_hit").select(*docs.columns).unionByName(maybe.join(ids, F.col("doc_id").cast("long") == F.col("_mw_id"), "left_anti"))
+    again = odd.where("n > 1 AND kept").select("doc_id")
+    if not again.take(1):
         return out
+    only = lambda ids: maybe.join(ids.select(F.col("doc_id").alias("_mw_id")), F.col("doc_id").cast("long") == F.col("_mw_id"), "left_semi").select(*docs.columns)
     # of ids that repeat, the id doesn't tell the rows apart: their texts' sets are named once more
-    again = kept.where("n > 1").select("doc_id")
     classes = cut(labelled.where("kept").join(again, "doc_id", "left_semi").select("doc_id", "c1", "c2").distinct())
     rows_again = only(again)
     texts = signatures(rows_again, k, percent, keep_text=True).select(F.col("doc_id").alias("_mw_id"), F.col("text").alias("_mw_text"), F.col("c1").alias("_mw_c1"), F.col("c2").alias("_mw_c2")).distinct()

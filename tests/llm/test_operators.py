@@ -96,6 +96,17 @@ def test_hot_keys_are_dealt_to_several_tasks(spark, monkeypatch, monkey):
         assert {r.doc_id: r.component_id for r in got} == brute_components(texts, 3, 85)
 
 
+@pytest.mark.parametrize("bits", [29, 15])
+def test_bit_map_of_ids_misses_none(spark, monkeypatch, bits):
+    monkeypatch.setattr(neardup, "FILTER_BITS", bits)
+    docs = spark.range(20_000).select((F.col("id") * 7919 - 5000).alias("doc_id"), F.lit("x").alias("text"))
+    ids = docs.where("doc_id % 5 = 0").select("doc_id")
+    got = neardup.marked_by(docs.union(spark.createDataFrame([(None, "y")], "doc_id long, text string")), ids).collect()
+    assert len(got) == 20_001 and all(r._mw_hit for r in got if r.doc_id is not None and r.doc_id % 5 == 0)
+    others = [r._mw_hit for r in got if r.doc_id is not None and r.doc_id % 5]
+    assert sum(others) < (0.1 if bits == 29 else 0.3) * len(others)
+
+
 def exact_components(rows, k, percent):
     """Components by exact set joins: sets that reach the threshold share one of their rarest shingles."""
     sets, first = {}, {}
