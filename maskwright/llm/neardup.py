@@ -208,6 +208,11 @@ def close(a: str, b: str, percent: int) -> Column:
     )
 
 
+def merged(table: DataFrame) -> DataFrame:
+    """A side of a join that is sorted and merged, never broadcast by the planner: dozens of small broadcasts fill a driver."""
+    return table.hint("merge")
+
+
 def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], by: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """``rows`` joined with ``table`` on ``keys``; a key with many rows is dealt to several tasks by a hash of ``by``.
 
@@ -219,12 +224,12 @@ def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], by: str, how
     most, total = counts.agg(F.max("n"), F.sum("n")).first()
     each = max(SPREAD, (total or 0) // HOT)
     if (most or 0) <= each:
-        return rows.join(table, keys, how)
+        return rows.join(merged(table), keys, how)
     hot = counts.where(F.col("n") > each).select(*keys, F.ceil(F.col("n") / each).cast("int").alias("_mw_parts")).collect()
     parts = F.broadcast(rows.sparkSession.createDataFrame(hot, rows.select(*keys, F.lit(0).alias("_mw_parts")).schema))
     left = rows.join(parts, keys, "left").withColumn("_mw_part", F.coalesce(F.pmod(F.xxhash64(by), "_mw_parts"), F.lit(0).cast("long"))).drop("_mw_parts")
     right = table.join(parts, keys, "left").withColumn("_mw_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_mw_parts", F.lit(1)) - 1))).drop("_mw_parts")
-    return left.join(right, [*keys, "_mw_part"], how).drop("_mw_part")
+    return left.join(merged(right), [*keys, "_mw_part"], how).drop("_mw_part")
 
 
 def marked_by(docs: DataFrame, ids: DataFrame, name: str = "_mw_hit") -> DataFrame:
@@ -248,7 +253,7 @@ def sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     Texts and ids meet by a shuffle of those texts that a bit map of the ids lets through.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = marked_by(narrow, ids).where("_mw_hit").select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    texts = marked_by(narrow, ids).where("_mw_hit").select("doc_id", "text").join(merged(ids), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -285,7 +290,7 @@ def linked(near: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, D
     first = cut(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     links = confirm(first, sets, percent)
     labels = cut(components(links))
-    apart = cut(across_labels(near, labels).join(first, ["a", "b"], "left_anti"))
+    apart = cut(across_labels(near, labels).join(merged(first), ["a", "b"], "left_anti"))
     if apart.take(1):
         found = confirm(apart, sets, percent)
         if found.take(1):
@@ -338,7 +343,7 @@ def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
     real = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # a class: its smallest id, and one row that has it
     stands = cut(real.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.min_by("at", "doc_id").alias("at"), F.count("*").alias("n")))
-    first = cut(real.join(stands.select("at", "rep"), "at").select("rep", "bands", F.struct(F.col("n_shingles").alias("n"), "sketch", "parity").alias("maps")))
+    first = cut(real.join(merged(stands.select("at", "rep")), "at").select("rep", "bands", F.struct(F.col("n_shingles").alias("n"), "sketch", "parity").alias("maps")))
 
     rows = first.select(F.explode("bands").alias("key"), "rep")
     hubs = cut(rows.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n")).where("lo <> hi"))
@@ -351,13 +356,13 @@ def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
     near = cut(both.where(close("x", "y", percent)).select("a", "b").distinct())
     links, labels = linked(near, sets_of(ends(near), docs, k), percent)
 
-    more = cut(_across(met.where("n > 3").select("key", "rep"), labels, sketches, percent).join(near, ["a", "b"], "left_anti"))
+    more = cut(_across(met.where("n > 3").select("key", "rep"), labels, sketches, percent).join(merged(near), ["a", "b"], "left_anti"))
     if more.take(1):
         found, _ = linked(more, sets_of(ends(more), docs, k), percent)
         if found.take(1):
             labels = cut(components(links.unionByName(found)))
 
-    classes = cut(stands.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id"), "n"))
+    classes = cut(stands.join(merged(labels.withColumnRenamed("node", "rep")), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id"), "n"))
     narrow = ["doc_id", "n_shingles", "c1", "c2"]
     joined = spread_join(real.select(*narrow, "at"), classes.drop("n"), ["c1", "c2"], "at", counts=classes.select("c1", "c2", "n")).select(*narrow, "component_id")
     alone = signed.where("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").select(*narrow, F.col("doc_id").alias("component_id"))
@@ -369,12 +374,12 @@ def _across(rows: DataFrame, labels: DataFrame, sketches: DataFrame, percent: in
 
     A bucket's most frequent component never meets itself; buckets of one component are gone before.
     """
-    told = cut(rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label")))
+    told = cut(rows.join(merged(labels.withColumnRenamed("node", "rep")), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label")))
     open_keys = (
         told.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key")
         .agg(F.count("*").alias("labels"), F.max_by("label", "n").alias("main")).where("labels > 1").select("key", "main")
     )
-    held = cut(spread_join(told, cut(open_keys), ["key"], "rep")).join(sketches, "rep")
+    held = cut(spread_join(told, cut(open_keys), ["key"], "rep")).join(merged(sketches), "rep")
     left = held.where("label <> main").select("key", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("maps").alias("x"))
     right = held.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("maps").alias("y"), (F.col("label") == F.col("main")).alias("is_main"))
     met = spread_join(right, left, ["key"], "b").where((F.col("la") != F.col("lb")) & (F.col("is_main") | (F.col("a") < F.col("b"))) & close("x", "y", percent))
@@ -393,7 +398,7 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     odd = cut(per_id.where("NOT kept OR n > 1"))
     told = marked_by(docs, odd.select("doc_id"))
     maybe = told.where("_mw_hit").select(*docs.columns)
-    ids = odd.select(F.col("doc_id").alias("_mw_id"))
+    ids = merged(odd.select(F.col("doc_id").alias("_mw_id")))
     out = told.where("NOT _mw_hit").select(*docs.columns).unionByName(maybe.join(ids, F.col("doc_id").cast("long") == F.col("_mw_id"), "left_anti"))
     again = odd.where("n > 1 AND kept").select("doc_id")
     if not again.take(1):
