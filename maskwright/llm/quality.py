@@ -106,22 +106,19 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
-def without_failed_lines(text: Column) -> Column:
-    return F.array_join(F.filter(lines_of(text), lambda x: line_verdict(x) == ""), "\n")
-
-
-def measure(docs: DataFrame, text_col: str = "text", name: str = "quality") -> DataFrame:
-    """Adds a struct ``name`` with the counts and verdicts; it replaces a column so named."""
+def measure(docs: DataFrame, text_col: str = "text", name: str = "quality", with_rest: bool = False) -> DataFrame:
+    """Adds a struct ``name`` with the counts and verdicts; it replaces a column so named. With ``with_rest`` it holds the text without failed lines as well."""
     text = F.col(text_col)
     per_row = let(
         lines_of(text),
         lambda lines: let(
-            F.transform(lines, lambda x: F.struct(F.length(F.trim(x)).alias("chars"), line_verdict(x).alias("why"))),
+            F.transform(lines, lambda x: F.struct(F.length(F.trim(x)).alias("chars"), line_verdict(x).alias("why"), *([x.alias("line")] if with_rest else []))),
             lambda judged: F.struct(
                 (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
                 _chars(judged, lambda x: F.lit(True)).alias("line_chars"),
                 _chars(judged, lambda x: x["why"] != "").alias("lost_chars"),
                 F.array_distinct(F.transform(F.filter(judged, lambda x: x["why"] != ""), lambda x: x["why"])).alias("reasons"),
+                *([F.array_join(F.transform(F.filter(judged, lambda x: x["why"] == ""), lambda x: x["line"]), "\n").alias("rest")] if with_rest else []),
             ),
         ),
     )
@@ -143,7 +140,7 @@ def measure(docs: DataFrame, text_col: str = "text", name: str = "quality") -> D
             F.coalesce(F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")), F.lit(0)).cast("long").alias("n_symbols"),
             F.col("_mw_lines.n_dup_lines"), F.col("_mw_words.n_repeat_words"), failed.alias("base_failed"),
             (~failed & ~lost).alias("kept"),
-            F.col("_mw_lines.line_chars"), F.col("_mw_lines.lost_chars"), F.col("_mw_lines.reasons"),
+            F.col("_mw_lines.line_chars"), F.col("_mw_lines.lost_chars"), F.col("_mw_lines.reasons"), *([F.col("_mw_lines.rest")] if with_rest else []),
         ),
     ).drop("_mw_lines", "_mw_words")
 
@@ -154,9 +151,12 @@ def _chars(judged: Column, keep) -> Column:
 
 def clean(docs: DataFrame, text_col: str = "text", replace_text: bool = False) -> DataFrame:
     """The documents that pass, with their columns; with ``replace_text`` without their failed lines."""
-    out = measure(docs, text_col, "_mw_quality").where(F.col("_mw_quality.kept"))
+    out = measure(docs, text_col, "_mw_quality", with_rest=replace_text)
+    # generated, not filtered: a filter would be pushed below the measures and take them a second time
+    passed = F.explode_outer(F.filter(F.array("_mw_quality"), lambda q: q["kept"]))
+    out = out.select(*(docs[c] for c in docs.columns), passed.alias("_mw_passed")).where("_mw_passed IS NOT NULL")
     if replace_text:
-        out = out.withColumn(text_col, F.when(F.col("_mw_quality.lost_chars") > 0, without_failed_lines(F.col(text_col))).otherwise(F.col(text_col)))
+        out = out.withColumn(text_col, F.when(F.col("_mw_passed.lost_chars") > 0, F.col("_mw_passed.rest")).otherwise(F.col(text_col)))
     return out.select(*docs.columns)
 
 
