@@ -65,7 +65,7 @@ def mark_if(text: Column, rule: int, pattern: str, valid) -> Column:
 _BLOCK = 32
 
 
-def running(numbers: Column, levels: int = 4) -> Column:
+def running(numbers: Column, levels: int = 2) -> Column:
     """Sums of an array up to each place, its own number included, in time that grows with the array.
 
     Blocks are summed by themselves, and their totals in the same way a level higher.

@@ -71,6 +71,20 @@ s AS (SELECT *, CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0
 f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM s)
 """
 
+#: kind -> (characters before the value, whether the finding begins with them, value)
+_SCAN_VALUES = {
+    "手机号": (3, False, _MOBILE), "邮箱": (3, False, "'user' || k || '@example.com'"), "身份证号": (5, True, f"{_ID} || '1'"), "护照号": (3, True, "'E' || lpad(CAST(k AS VARCHAR), 8, '0')"),
+    "银行账号": (5, True, "'6222' || lpad(CAST(k AS VARCHAR), 12, '0')"), "案号": (3, False, "'(2024)京0108民初' || (k % 99999 + 1) || '号'"),
+    "车牌号": (3, False, "'粤B' || lpad(CAST(k % 100000 AS VARCHAR), 5, '0')"), "QQ号": (3, True, "lpad(CAST(k AS VARCHAR), 8, '1')"), "微信号": (4, True, "'wx_' || lpad(CAST(k AS VARCHAR), 6, '0')"),
+    "出生日期": (3, True, "'1980年' || (k % 12 + 1) || '月' || (k % 28 + 1) || '日'"), "组织机构代码": (3, False, "lpad(CAST(k % 100000000 AS VARCHAR), 8, '6') || '-' || (k % 10)"),
+    "统一社会信用代码": (5, True, "'91330105MA27' || lpad(CAST(k % 1000000 AS VARCHAR), 6, 'X')"), "固定电话": (3, False, "'0571-8' || lpad(CAST(k % 10000000 AS VARCHAR), 7, '0')"),
+    "律师执业证号": (5, True, "'3111' || lpad(CAST(k AS VARCHAR), 13, '0')"), "地址": (3, True, "'浙江省杭州市余杭区文一西路' || (k % 999 + 1) || '号'"),
+    "金额": (2, False, "(k % 9999 + 1) || '元'"), "地块编号": (3, False, "'余政储出(2012)' || (k % 999 + 1) || '号地块'"),
+}
+_SCAN_ROWS = " UNION ALL ".join(
+    f"SELECT '{kind}/' || k AS doc_id, '{kind}' AS type, {value} AS value, CAST({0 if led else n} AS BIGINT) AS start, CAST({n} + length({value}) AS BIGINT) AS end_ FROM c" for kind, (n, led, value) in _SCAN_VALUES.items()
+)
+
 ORACLE_SQL = {
     "mask_stats_by_type": _DOC_VALUES + "SELECT type, count(*) AS n, count(DISTINCT original) AS n_values FROM v GROUP BY type",
     "mapping_values": _DOC_VALUES + "SELECT doc_id, type, original, replacement, count(*) AS n FROM v GROUP BY ALL",
@@ -96,15 +110,14 @@ ORACLE_SQL = {
     "company_links": f"SELECT k, '原告[合同甲方]（以下简称[合同甲方]）与被告[合同乙方]签订合同，[合同甲方]付款。' AS masked FROM (SELECT {_K})",
     "slash_accounts": f"SELECT k, '对方 [银行账号]/[当事人_1] [银行账号]/[当事人_2] [支付宝账号][当事人_3] 完' AS masked FROM (SELECT {_K})",
     "preprocessed": f"SELECT k, 'AB ' || k || '元' AS text FROM (SELECT {_K})",
-    "scan_findings": f"""WITH c AS (SELECT {_K}), r AS (
-        SELECT '手机号/' || k AS doc_id, '手机号' AS type, {_MOBILE} AS value, 3 AS start, 14 AS end_, 1.0 AS confidence FROM c
-        UNION ALL SELECT '邮箱/' || k, '邮箱', 'user' || k || '@example.com', 3, 3 + 16 + length(CAST(k AS VARCHAR)), 1.0 FROM c
-        UNION ALL SELECT '护照号/' || k, '护照号', 'E' || lpad(CAST(k AS VARCHAR), 8, '0'), 0, 12, 1.0 FROM c
-        UNION ALL SELECT 'QQ号/' || k, 'QQ号', lpad(CAST(k AS VARCHAR), 8, '1'), 0, 11, 1.0 FROM c
-        UNION ALL SELECT '银行账号/' || k, '银行账号', '6222' || lpad(CAST(k AS VARCHAR), 12, '0'), 0, 21, NULL FROM c),
+    "scan_findings": f"""WITH c AS (SELECT {_K}), r AS ({_SCAN_ROWS}),
+      j AS (SELECT *, CASE type WHEN '身份证号' THEN substr('10X98765432', CAST(({_sum("value", _WEIGHTS, "CAST({c} AS INTEGER)")}) % 11 + 1 AS INTEGER), 1) = substr(value, 18, 1) END AS id_ok FROM r WHERE type = '身份证号'),
+      u AS (SELECT *, substr('{_CREDIT}', CAST((31 - ({_sum("value", _CREDIT_WEIGHTS, f"(instr('{_CREDIT}', {{c}}) - 1)")}) % 31) % 31 + 1 AS INTEGER), 1) = substr(value, 18, 1) AS credit_ok FROM r WHERE type = '统一社会信用代码'),
       l AS (SELECT *, list_sum(list_transform(range(16), lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr(value, 16 - i, 1) AS INTEGER)
         ELSE CAST(substr('0246813579', CAST(substr(value, 16 - i, 1) AS INTEGER) + 1, 1) AS INTEGER) END)) % 10 = 0 AS luhn FROM r WHERE type = '银行账号')
-      SELECT doc_id, type, value, CAST(start AS BIGINT) AS start, CAST(end_ AS BIGINT) AS "end", CAST(confidence AS DOUBLE) AS confidence, false AS validated FROM r WHERE type <> '银行账号'
+      SELECT doc_id, type, value, start, end_ AS "end", 1.0::DOUBLE AS confidence, false AS validated FROM r WHERE type NOT IN ('身份证号', '统一社会信用代码', '银行账号')
+      UNION ALL SELECT doc_id, type, value, start, end_, CASE WHEN id_ok THEN 1.0 ELSE 0.6 END, id_ok FROM j
+      UNION ALL SELECT doc_id, type, value, start, end_, CASE WHEN credit_ok THEN 1.0 ELSE 0.5 END, credit_ok FROM u
       UNION ALL SELECT doc_id, type, value, start, end_, CASE WHEN luhn THEN 1.0 ELSE 0.6 END, luhn FROM l""",
     "scan_documents": r"""WITH m AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9.+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+')) AS value FROM documents),
       b AS (SELECT unnest(list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) BETWEEN 14 AND 20)) AS value FROM documents)
@@ -114,6 +127,10 @@ ORACLE_SQL = {
     "review_residues": f"""WITH c AS (SELECT {_K}) SELECT k AS doc_id, '法院名称' AS type, false AS critical, 1 AS n FROM c UNION ALL SELECT k, '重识别风险', false, 1 FROM c
       UNION ALL SELECT k, '身份证号/手机号/银行账号', true, 1 FROM c WHERE k % 2 = 0 UNION ALL SELECT k, '金额残留', false, 1 FROM c WHERE k % 2 = 0 UNION ALL SELECT k, '提示注入模式', false, 1 FROM c WHERE k % 5 = 0""",
     "review_tiers": f"SELECT k AS doc_id, CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS n_critical, 2 + CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS n_low FROM (SELECT {_K})",
+    "surviving_originals": _DOC_VALUES + r""", t AS (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(t, '[0-9]+|[^0-9]+'),
+        lambda x: CASE WHEN regexp_full_match(x, '[0-9]{14,20}|1[3-9][0-9]{9}|0[0-9]{9,11}|[48]00[0-9]{7}') OR (regexp_full_match(x, '[0-9]{7,}') AND NOT regexp_matches(x, '^(?:19|20)[0-9]{6}')) THEN '[]' ELSE x END), '') AS masked FROM e)
+      SELECT type, count(*) AS n FROM v JOIN t USING (doc_id)
+      WHERE len(list_filter(range(1, greatest(2, length(original) - 4)), lambda i: contains(masked, substr(original, i, 6)))) > 0 GROUP BY type""",
     "eval_scores": _CASE_ROWS + "SELECT type, tp, fp, fn, precision, recall, support, f1 FROM f",
     "eval_macro": _CASE_ROWS + "SELECT avg(f1) AS macro_f1 FROM f WHERE type <> 'MICRO'",
     "column_kinds": "SELECT * FROM (VALUES ('序号', '默认'), ('交易日期', '日期'), ('摘要', '附言'), ('交易金额', '金额'), ('账户余额', '金额'), ('交易地点/附言', '附言'), ('对方账号与户名', '户名'), ('状态', '默认')) AS h(header, kind)",
