@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, cut, give_back
+from ._shared import bounded_batches, give_back, table
 
 SAMPLES = 128
 BAND_ROWS = 4
@@ -208,15 +208,15 @@ def close(a: str, b: str, percent: int) -> Column:
     )
 
 
-def merged(table: DataFrame) -> DataFrame:
+def merged(side: DataFrame) -> DataFrame:
     """A side of a join that is sorted and merged, never broadcast by the planner: dozens of small broadcasts fill a driver."""
-    return table.hint("merge")
+    return side.hint("merge")
 
 
-def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], by: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
-    """``rows`` joined with ``table`` on ``keys``; a key with many rows is dealt to several tasks by a hash of ``by``.
+def spread_join(rows: DataFrame, other: DataFrame, keys: list[str], by: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined with ``other`` on ``keys``; a key with many rows is dealt to several tasks by a hash of ``by``.
 
-    Only the table's rows of such a key are copied, to as many parts as the key has. Fewer than ``HOT``
+    Only the other side's rows of such a key are copied, to as many parts as the key has. Fewer than ``HOT``
     keys can hold more than one in ``HOT`` of the rows, so the list of them is bounded whatever the input.
     ``counts`` has the keys and ``n``, where that is known already.
     """
@@ -224,11 +224,11 @@ def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], by: str, how
     most, total = counts.agg(F.max("n"), F.sum("n")).first()
     each = max(SPREAD, (total or 0) // HOT)
     if (most or 0) <= each:
-        return rows.join(merged(table), keys, how)
+        return rows.join(merged(other), keys, how)
     hot = counts.where(F.col("n") > each).select(*keys, F.ceil(F.col("n") / each).cast("int").alias("_mw_parts")).collect()
     parts = F.broadcast(rows.sparkSession.createDataFrame(hot, rows.select(*keys, F.lit(0).alias("_mw_parts")).schema))
     left = rows.join(parts, keys, "left").withColumn("_mw_part", F.coalesce(F.pmod(F.xxhash64(by), "_mw_parts"), F.lit(0).cast("long"))).drop("_mw_parts")
-    right = table.join(parts, keys, "left").withColumn("_mw_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_mw_parts", F.lit(1)) - 1))).drop("_mw_parts")
+    right = other.join(parts, keys, "left").withColumn("_mw_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_mw_parts", F.lit(1)) - 1))).drop("_mw_parts")
     return left.join(merged(right), [*keys, "_mw_part"], how).drop("_mw_part")
 
 
@@ -236,7 +236,7 @@ def marked_by(docs: DataFrame, ids: DataFrame, name: str = "_mw_hit") -> DataFra
     """Adds ``name``: whether a row's doc_id is among ``ids``; of other rows a few are marked as well.
 
     The ids are hashed to a bit map of ``FILTER_BITS`` at most, whatever their number, and only that is
-    broadcast: 64 MB at most. Beyond that size more other rows are marked, and none is missed. ``ids`` must be cut.
+    broadcast: 64 MB at most. Beyond that size more other rows are marked, and none is missed. ``ids`` must be written.
     """
     bits = 1 << max(15, min(FILTER_BITS, (16 * max(1, ids.count())).bit_length()))
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))
@@ -248,7 +248,7 @@ def marked_by(docs: DataFrame, ids: DataFrame, name: str = "_mw_hit") -> DataFra
 
 
 def sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """doc_id and s, the shingle sets of the texts of some ids; a row for each different set. ``ids`` must be cut.
+    """doc_id and s, the shingle sets of the texts of some ids; a row for each different set. ``ids`` must be written.
 
     Texts and ids meet by a shuffle of those texts that a bit map of the ids lets through.
     """
@@ -263,22 +263,22 @@ def sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             names = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             yield pa.record_batch([batch.column(0), pa.array(names), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "h", "s"])
 
-    sets = cut(texts.mapInArrow(run, "doc_id long, h long, s array<long>"))
+    sets = table(texts.mapInArrow(run, "doc_id long, h long, s array<long>"))
     if sets.groupBy("doc_id", "h").count().where("count > 1").take(1):  # rows that are alike need to meet only once
-        sets = cut(sets.dropDuplicates(["doc_id", "h"]))
+        sets = table(sets.dropDuplicates(["doc_id", "h"]))
     return sets.select("doc_id", "s")
 
 
 def ends(pairs: DataFrame) -> DataFrame:
-    return cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    return table(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b), which must be cut, whose full sets reach the threshold."""
+    """Those pairs (a, b), which must be written, whose full sets reach the threshold."""
     of = lambda side: sets.select(F.col("doc_id").alias(side), F.col("s").alias(f"s{side}"))
     one = spread_join(pairs.select("a", "b"), of("a"), ["a"], "b")
     both = spread_join(one, of("b"), ["b"], "a", counts=pairs.groupBy("b").agg(F.count("*").alias("n"))).withColumn("shared", F.size(F.array_intersect("sa", "sb")))
-    return cut(both.where(100 * F.col("shared") >= percent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b").distinct())
+    return table(both.where(100 * F.col("shared") >= percent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b").distinct())
 
 
 def linked(near: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -287,15 +287,15 @@ def linked(near: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, D
     First every node meets its smallest partner, which links most of a large group with one pair a
     node; then all pairs that still lie in different components are confirmed.
     """
-    first = cut(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    first = table(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     links = confirm(first, sets, percent)
-    labels = cut(components(links))
-    apart = cut(across_labels(near, labels).join(merged(first), ["a", "b"], "left_anti"))
+    labels = table(components(links))
+    apart = table(across_labels(near, labels).join(merged(first), ["a", "b"], "left_anti"))
     if apart.take(1):
         found = confirm(apart, sets, percent)
         if found.take(1):
             links = links.unionByName(found)
-            labels = cut(components(links))
+            labels = table(components(links))
     return links, labels
 
 
@@ -311,20 +311,20 @@ def components(links: DataFrame) -> DataFrame:
     """node, component (its smallest node) of all nodes that links (a, b) mention.
 
     Large-star and small-star steps in turn, each a grouped minimum and an equi-join on links alone,
-    until nothing changes. Every round is cut, so its plan stays small and lost executors cost no
+    until nothing changes. Every round is written, so its plan stays small and lost executors cost no
     more than a reread.
     """
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        low = table(both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
         large = spread_join(both.where("v > u"), low.select("u", "m"), ["u"], "v", counts=low.where("n > 0").select("u", "n"))
-        large = cut(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        large = table(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        low = table(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
         small = spread_join(large, low.select("u", "m"), ["u"], "v", counts=low.select("u", "n"))
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        edges = cut(small.where("u <> v").distinct())
+        edges = table(small.where("u <> v").distinct())
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break
@@ -339,30 +339,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """``near_duplicates`` with c1 and c2, the class of each row's set."""
-    signed = cut(signatures(docs, k, percent).withColumn("at", F.monotonically_increasing_id()))  # cut, so ``at`` stays
+    signed = table(signatures(docs, k, percent).withColumn("at", F.monotonically_increasing_id()))  # written, so ``at`` stays
     real = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # a class: its smallest id, and one row that has it
-    stands = cut(real.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.min_by("at", "doc_id").alias("at"), F.count("*").alias("n")))
-    first = cut(real.join(merged(stands.select("at", "rep")), "at").select("rep", "bands", F.struct(F.col("n_shingles").alias("n"), "sketch", "parity").alias("maps")))
+    stands = table(real.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.min_by("at", "doc_id").alias("at"), F.count("*").alias("n")))
+    first = table(real.join(merged(stands.select("at", "rep")), "at").select("rep", "bands", F.struct(F.col("n_shingles").alias("n"), "sketch", "parity").alias("maps")))
 
     rows = first.select(F.explode("bands").alias("key"), "rep")
-    hubs = cut(rows.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n")).where("lo <> hi"))
-    met = cut(spread_join(rows, hubs, ["key"], "rep", counts=hubs.select("key", "n")))
+    hubs = table(rows.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n")).where("lo <> hi"))
+    met = table(spread_join(rows, hubs, ["key"], "rep", counts=hubs.select("key", "n")))
     stars = met.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("rep").alias("b")), F.struct(F.col("rep").alias("a"), F.col("hi").alias("b")))).alias("p"))
-    stars = cut(stars.select("p.a", "p.b").where("a <> b").distinct())
+    stars = table(stars.select("p.a", "p.b").where("a <> b").distinct())
     sketches = first.select("rep", "maps")
     one = spread_join(stars, sketches.select(F.col("rep").alias("a"), F.col("maps").alias("x")), ["a"], "b")
     both = spread_join(one, sketches.select(F.col("rep").alias("b"), F.col("maps").alias("y")), ["b"], "a", counts=stars.groupBy("b").agg(F.count("*").alias("n")))
-    near = cut(both.where(close("x", "y", percent)).select("a", "b").distinct())
+    near = table(both.where(close("x", "y", percent)).select("a", "b").distinct())
     links, labels = linked(near, sets_of(ends(near), docs, k), percent)
 
-    more = cut(_across(met.where("n > 3").select("key", "rep"), labels, sketches, percent).join(merged(near), ["a", "b"], "left_anti"))
+    more = table(_across(met.where("n > 3").select("key", "rep"), labels, sketches, percent).join(merged(near), ["a", "b"], "left_anti"))
     if more.take(1):
         found, _ = linked(more, sets_of(ends(more), docs, k), percent)
         if found.take(1):
-            labels = cut(components(links.unionByName(found)))
+            labels = table(components(links.unionByName(found)))
 
-    classes = cut(stands.join(merged(labels.withColumnRenamed("node", "rep")), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id"), "n"))
+    classes = table(stands.join(merged(labels.withColumnRenamed("node", "rep")), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id"), "n"))
     narrow = ["doc_id", "n_shingles", "c1", "c2"]
     joined = spread_join(real.select(*narrow, "at"), classes.drop("n"), ["c1", "c2"], "at", counts=classes.select("c1", "c2", "n")).select(*narrow, "component_id")
     alone = signed.where("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").select(*narrow, F.col("doc_id").alias("component_id"))
@@ -374,12 +374,12 @@ def _across(rows: DataFrame, labels: DataFrame, sketches: DataFrame, percent: in
 
     A bucket's most frequent component never meets itself; buckets of one component are gone before.
     """
-    told = cut(rows.join(merged(labels.withColumnRenamed("node", "rep")), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label")))
+    told = table(rows.join(merged(labels.withColumnRenamed("node", "rep")), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label")))
     open_keys = (
         told.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key")
         .agg(F.count("*").alias("labels"), F.max_by("label", "n").alias("main")).where("labels > 1").select("key", "main")
     )
-    held = cut(spread_join(told, cut(open_keys), ["key"], "rep")).join(merged(sketches), "rep")
+    held = table(spread_join(told, table(open_keys), ["key"], "rep")).join(merged(sketches), "rep")
     left = held.where("label <> main").select("key", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("maps").alias("x"))
     right = held.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("maps").alias("y"), (F.col("label") == F.col("main")).alias("is_main"))
     met = spread_join(right, left, ["key"], "b").where((F.col("la") != F.col("lb")) & (F.col("is_main") | (F.col("a") < F.col("b"))) & close("x", "y", percent))
@@ -395,7 +395,7 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     labelled = _labelled(docs, k, percent).where("doc_id IS NOT NULL")
     per_id = labelled.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
     # ids that are dropped or come again; all other rows stay where they are
-    odd = cut(per_id.where("NOT kept OR n > 1"))
+    odd = table(per_id.where("NOT kept OR n > 1"))
     told = marked_by(docs, odd.select("doc_id"))
     maybe = told.where("_mw_hit").select(*docs.columns)
     ids = merged(odd.select(F.col("doc_id").alias("_mw_id")))
@@ -405,7 +405,7 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         return out
     only = lambda ids: maybe.join(ids.select(F.col("doc_id").alias("_mw_id")), F.col("doc_id").cast("long") == F.col("_mw_id"), "left_semi").select(*docs.columns)
     # of ids that repeat, the id doesn't tell the rows apart: their texts' sets are named once more
-    classes = cut(labelled.where("kept").join(again, "doc_id", "left_semi").select("doc_id", "c1", "c2").distinct())
+    classes = table(labelled.where("kept").join(again, "doc_id", "left_semi").select("doc_id", "c1", "c2").distinct())
     rows_again = only(again)
     texts = signatures(rows_again, k, percent, keep_text=True).select(F.col("doc_id").alias("_mw_id"), F.col("text").alias("_mw_text"), F.col("c1").alias("_mw_c1"), F.col("c2").alias("_mw_c2")).distinct()
     named = rows_again.join(texts, (F.col("doc_id").cast("long") == F.col("_mw_id")) & F.col("text").cast("string").eqNullSafe(F.col("_mw_text")))
