@@ -115,14 +115,19 @@ def marked(df: DataFrame, text_col: str = "text", options: Options = Options())
     A text without Han characters needs only the few rules that can match there.
     """
 
-    def run(text: Column, any_script: bool) -> Column:
+    df = df.withColumn("normal", markup.unmarked_input(preprocess(F.col(text_col))))
+    return df.withColumn("_m", marked_text(F.col("normal"), options))
+
+
+def marked_text(text: Column, options: Options = Options()) -> Column:
+    """A preprocessed text with marked spans."""
+
+    def run(t: Column, any_script: bool) -> Column:
         for step in passes(options, any_script):
-            text = step(text)
-        return text
+            t = step(t)
+        return t
 
-    found = lambda t: F.when(t.rlike(f"[{HAN}]"), run(t, False)).when(t.rlike("[0-9@]"), run(t, True)).otherwise(t)
-    df = df.withColumn("normal", markup.unmarked_input(preprocess(F.col(text_col))))
-    return df.withColumn("_m", let(F.col("normal"), found))
+    return let(text, lambda t: F.when(t.rlike(f"[{HAN}]"), run(t, False)).when(t.rlike("[0-9@]"), run(t, True)).otherwise(t))
 
 
 def _of_rule(field) -> Column:
@@ -152,7 +157,7 @@ def _first_shown(placed: Column) -> Column:
     return F.when(several, F.map_from_entries(firsts))
 
 
-def _assembled(m: Column) -> Column:
+def assembled(m: Column) -> Column:
     """struct<masked, mapping, names> of a marked text."""
     kinds, shown, reuse = _of_rule(lambda r: r.kind), _of_rule(Rule.shown), _of_rule(lambda r: r.reuse)
     person = _of_rule(lambda r: r.kind == "人名")
@@ -186,7 +191,7 @@ def _assembled(m: Column) -> Column:
     none = F.struct(
         m.alias("masked"),
         F.array().cast("array<struct<ord:int,original:string,replacement:string,type:string,validated:boolean>>").alias("mapping"),
-        F.array().cast("array<struct<ord:int,entity:string,placeholder:string,bound:string,role:string>>").alias("names"),
+        F.array().cast("array<struct<ord:int,entity:string,placeholder:string,bound:string,role:string,name:string>>").alias("names"),
     )
     return F.when(F.contains(m, F.lit(markup.OPEN)), let(_described(markup.spans(m)), named)).otherwise(none)
 
@@ -198,7 +203,7 @@ def mask(df: DataFrame, text_col: str = "text", options: Options = Options()) ->
     Explode these with the outer generators and filter afterwards: a filter on the column itself would
     be pushed below the chain and evaluate it a second time.
     """
-    out = marked(df, text_col, options).withColumn("_r", let(F.col("_m"), _assembled))
+    out = marked(df, text_col, options).withColumn("_r", let(F.col("_m"), assembled))
     return out.select("*", "_r.masked", "_r.mapping", "_r.names").drop("_m", "_r")
 
 

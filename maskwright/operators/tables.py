@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import markup
+from ..functions.markup import let
+from ..functions.text import preprocess
 from ..plans.catalog import HAN
-from .entities import plausible, surname_led
-from .masking import Options, mask
+from ..sources.storage import written
+from . import entities, masking
 
 # Header words by kind of column; the first kind that has one wins.
 COLUMN_KINDS = (
@@ -46,17 +49,65 @@ def offsets(cell_table: DataFrame, doc_col: str = "doc_id") -> DataFrame:
     return cell_table.withColumn("offset", F.coalesce(F.sum(F.length(F.coalesce("value", F.lit(""))) + 1).over(before), F.lit(0)))
 
 
-def mask_cells(cell_table: DataFrame) -> DataFrame:
-    """Adds ``masked``: dates stay, remarks keep their numbers, a lone name in a name column goes.
+def header_cells(cell_table: DataFrame, doc_col: str = "doc_id") -> DataFrame:
+    """A cell for each header of each table, in a row before all others; headers are text of no kind."""
+    firsts = cell_table.groupBy(doc_col, "col_idx", "header").agg(F.min("row_idx").alias("row_idx"))
+    first = Window.partitionBy(doc_col)
+    return firsts.select(doc_col, (F.min("row_idx").over(first) - 1).alias("row_idx"), "col_idx", "header", F.col("header").alias("value"), F.lit(DEFAULT_KIND).alias("col_type")).select(*cell_table.columns)
 
-    Each kind of column is one branch with its own chain; a cell's entities are its own.
+
+def _marked_cell(value: Column, kind: Column) -> Column:
+    """A cell with marked spans: dates stay, remarks keep their numbers, a lone name in a column of names is a counterparty."""
+    lone = kind.isin("户名", "附言") & value.rlike(f"^[{HAN}]{{2,4}}$") & entities.surname_led(value) & entities.plausible(value, F.lit(""))
+    return (
+        F.when(kind == "日期", value)
+        .when(lone, entities.person_span(value, masking.CODES))
+        .when(kind == "附言", masking.marked_text(value, masking.Options(amounts=False, bare_names=False)))
+        .otherwise(masking.marked_text(value))
+    )
+
+
+def mask_table(cell_table: DataFrame, doc_col: str = "doc_id") -> DataFrame:
+    """Adds ``masked`` and ``mapping``; entities are those of the whole table.
+
+    Cells are masked by themselves and written. Their names, a row for each different one, are numbered by first appearance in
+    their table: people by a window over the different names of a table, companies, which link by
+    stem and containment, by a fold over those. Placeholders then meet the cells that hold names by document and name.
     """
-    value = F.coalesce(F.col("value"), F.lit(""))
-    lone = F.col("col_type").isin("户名", "附言") & value.rlike(f"^[{HAN}]{{2,4}}$") & surname_led(value) & plausible(value, F.lit(""))
-    dates = cell_table.where("col_type = '日期'").withColumn("masked", value)
-    names = cell_table.where((F.col("col_type") != "日期") & lone).withColumn("masked", F.lit("[当事人_1]"))
-    rest = cell_table.where((F.col("col_type") != "日期") & ~lone)
-    keep = cell_table.columns
-    remarks = mask(rest.where("col_type = '附言'"), "value", Options(amounts=False, bare_names=False)).select(*keep, "masked")
-    others = mask(rest.where("col_type <> '附言'"), "value").select(*keep, "masked")
-    return dates.unionByName(names).unionByName(remarks).unionByName(others)
+    text = markup.unmarked_input(preprocess(F.coalesce(F.col("value"), F.lit(""))))
+    keep = [c for c in cell_table.columns if c not in ("masked", "mapping")]
+    place = F.struct("row_idx", "col_idx", F.col("n.ord").alias("ord"))
+    marked = cell_table.select(*keep, let(text, lambda t: _marked_cell(t, F.col("col_type"))).alias("_m"))
+    base = written(marked.withColumn("_r", let(F.col("_m"), masking.assembled)).select(*keep, "_r.masked", "_r.mapping", "_r.names", markup.gaps(F.col("_m")).alias("_gaps")))
+
+    mentions = base.where(F.size("names") > 0).select(doc_col, "row_idx", "col_idx", F.explode("names").alias("n")).select(doc_col, place.alias("at"), F.col("n.name").alias("name"), F.col("n.role").alias("role"), F.col("n.entity").startswith("person").alias("person"))
+    with_role = F.when(F.col("role") != "", F.col("at"))
+    firsts = mentions.groupBy(doc_col, "person", "name").agg(F.min("at").alias("first"), F.min(with_role).alias("role_at"), F.min_by("role", with_role).alias("role"))
+    people = firsts.where("person").select(
+        doc_col, "person", "name", F.concat(F.lit("person_"), F.row_number().over(Window.partitionBy(doc_col).orderBy("first")).cast("string")).alias("entity"), "role", "role_at"
+    )
+    found = F.array_sort(F.collect_list(F.struct("first", "name", F.coalesce("role", F.lit("")).alias("role"), "role_at")))
+    companies = firsts.where("NOT person").groupBy(doc_col).agg(found.alias("f"))
+    folded = let(
+        F.col("f"),
+        lambda f: F.zip_with(
+            f, entities.resolve(F.transform(f, lambda x, i: F.struct(F.lit(0).alias("rule"), i.alias("ord"), F.lit(False).alias("person"), x["name"].alias("canonical"), x["role"].alias("role")))),
+            lambda x, r: F.struct(x["name"].alias("name"), r["entity"].alias("entity"), x["role"].alias("role"), x["role_at"].alias("role_at")),
+        ),
+    )
+    linked = companies.select(doc_col, F.explode(folded).alias("c")).select(doc_col, F.lit(False).alias("person"), "c.*")
+    # a company's role is the first that any of its names has
+    of_entity = Window.partitionBy(doc_col, "entity")
+    linked = linked.withColumn("role", F.min_by("role", "role_at").over(of_entity)).withColumn("role_at", F.min("role_at").over(of_entity))
+    known = people.unionByName(linked.select(*people.columns))
+
+    asked = base.where(F.size("names") > 0).select(*keep, "mapping", "_gaps", F.explode("names").alias("n")).withColumn("at", place)
+    asked = asked.withColumn("name", F.col("n.name")).withColumn("person", F.col("n.entity").startswith("person"))
+    bound = F.when(F.col("at") >= F.col("role_at"), F.col("role")).otherwise(F.lit(""))
+    shown = asked.join(known, [doc_col, "person", "name"]).withColumn("_shown", entities.placeholder(F.col("entity"), F.coalesce(bound, F.lit(""))))
+    ids = [c for c in keep if c in (doc_col, "row_idx", "col_idx")]
+    rest = [c for c in keep if c not in ids]
+    back = shown.groupBy(*ids).agg(*(F.first(c).alias(c) for c in (*rest, "mapping", "_gaps")), F.map_from_entries(F.collect_list(F.struct(F.col("n.ord"), "_shown"))).alias("_by"))
+    renamed = F.transform("mapping", lambda m: m.withField("replacement", F.coalesce(F.element_at("_by", m["ord"] - 1), m["replacement"])))
+    back = back.withColumn("mapping", renamed).withColumn("masked", markup.weave(F.col("_gaps"), F.transform("mapping", lambda m: m["replacement"])))
+    return base.where(F.size("names") == 0).select(*keep, "masked", "mapping").unionByName(back.select(*keep, "masked", "mapping"))

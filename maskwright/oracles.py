@@ -134,10 +134,15 @@ ORACLE_SQL = {
     "eval_scores": _CASE_ROWS + "SELECT type, tp, fp, fn, precision, recall, support, f1 FROM f",
     "eval_macro": _CASE_ROWS + "SELECT avg(f1) AS macro_f1 FROM f WHERE type <> 'MICRO'",
     "column_kinds": "SELECT * FROM (VALUES ('序号', '默认'), ('交易日期', '日期'), ('摘要', '附言'), ('交易金额', '金额'), ('账户余额', '金额'), ('交易地点/附言', '附言'), ('对方账号与户名', '户名'), ('状态', '默认')) AS h(header, kind)",
-    "cells_masked": """SELECT o_orderkey AS row_idx, 0 AS col_idx, '日期' AS col_type, strftime(o_orderdate, '%Y%m%d') AS masked FROM orders
-      UNION ALL SELECT o_orderkey, 1, '金额', '[金额]' FROM orders
-      UNION ALL SELECT o_orderkey, 2, '附言', '34069040' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') FROM orders
-      UNION ALL SELECT o_orderkey, 3, '户名', '[当事人_1]' FROM orders""",
+    "cells_masked": f"""WITH h AS (SELECT o_custkey AS doc_id, o_orderkey AS row_idx, {_person('o_orderkey')} AS holder FROM orders),
+      n AS (SELECT doc_id, holder, row_number() OVER (PARTITION BY doc_id ORDER BY min(row_idx)) AS n FROM h GROUP BY doc_id, holder)
+      SELECT o_custkey AS doc_id, o_orderkey AS row_idx, 0 AS col_idx, '日期' AS col_type, strftime(o_orderdate, '%Y%m%d') AS masked FROM orders
+      UNION ALL SELECT o_custkey, o_orderkey, 1, '金额', '[金额]' FROM orders
+      UNION ALL SELECT o_custkey, o_orderkey, 2, '附言', '34069040' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') FROM orders
+      UNION ALL SELECT doc_id, row_idx, 3, '户名', '[当事人_' || n || ']' FROM h JOIN n USING (doc_id, holder)""",
+    "cells_restored": "SELECT o_custkey AS doc_id, true AS lossless, 2 * count(*) AS n FROM orders GROUP BY o_custkey",
+    "table_companies": f"""SELECT k AS doc_id, r AS row_idx, c AS col_idx, [['[公司_1]', '转账'], ['[公司_1]', '原告：[当事人甲（原告）]'], ['[当事人甲（原告）]', '支付宝-[当事人甲（原告）]'], ['[当事人甲（原告）]', '利息']][CAST(r + 1 AS INTEGER)][CAST(c + 1 AS INTEGER)] AS masked
+      FROM (SELECT {_K}), (SELECT unnest([0, 1, 2, 3]) AS r), (SELECT unnest([0, 1]) AS c)""",
     "cell_offsets": "SELECT o_custkey AS doc_id, o_orderkey AS row_idx, c AS col_idx, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, c) - 1) // 4 * 30 + [0, 9, 14, 27][CAST(c + 1 AS INTEGER)] AS \"offset\" FROM orders, (SELECT unnest([0, 1, 2, 3]) AS c)",
     "resume_pending": "SELECT doc_id AS path FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
     "fingerprint_changed": "SELECT doc_id FROM documents WHERE doc_id % 7 = 3 OR doc_id % 11 = 0",

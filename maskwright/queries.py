@@ -264,7 +264,30 @@ def _statement(spark, sf) -> DataFrame:
 
 
 def cells_masked(spark, sf):
-    return tables.mask_cells(_spread(_statement(spark, sf))).select("row_idx", F.col("col_idx").cast("long").alias("col_idx"), "col_type", "masked")
+    """Cells of statements; a holder has one placeholder in a statement, and different holders have different ones."""
+    return tables.mask_table(_statement(spark, sf)).select("doc_id", "row_idx", F.col("col_idx").cast("long").alias("col_idx"), "col_type", "masked")
+
+
+def cells_restored(spark, sf):
+    """Whether a masked statement, flattened, gives its cells back."""
+    masked = tables.mask_table(_statement(spark, sf))
+    flat = masked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("row_idx", "col_idx", "value", "masked", "mapping"))).alias("c"))
+    lines = lambda field: F.array_join(F.transform("c", lambda x: x[field]), "\n")
+    rows = flat.select("doc_id", lines("value").alias("normal"), lines("masked").alias("masked"), F.flatten(F.transform("c", lambda x: x["mapping"])).alias("mapping"))
+    return restore.round_trip(rows)
+
+
+def table_companies(spark, sf):
+    """Companies of a table link by stem over its cells, and people who get a role keep it from there on."""
+    k = F.col("k")
+    name = F.concat(F.lit("鼎盛"), _given(k), _given(k * 10))
+    row = lambda i, party, note: F.struct(F.lit(i).alias("i"), party.alias("party"), note.alias("note"))
+    rows = _people(spark, sf).select(
+        F.col("k").alias("doc_id"),
+        F.explode(F.array(row(0, F.concat(F.lit("杭州"), name, F.lit("房地产开发有限公司")), F.lit("转账")), row(1, F.concat(name, F.lit("公司")), F.concat(F.lit("原告："), person(k))), row(2, person(k), F.concat(F.lit("支付宝-"), person(k))), row(3, person(k), F.lit("利息")))).alias("r"),
+    )
+    cells = tables.cells(rows.select("doc_id", "r.*"), ["doc_id"], {"party": "对方户名", "note": "摘要"}, "i")
+    return tables.mask_table(cells).select("doc_id", F.col("row_idx").cast("long").alias("row_idx"), F.col("col_idx").cast("long").alias("col_idx"), "masked")
 
 
 def cell_offsets(spark, sf):

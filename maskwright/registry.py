@@ -11,7 +11,7 @@ QUERIES = {
         q.mask_stats_by_type, q.mapping_values, q.mask_totals, q.restore_roundtrip, q.restore_by_join, q.luhn_values, q.html_text, q.flatten_props,
         q.id_checksum, q.credit_checksum, q.structured_rules, q.structured_types, q.all_dates, q.person_placeholders, q.entity_table,
         q.role_conflicts, q.company_links, q.slash_accounts, q.preprocessed, q.scan_findings, q.scan_documents, q.review_residues,
-        q.review_tiers, q.surviving_originals, q.eval_scores, q.eval_macro, q.column_kinds, q.cells_masked, q.cell_offsets, q.resume_pending,
+        q.review_tiers, q.surviving_originals, q.eval_scores, q.eval_macro, q.column_kinds, q.cells_masked, q.cells_restored, q.table_companies, q.cell_offsets, q.resume_pending,
         q.fingerprint_changed, q.batch_report, q.reply_check, q.stage_merge, q.drift_restore, q.mapping_markdown, q.redaction_boxes, q.output_names, q.synthetic_recall,
         q.synthetic_valid, q.bio_labels, q.user_rule_pass, q.reply_final, q.audit_counts, q.shared_people, q.recognised, q.retyped_cells,
     )
