@@ -10,9 +10,12 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.markup import let, weave
+from .entities import normal_person, resolve
+
 Entity = tuple[str, int, int, float]
 Recogniser = Callable[[list[str]], list[list[Entity]]]
 LEAST_CONFIDENCE = 0.5
@@ -54,12 +57,19 @@ def kept(entities):
 
 
 def mask_entities(recognised: DataFrame) -> DataFrame:
-    """Adds ``masked`` with the kept entities replaced."""
+    """Adds ``masked`` with the kept entities replaced; people and companies are numbered and linked as in masking."""
     shown = F.create_map(*(F.lit(x) for pair in PLACEHOLDERS.items() for x in pair))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate(
-        kept(F.col("entities")), start,
-        lambda acc, x: F.struct((-x["e"]).alias("at"), F.concat(acc["out"], F.substring("text", acc["at"] + 1, x["start"] - acc["at"]), F.element_at(shown, x["type"])).alias("out")),
-        lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))),
-    )
-    return recognised.withColumn("masked", masked)
+    named = {"PERSON": True, "COMPANY": False}
+
+    def placed(found: Column) -> Column:
+        names = F.filter(F.transform(found, lambda x, i: F.struct(F.lit(0).alias("rule"), i.alias("ord"), (x["type"] == "PERSON").alias("person"), normal_person(x["text"]).alias("canonical"), F.lit("").alias("role"), x["type"].alias("type"))), lambda x: x["type"].isin(*named))
+
+        def woven(known: Column) -> Column:
+            values = F.transform(found, lambda x, i: F.coalesce(F.get(F.filter(known, lambda n: n["ord"] == i), 0)["placeholder"], F.element_at(shown, x["type"])))
+            end = lambda i: F.coalesce(-F.get(found, i)["e"], F.lit(0))
+            gap = F.transform(F.sequence(F.lit(0), F.size(found)), lambda i: F.substring("text", end(i - 1) + 1, F.coalesce(F.get(found, i)["start"], F.length("text")) - end(i - 1)))
+            return weave(gap, values)
+
+        return let(resolve(names), woven)
+
+    return recognised.withColumn("masked", let(kept(F.col("entities")), placed))

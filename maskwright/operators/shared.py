@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..sources.storage import written
 
 
 def people(masked: DataFrame, order_col: str = "doc_id") -> DataFrame:
@@ -24,6 +27,10 @@ def people(masked: DataFrame, order_col: str = "doc_id") -> DataFrame:
         F.array_sort(F.collect_set(F.when(F.col("role") != "", F.col("role")))).alias("roles_seen"),
         F.count_distinct(order_col).alias("documents"),
     )
-    ranked = per.orderBy("first", "name")
-    schema = ranked.schema
-    return masked.sparkSession.createDataFrame(ranked.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)), schema.add("number", "long")).drop("first")
+    dealt = per.repartitionByRange("first", "name").withColumn("_part", F.spark_partition_id())
+    ranked = written(dealt)  # written, so a row's partition stays what it was
+    sizes = ranked.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over a row a partition
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy("first", "name"))
+    return ranked.join(F.broadcast(starts), "_part").withColumn("number", F.col("_start") + within).drop("first", "_part", "_start")

@@ -15,6 +15,7 @@ from .functions import synthetic
 from .operators import batching, boxes, evaluation, masking, recognisers, restore, review, scanning, second_pass, shared, tables
 from .operators.masking import Options
 from .sources import convert, readers
+from .sources.storage import written
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -48,7 +49,7 @@ def restore_roundtrip(spark, sf):
 
 
 def restore_by_join(spark, sf):
-    masked = _masked_documents(spark, sf)
+    masked = written(_masked_documents(spark, sf).select("doc_id", "masked", "mapping"))
     back = restore.restore_joined(masked.select("doc_id", "masked"), masking.mapping_rows(masked))
     return back.select("doc_id", F.sha2("restored", 256).alias("sha256"))
 
