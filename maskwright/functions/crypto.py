@@ -24,6 +24,23 @@ def decrypt(data: Column, key: Column) -> Column:
     return F.try_aes_decrypt(data, key, F.lit("GCM")).cast("string")
 
 
+SALT_BYTES = 32
+
+
+def seal(text: Column, key: Column, salt: Column) -> Column:
+    """An encrypted mapping's file: salt, nonce of 12 bytes, ciphertext with its tag."""
+    return F.concat(salt, encrypt(text, key))
+
+
+def salt_of(data: Column) -> Column:
+    return F.substring(data, 1, SALT_BYTES)
+
+
+def unseal(data: Column, key: Column) -> Column:
+    """The text of a file made by ``seal``; ``key`` is derived from the password and the file's salt."""
+    return decrypt(F.substring(data, SALT_BYTES + 1, 1 << 30), key)
+
+
 LOCAL_HOSTS = ("localhost", "127.0.0.1", "::1")
 
 

@@ -83,6 +83,8 @@ def date(key: Column, seed: int = 42) -> Column:
     return F.concat((draw(key, 30, 20, seed) + 1990).cast("string"), F.lit("年"), (draw(key, 12, 21, seed) + 1).cast("string"), F.lit("月"), (draw(key, 28, 22, seed) + 1).cast("string"), F.lit("日"))
 
 
+#: Han characters that a template has at least.
+LEAST_HAN = 10
 #: slot of a template -> type of the value and its generator.
 SLOTS = {
     "person": ("人名", person), "company": ("公司名", company), "mobile": ("手机号", mobile), "email": ("邮箱", email), "id": ("身份证号", id_number), "credit": ("统一社会信用代码", credit_code),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,28 @@ def report(log: DataFrame) -> DataFrame:
     return log.groupBy("status").agg(F.count("*").alias("files"), F.sum("replaced").alias("replaced"))
 
 
+def masked_names(files: DataFrame, path_col: str = "path") -> DataFrame:
+    """Adds ``masked_name``: the path with its file's name masked; folder and extension stay."""
+    from .masking import mask
+
+    folder, rest = F.regexp_extract(path_col, r"^(.*/)?", 0), F.regexp_extract(path_col, r"([^/]*)$", 1)
+    stem, ext = F.regexp_extract(rest, r"^(.+?)(\.[^.]*)?$", 1), F.regexp_extract(rest, r"^.+?(\.[^.]*)$", 1)
+    out = mask(files.withColumn("_stem", stem), "_stem").withColumn("masked_name", F.concat(folder, "masked", ext))
+    return out.select(*files.columns, "masked_name")
+
+
+def needs_review(log: DataFrame, tiers: DataFrame, path_col: str = "path") -> DataFrame:
+    """A row for each file that someone must look at: failed, or with critical residues, or both."""
+    told = log.join(tiers.select(path_col, "n_critical"), path_col, "left")
+    reasons = F.filter(F.array(F.when(F.col("status") != "done", "failed"), F.when(F.col("n_critical") > 0, "critical")), lambda x: x.isNotNull())
+    return told.withColumn("reasons", reasons).where(F.size("reasons") > 0).select(path_col, "reasons")
+
+
+def warnings(values: Column) -> Column:
+    """Warning values without repeats, sorted."""
+    return F.array_sort(F.array_distinct(values))
+
+
 def safe_names(files: DataFrame, name_col: str = "masked_name", id_col: str = "doc_id") -> DataFrame:
     """Output names that stay apart where masked names coincide."""
     stem, ext = F.regexp_extract(name_col, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name_col, r"(\.[^.]*)$", 1)

@@ -21,6 +21,21 @@ def sensitive_boxes(boxes: DataFrame, values: DataFrame, id_col: str = "doc_id")
     return boxes.join(wanted, id_col).where(F.contains(solid(F.col("text")), solid(F.col("value"))))
 
 
+def redaction_counts(boxes: DataFrame, values: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """outcome, placeholder and n by document: boxes that a value's redaction covers, values no box shows (not_found), values that say nothing (skipped)."""
+    hit = sensitive_boxes(boxes, values.select(id_col, "value")).join(values.select(id_col, "value", "placeholder").distinct(), [id_col, "value"])
+    noise = noisy(F.col("value"))
+    lost = values.where(~noise).select(id_col, "value", "placeholder").distinct().join(hit.select(id_col, "value").distinct(), [id_col, "value"], "left_anti")
+    parts = {"redacted": hit, "not_found": lost, "skipped": values.where(noise)}
+    rows = [d.select(id_col, F.lit(name).alias("outcome"), "placeholder") for name, d in parts.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy(id_col, "outcome", "placeholder").agg(F.count("*").alias("n"))
+
+
+def longest_first(values: Column) -> Column:
+    """Values in the order in which they are looked for: longer ones first, so that no part is taken before the whole."""
+    return F.transform(F.array_sort(F.transform(F.array_distinct(values), lambda v: F.struct((-F.length(v)).alias("k"), v.alias("v")))), lambda x: x["v"])
+
+
 def covered(box: Column, cover: Column, share: float = 0.85) -> Column:
     """Whether a cover (struct x, y, w, h) takes in that share of a box."""
     side = lambda a, n: F.greatest(F.lit(0.0), F.least(box[a] + box[n], cover[a] + cover[n]) - F.greatest(box[a], cover[a]))

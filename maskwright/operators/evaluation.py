@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.markup import OPEN
+from ..functions.synthetic import LEAST_HAN, SLOTS
 from ..functions.text import leaks
+from .entities import by_role_word
+from .masking import CODES
 
 
 def run_cases(cases: DataFrame) -> DataFrame:
@@ -42,3 +46,18 @@ def scores(checks: DataFrame) -> DataFrame:
 
 def macro_f1(table: DataFrame) -> DataFrame:
     return table.where("type <> 'MICRO'").agg(F.avg("f1").alias("macro_f1"))
+
+
+def template_faults(template: Column) -> Column:
+    """Why a template is refused: no slot, slots that no generator fills, a name outside of slots, too little Han text."""
+    slots = F.regexp_extract_all(template, F.lit(r"\{(\w+)\}"), F.lit(1))
+    bare = F.regexp_replace(template, r"\{\w+\}", "。")
+    return F.filter(
+        F.array(
+            F.when(F.size(slots) == 0, "no slot"),
+            F.when(F.size(F.array_except(slots, F.array(*map(F.lit, SLOTS)))) > 0, "unknown slot"),
+            F.when(F.contains(by_role_word(bare, CODES), F.lit(OPEN)), "name"),
+            F.when(F.length(F.regexp_replace(template, "[^一-龥]", "")) < LEAST_HAN, "not Han"),
+        ),
+        lambda x: x.isNotNull(),
+    )

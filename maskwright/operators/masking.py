@@ -85,8 +85,8 @@ def project_names(m: Column, number: int) -> Column:
     return markup.mark_if(m, number, PROJECT, lambda p: ~F.regexp_replace(p, f"{_PROJECT_SUFFIX}$", "").rlike(generic))
 
 
-def passes(options: Options = Options(), any_script: bool = False) -> list:
-    """The passes in order; with ``any_script`` only those that can match where no Han character is."""
+def passes(options: Options = Options(), any_script: bool = False, names: Column | None = None) -> list:
+    """The passes in order; with ``any_script`` only those that can match where no Han character is. ``names`` are known ones beside those that the passes find."""
     skipped = {"birth" if options.all_dates else "dates"} | (set() if options.amounts else {"amount"})
     people = "".join(map(markup.code, CODES.people()))
     known = f"{markup.OPEN}[{people}][^{markup.CLOSE}{MID}]*{MID}([^{MID}]*){MID}"
@@ -103,27 +103,28 @@ def passes(options: Options = Options(), any_script: bool = False) -> list:
         elif rule.gate == "company" and number == _COMPANY[0]:
             out += entities.company_steps(CODES)
         elif rule.gate == "bare" and options.bare_names and options.amounts:
-            out.append(lambda m: entities.bare_names(m, CODES, lambda t: F.regexp_extract_all(t, F.lit(known), F.lit(1))))
+            own = lambda t: F.regexp_extract_all(t, F.lit(known), F.lit(1))
+            out.append(lambda m: entities.bare_names(m, CODES, own if names is None else lambda t: F.concat(own(t), F.coalesce(names, F.array().cast("array<string>")))))
         elif rule.pattern or rule.gate == "project":
             out.append(_pass(number, rule))
     return out
 
 
-def marked(df: DataFrame, text_col: str = "text", options: Options = Options()) -> DataFrame:
+def marked(df: DataFrame, text_col: str = "text", options: Options = Options(), names_col: str | None = None) -> DataFrame:
     """Adds ``normal``, the preprocessed text, and ``_m``, that text with marked spans.
 
     A text without Han characters needs only the few rules that can match there.
     """
 
     df = df.withColumn("normal", markup.unmarked_input(preprocess(F.col(text_col))))
-    return df.withColumn("_m", marked_text(F.col("normal"), options))
+    return df.withColumn("_m", marked_text(F.col("normal"), options, F.col(names_col) if names_col else None))
 
 
-def marked_text(text: Column, options: Options = Options()) -> Column:
+def marked_text(text: Column, options: Options = Options(), names: Column | None = None) -> Column:
     """A preprocessed text with marked spans."""
 
     def run(t: Column, any_script: bool) -> Column:
-        for step in passes(options, any_script):
+        for step in passes(options, any_script, names):
             t = step(t)
         return t
 
@@ -196,14 +197,16 @@ def assembled(m: Column) -> Column:
     return F.when(F.contains(m, F.lit(markup.OPEN)), let(_described(markup.spans(m)), named)).otherwise(none)
 
 
-def mask(df: DataFrame, text_col: str = "text", options: Options = Options()) -> DataFrame:
+def mask(df: DataFrame, text_col: str = "text", options: Options = Options(), names_col: str | None = None) -> DataFrame:
     """Adds ``normal``, ``masked`` and ``mapping``: array<struct<ord, original, replacement, type, validated>>,
-    one element for each replacement in text order, and ``names``, the resolved name spans.
+    one element for each replacement in text order, and ``names``, the resolved name spans. Columns so named
+    are replaced. ``names_col`` holds names to look for, as ``discovery`` finds them.
 
     Explode these with the outer generators and filter afterwards: a filter on the column itself would
     be pushed below the chain and evaluate it a second time.
     """
-    out = marked(df, text_col, options).withColumn("_r", let(F.col("_m"), assembled))
+    df = df.drop(*(c for c in ("masked", "mapping", "names") if c in df.columns))
+    out = marked(df, text_col, options, names_col).withColumn("_r", let(F.col("_m"), assembled))
     return out.select("*", "_r.masked", "_r.mapping", "_r.names").drop("_m", "_r")
 
 
@@ -227,6 +230,11 @@ def stats_by_type(masked: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("m.type").alias("type")).agg(F.count("*").alias("n"), F.count_distinct("m.original").alias("n_values"))
 
 
+def value_frequency(masked: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """How often each original is replaced, and in how many documents."""
+    return mapping_rows(masked, id_col).groupBy("type", "original").agg(F.count("*").alias("n"), F.count_distinct(id_col).alias("documents"))
+
+
 def entity_table(masked: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Entities of each document: placeholder as finally bound, roles seen, and whether they conflict."""
     rows = masked.select(id_col, F.posexplode_outer("names").alias("at", "n")).where("n IS NOT NULL")

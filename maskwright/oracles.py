@@ -35,6 +35,14 @@ _SENTENCES = {
 }
 _SENTENCE_ROWS = ", ".join(f"('{kind}', '{a}{p}{z}其余不变', '{p}')" for kind, (a, p, z) in _SENTENCES.items())
 
+#: kind -> the sentence as it must come out
+_MORE = {
+    "护照号": "护照号 [护照号]，", "港澳通行证": "港澳通行证：[港澳通行证]，", "台胞证": "台胞证：[台胞证]，", "驾驶证号": "驾驶证号[驾驶证号]，", "军官证": "军官证：[军官证]，", "营业执照号": "营业执照：[营业执照号]，",
+    "税务登记号": "税务登记号：[税务登记号]，", "罚没许可证号": "罚没许可证：[罚没许可证号]，", "身份证号裸": "号码 [身份证号] 。", "服务电话": "致电 [服务电话] 。", "微信号裸": "加我 [微信号] 细说这件事情", "银行账号裸": "转到 [银行账号] 。",
+    "信用代码裸": "代码 [统一社会信用代码] 。", "出生后置": "男，[出生日期]出生，", "银行机构": "[银行机构]，", "项目名称": "涉案[项目名称]，", "地址省": "，[地址]。", "金额大写": "合计[金额]，", "金额口语": "借[金额]，", "金额裸": "汇 [金额] 。", "像素": "",
+}
+_MORE_ROWS = ", ".join(f"('{kind}', '{text}其余不变')" for kind, text in _MORE.items())
+
 _HTML_STEPS = (
     ("(?is)<script.*?</script>", ""), ("(?is)<style.*?</style>", ""), (r"(?i)<br\s*/?>", "\n"), ("(?i)</(p|div|h[1-6]|li|tr|pre|blockquote)>", "\n"),
     ("<[^>]+>", ""), ("(?i)&nbsp;", " "), ("(?i)&amp;", "&"), ("(?i)&lt;", "<"), ("(?i)&gt;", ">"), ("(?i)&quot;", '"'), ("(?i)&#39;|&apos;", "''"),
@@ -165,5 +173,27 @@ ORACLE_SQL = {
       p AS (SELECT name, min(k * 4 + pos) AS first, arg_min(role, k * 4 + pos) AS role, count(DISTINCT k) AS documents FROM m GROUP BY name)
       SELECT name, row_number() OVER (ORDER BY first) AS number, role, documents FROM p""",
     "recognised": f"SELECT k AS doc_id, '由[审理法院]审理，被告住在[地址]' AS masked FROM (SELECT {_K})",
+    "discovered_names": f"SELECT k, {_person()} AS name FROM (SELECT {_K}) UNION SELECT k, {_person('k + 37')} || '明' FROM (SELECT {_K}) UNION SELECT k, {_person('k + 5')} FROM (SELECT {_K}) UNION SELECT k, {_person('k + 13')} FROM (SELECT {_K})",
+    "transaction_names": f"SELECT k, {_person('k + 5')} AS name FROM (SELECT {_K}) UNION SELECT k, {_person('k + 13')} FROM (SELECT {_K})",
+    "discovered_masked": f"SELECT k, '[当事人_1]欠[当事人_2]款' || k || '笔' AS masked FROM (SELECT {_K})",
+    "file_names": f"SELECT k, '案卷/2024/' || CASE WHEN k % 2 = 0 THEN '原告：[当事人甲（原告）]。起诉状' ELSE '电话 [手机号] 记录' END || '.docx' AS masked_name FROM (SELECT {_K})",
+    "value_frequency": _DOC_VALUES + "SELECT type, original, count(*) AS n, count(DISTINCT doc_id) AS documents FROM v GROUP BY ALL",
+    "redaction_counts": f"SELECT k AS doc_id, unnest(['redacted', 'not_found', 'skipped']) AS outcome, unnest(['[手机号]', '[QQ号]', '[符号]']) AS placeholder, unnest([2, 1, 1]) AS n FROM (SELECT {_K})",
+    "mapping_counts": f"SELECT k, 1 AS ord, {_MOBILE} AS original, '[手机号]' AS replacement, '手机号' AS type, 2 AS n FROM (SELECT {_K}) UNION ALL SELECT k, 2, {_MOBILE.replace('CAST(k ', 'CAST(k + 1 ')}, '[手机号]', '手机号', 1 FROM (SELECT {_K})",
+    "sealed_mappings": f"SELECT k, '总额 ' || k AS text, true AS closed, 32 + 12 + 16 + strlen('总额 ' || k) AS size, true AS salted FROM (SELECT {_K})",
+    "repaired": f"SELECT k, '付[金额]给[当事人_1]' || k || ' 元' AS text FROM (SELECT {_K})",
+    "more_rules": f"SELECT k, kind, CASE WHEN kind = '像素' THEN '设备' || (k % 90 + 1) || '万像素，其余不变' ELSE masked END AS masked FROM (SELECT {_K}), (VALUES {_MORE_ROWS}) AS s(kind, masked)",
+    "one_value_two_rules": f"SELECT k, '营业执照：[营业执照号]，转到 [营业执照号] 。' AS masked FROM (SELECT {_K})",
+    "scan_first_five": f"SELECT k AS doc_id, '手机号' AS type, {_MOBILE.replace('CAST(k ', 'CAST(k + i ')} AS value, i + 1 AS rank, 7 AS n FROM (SELECT {_K}), (SELECT unnest(range(5)) AS i)",
+    "surest_entities": f"SELECT k, '[当事人_1]在临平路与[公司_1]' AS masked FROM (SELECT {_K})",
+    "covered_boxes": f"SELECT k, k % 30 <= 15 AS covered FROM (SELECT {_K})",
+    "still_readable": f"SELECT k, CASE WHEN k % 2 = 0 THEN {_MOBILE} || '|手机' ELSE '手机' END AS values FROM (SELECT {_K})",
+    "template_gate": f"SELECT k, ['', 'unknown slot', 'name', 'no slot,not Han'][CAST(k % 4 + 1 AS INTEGER)] AS faults FROM (SELECT {_K})",
+    "prompts": f"SELECT k, true AS fenced FROM (SELECT {_K})",
+    "known_headers": f"SELECT k, k % 6 = 0 AS is_table FROM (SELECT {_K})",
+    "review_text": f"""SELECT k AS doc_id, concat_ws(chr(10), '【替换统计】', '- 手机号: 1', '【重点复核】0 【建议复核】2', '[ ] 孤立姓名候选：' || p || '（…市余杭区人民法院受理， ' || p || '…）',
+        '[ ] 法院名称：杭州市余杭区人民法院（…联系 [手机号] 。杭州市余杭区人民法院受理， ' || p || '…）', '还原往返校验：一致', '【脱敏后全文】', '联系 [手机号] 。杭州市余杭区人民法院受理，', p) AS review FROM (SELECT k, {_person()} AS p FROM (SELECT {_K}))""",
+    "batch_review": """SELECT doc_id AS path, concat_ws(',', CASE WHEN quality IS DISTINCT FROM 1 THEN 'failed' END, CASE WHEN toxic = 1 THEN 'critical' END) AS reasons FROM labels
+      WHERE quality IS DISTINCT FROM 1 OR toxic = 1""",
     "retyped_cells": f"SELECT k, CAST(k AS DOUBLE) AS amount, CAST(-1 AS DOUBLE) AS account FROM (SELECT {_K})",
 }

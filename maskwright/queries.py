@@ -9,10 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import checks
-from .functions.text import html_to_text, preprocess
-from .functions import synthetic
-from .operators import batching, boxes, evaluation, masking, recognisers, restore, review, scanning, second_pass, shared, tables
+from .functions import checks, crypto, synthetic
+from .functions.text import html_to_text, preprocess, repair_placeholders
+from .operators import batching, boxes, discovery, evaluation, masking, recognisers, restore, review, scanning, second_pass, shared, tables
 from .operators.masking import Options
 from .sources import convert, readers
 from .sources.storage import written
@@ -23,8 +22,9 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """A text table's rows over the cluster: its files may be single row groups. Other columns are pruned first."""
-    return df.repartition(max(8, df.sparkSession.sparkContext.defaultParallelism))
+    """A text table's rows over the cluster, where its files are too few row groups to be split; otherwise as they are, without a shuffle."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
 
 
 def _masked_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -428,3 +428,181 @@ def retyped_cells(spark, sf):
     """Restored cells that are numbers again, identifiers apart."""
     k = F.col("k")
     return _people(spark, sf).select("k", second_pass.retyped(k.cast("string"), F.lit("金额")).alias("amount"), F.coalesce(second_pass.retyped(k.cast("string"), F.lit("银行账号")), F.lit(-1.0)).alias("account"))
+
+
+def _debts(spark, sf) -> DataFrame:
+    """Two people whom no role word introduces, and lines of a statement."""
+    k = F.col("k")
+    a, b = person(k), F.concat(person(k + 37), F.lit("明"))
+    text = F.concat(a, F.lit("欠"), b, F.lit("款"), k.cast("string"), F.lit("笔\n2024-05-01 转账 "), person(k + 5), F.lit("\n2024-05-02 收款 "), person(k + 13), F.lit(" 6222"), F.lpad(k.cast("string"), 6, "0"), F.lit("\n无日期 转账 "), person(k + 21))
+    return _people(spark, sf).select("k", text.alias("text"))
+
+
+def discovered_names(spark, sf):
+    """Names by their neighbours, with a word segmenter, and by transaction lines."""
+    found = discovery.discover(_debts(spark, sf), discovery.dictionary_segmenter(["欠", "款", "笔", "转账", "收款", "无日期"]))
+    return found.select("k", F.explode(F.array_distinct("found_names")).alias("name"))
+
+
+def transaction_names(spark, sf):
+    """Without a segmenter: names of transaction lines alone."""
+    return discovery.discover(_debts(spark, sf)).select("k", F.explode(F.array_distinct("found_names")).alias("name"))
+
+
+def discovered_masked(spark, sf):
+    """What masking makes of discovered names."""
+    text = F.concat(person(F.col("k")), F.lit("欠"), person(F.col("k") + 37), F.lit("明款"), F.col("k").cast("string"), F.lit("笔"))
+    rows = discovery.discover(_people(spark, sf).select("k", text.alias("text")), discovery.dictionary_segmenter(["欠", "款", "笔"]))
+    return masking.mask(rows, names_col="found_names").select("k", "masked")
+
+
+def file_names(spark, sf):
+    rows = _people(spark, sf).select("k", F.concat(F.lit("案卷/2024/"), F.when(F.col("k") % 2 == 0, F.concat(F.lit("原告："), person(F.col("k")), F.lit("。起诉状"))).otherwise(F.concat(F.lit("电话 "), mobile(F.col("k")), F.lit(" 记录"))), F.lit(".docx")).alias("path"))
+    return batching.masked_names(rows).select("k", "masked_name")
+
+
+def value_frequency(spark, sf):
+    return masking.value_frequency(_masked_documents(spark, sf))
+
+
+def redaction_counts(spark, sf):
+    """Boxes that are covered, values that no box shows, and values that say nothing."""
+    k = F.col("k")
+    page = _people(spark, sf)
+    shown = page.select(F.col("k").alias("doc_id"), F.explode(F.array(F.concat(F.lit("手机 "), mobile(k)), mobile(k), F.lit("日期"))).alias("text"))
+    item = lambda v, p: F.struct(v.alias("value"), F.lit(p).alias("placeholder"))
+    values = page.select(F.col("k").alias("doc_id"), F.explode(F.array(item(mobile(k), "[手机号]"), item(F.concat(F.lit("QQ"), k.cast("string")), "[QQ号]"), item(F.lit("-"), "[符号]"))).alias("v")).select("doc_id", "v.*")
+    return boxes.redaction_counts(shown, values)
+
+
+def mapping_counts(spark, sf):
+    """A mapping's JSON file, read back: a row for each value, with how often it was replaced."""
+    k = F.col("k")
+    text = F.concat(F.lit("电话 "), mobile(k), F.lit(" 转 "), mobile(k), F.lit("，另 "), mobile(k + 1), F.lit(" 。"))
+    masked = masking.mask(_people(spark, sf).select("k", text.alias("text")))
+    back = readers.mapping_from_json(readers.mapping_to_json(F.col("mapping")))
+    return masked.select("k", F.explode(back).alias("m")).select("k", F.col("m.ord").cast("long").alias("ord"), "m.original", "m.replacement", "m.type", F.col("m.count").cast("long").alias("n"))
+
+
+def sealed_mappings(spark, sf):
+    """Encrypted mappings in their file layout, opened again; a wrong password opens nothing."""
+    salt = bytes(range(crypto.SALT_BYTES))
+    right, wrong = (F.lit(crypto.derive_key(p, salt, 1000)) for p in ("correct", "wrong"))
+    text = F.concat(F.lit("总额 "), F.col("k").cast("string"))
+    rows = _people(spark, sf).select("k", text.alias("text")).withColumn("data", crypto.seal(F.col("text"), right, F.lit(salt)))
+    return rows.select("k", crypto.unseal(F.col("data"), right).alias("text"), crypto.unseal(F.col("data"), wrong).isNull().alias("closed"), F.octet_length("data").cast("long").alias("size"), (crypto.salt_of(F.col("data")) == F.lit(salt)).alias("salted"))
+
+
+def repaired(spark, sf):
+    return _people(spark, sf).select("k", repair_placeholders(F.concat(F.lit("付[金 额]给[当事人 _ 1]"), F.col("k").cast("string"), F.lit(" 元"))).alias("text"))
+
+
+#: kind -> (text before, value by key, text after, placeholder); further phrasings, and rules without a label.
+MORE_SENTENCES = {
+    "护照号": ("护照号 ", lambda k: F.concat(F.lit("G"), F.lpad(k.cast("string"), 8, "0")), "，", "[护照号]"),
+    "港澳通行证": ("港澳通行证：", lambda k: F.concat(F.lit("C"), F.lpad(k.cast("string"), 8, "0")), "，", "[港澳通行证]"),
+    "台胞证": ("台胞证：", lambda k: F.lpad(k.cast("string"), 8, "0"), "，", "[台胞证]"),
+    "驾驶证号": ("驾驶证号", lambda k: F.concat(_id17(k), F.lit("X")), "，", "[驾驶证号]"),
+    "军官证": ("军官证：", lambda k: F.lpad(k.cast("string"), 8, "0"), "，", "[军官证]"),
+    "营业执照号": ("营业执照：", lambda k: F.concat(F.lit("3301"), F.lpad(k.cast("string"), 11, "0")), "，", "[营业执照号]"),
+    "税务登记号": ("税务登记号：", lambda k: F.concat(F.lit("3301"), F.lpad(k.cast("string"), 11, "0")), "，", "[税务登记号]"),
+    "罚没许可证号": ("罚没许可证：", lambda k: F.lpad(k.cast("string"), 8, "0"), "，", "[罚没许可证号]"),
+    "身份证号裸": ("号码 ", lambda k: F.concat(_id17(k), F.lit("X")), " 。", "[身份证号]"),
+    "服务电话": ("致电 ", lambda k: F.concat(F.lit("400-"), F.lpad((k % 1000).cast("string"), 3, "8"), F.lit("-"), F.lpad((k % 10000).cast("string"), 4, "6")), " 。", "[服务电话]"),
+    "微信号裸": ("加我 ", lambda k: F.concat(F.lit("wx_"), F.lpad(k.cast("string"), 6, "0")), " 细说这件事情", "[微信号]"),
+    "银行账号裸": ("转到 ", lambda k: F.concat(F.lit("6222"), F.lpad(k.cast("string"), 15, "0")), " 。", "[银行账号]"),
+    "信用代码裸": ("代码 ", lambda k: F.concat(F.lit("91330105MA27XAB"), F.lpad((k % 1000).cast("string"), 3, "0")), " 。", "[统一社会信用代码]"),
+    "出生后置": ("男，", lambda k: F.concat(F.lit("1985年"), (k % 12 + 1).cast("string"), F.lit("月9日")), "出生，", "[出生日期]"),
+    "银行机构": ("", lambda k: F.concat(F.lit("杭州"), _given(k), F.lit("支行")), "，", "[银行机构]"),
+    "项目名称": ("涉案", lambda k: F.concat(_surname(k), _given(k), F.lit("湾花园")), "，", "[项目名称]"),
+    "地址省": ("，", lambda k: F.concat(F.lit("浙江省杭州市余杭区良渚街道古墩路北"), (k % 99 + 1).cast("string"), F.lit("号")), "。", "[地址]"),
+    "金额大写": ("合计", lambda k: F.concat(F.lit("人民币"), F.substring(F.lit("壹贰叁肆伍陆柒捌玖"), (k % 9 + 1).cast("int"), F.lit(1)), F.lit("佰万元整")), "，", "[金额]"),
+    "金额口语": ("借", lambda k: F.concat((k % 90 + 1).cast("string"), F.lit(".5万")), "，", "[金额]"),
+    "金额裸": ("汇 ", lambda k: F.concat(F.lit("3"), F.lpad((k % 10**7).cast("string"), 8, "4"), F.lit(".67")), " 。", "[金额]"),
+    "像素": ("设备", lambda k: F.concat((k % 90 + 1).cast("string"), F.lit("万像素")), "，", "="),
+}
+
+
+def more_rules(spark, sf):
+    """Further rules and phrasings: what becomes of the value."""
+    k = F.col("k")
+    made = F.array(*(F.struct(F.lit(kind).alias("kind"), F.concat(F.lit(a), value(k), F.lit(z), F.lit("其余不变")).alias("text")) for kind, (a, value, z, _) in MORE_SENTENCES.items()))
+    rows = _people(spark, sf).select("k", F.explode(made).alias("s")).select("k", "s.*")
+    return masking.mask(rows).select("k", "kind", "masked")
+
+
+def one_value_two_rules(spark, sf):
+    """A value that two rules find, first behind a label, then bare, keeps the placeholder that it got first."""
+    account = F.concat(F.lit("6222"), F.lpad(F.col("k").cast("string"), 12, "0"))
+    rows = _people(spark, sf).select("k", F.concat(F.lit("营业执照："), account, F.lit("，转到 "), account, F.lit(" 。")).alias("text"))
+    return masking.mask(rows).select("k", "masked")
+
+
+def scan_first_five(spark, sf):
+    """The first findings of a type in a document, and how many there are."""
+    k = F.col("k")
+    text = F.concat_ws(" ，", *(F.concat(F.lit("手机 "), mobile(k + i)) for i in range(7)))
+    found = scanning.top_by_type(scanning.scan(_people(spark, sf).select(k.alias("doc_id"), text.alias("text"))))
+    return found.select("doc_id", "type", "value", F.col("rank").cast("long").alias("rank"), F.col("n").cast("long").alias("n"))
+
+
+def surest_entities(spark, sf):
+    """Recognised entities: the surest of a span, unsure ones and overlaps left out."""
+    k = F.col("k")
+    e = lambda t, kind, a, n, c: F.struct(F.lit(kind).alias("type"), t.alias("text"), F.lit(a).alias("start"), (F.lit(a) + n).cast("int").alias("end"), F.lit(c).alias("confidence"))
+    name = F.concat(person(k), F.lit("明"))
+    found = F.array(e(name, "COURT", 0, 3, 0.6), e(name, "PERSON", 0, 3, 0.9), e(F.substring(name, 2, 2), "PERSON", 1, 2, 0.95), e(F.lit("临平路"), "ADDRESS", 4, 3, 0.4), e(F.lit("甲公司"), "COMPANY", 8, 3, 0.8))
+    rows = _people(spark, sf).select("k", F.concat(name, F.lit("在临平路与甲公司")).alias("text"), F.transform(found, lambda x: x.withField("start", F.when(x["type"] == "COMPANY", 8).otherwise(x["start"])).withField("end", F.when(x["type"] == "COMPANY", 11).otherwise(x["end"]))).alias("entities"))
+    return recognisers.mask_entities(rows).select("k", "masked")
+
+
+def covered_boxes(spark, sf):
+    """Boxes that a redaction takes in by 85 % or more."""
+    k = F.col("k").cast("double")
+    box = lambda x, w: F.struct(x.alias("x"), F.lit(0.0).alias("y"), w.alias("w"), F.lit(1.0).alias("h"))
+    rows = _people(spark, sf).select("k", box(F.lit(0.0), F.lit(100.0)).alias("box"), box(F.pmod(k, F.lit(30.0)), F.lit(200.0)).alias("cover"))
+    return rows.select("k", boxes.covered(F.col("box"), F.col("cover")).alias("covered"))
+
+
+def still_readable(spark, sf):
+    """Values that a redacted page still shows, longest first."""
+    k = F.col("k")
+    text = F.concat(F.lit("手机 "), F.when(k % 2 == 0, F.concat_ws(" ", F.substring(mobile(k), 1, 5), F.substring(mobile(k), 6, 6))).otherwise(F.lit("■■■")), F.lit(" 号"))
+    left = boxes.longest_first(boxes.still_readable(text, F.array(F.lit("号"), F.lit("手机"), mobile(k))))
+    return _people(spark, sf).select("k", F.array_join(left, "|").alias("values"))
+
+
+def template_gate(spark, sf):
+    """Why templates are refused."""
+    k = F.col("k")
+    good = F.concat(F.lit("原告：{person}，身份证号：{id}，住址不详，第"), k.cast("string"), F.lit("次催告仍未付款"))
+    text = F.when(k % 4 == 0, good).when(k % 4 == 1, F.concat(good, F.lit("{secret}"))).when(k % 4 == 2, F.concat(F.lit("被告：王建国。"), good)).otherwise(F.lit("no slot"))
+    return _people(spark, sf).select("k", F.array_join(evaluation.template_faults(text), ",").alias("faults"))
+
+
+def prompts(spark, sf):
+    """Requests to a model fence the material off."""
+    text = F.concat(F.lit("尾款[金额]，编号"), F.col("k").cast("string"))
+    return _people(spark, sf).select("k", F.endswith(second_pass.prompt(text), F.concat(F.lit("<<<材料开始>>>\n"), text, F.lit("\n<<<材料结束>>>"))).alias("fenced"))
+
+
+def known_headers(spark, sf):
+    """Which sheets are tables: those with two known headers or more."""
+    k = F.col("k")
+    headers = F.array(F.lit("序号"), F.when(k % 2 == 0, "交易日期").otherwise("其他"), F.when(k % 3 == 0, "账户余额").otherwise("备选"))
+    return _people(spark, sf).select("k", tables.is_table(headers).alias("is_table"))
+
+
+def review_text(spark, sf):
+    """Sections of the text to review."""
+    k = F.col("k")
+    text = F.concat(F.lit("联系 "), mobile(k), F.lit(" 。杭州市余杭区人民法院受理，"), F.lit("\n"), person(k))
+    told = review.report(masking.mask(_people(spark, sf).select(k.alias("doc_id"), text.alias("text"))))
+    return told.select("doc_id", "review")
+
+
+def batch_review(spark, sf):
+    """Files of a batch that someone must look at."""
+    log = _t(spark, sf, "labels").select(F.col("doc_id").alias("path"), F.when(F.col("quality") == 1, "done").otherwise("failed").alias("status"))
+    critical = _t(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("path"), F.lit(1).alias("n_critical"))
+    return batching.needs_review(log, critical).select("path", F.array_join("reasons", ",").alias("reasons"))

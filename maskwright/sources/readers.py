@@ -53,12 +53,29 @@ def mapping_from_markdown(text: Column) -> Column:
 
 def mapping_to_markdown(mapping: Column) -> Column:
     head = "| 序号 | 原始值 | 替换值 | 类型 | 出现次数 | 验证 |\n| --- | --- | --- | --- | --- | --- |"
-    row = lambda m: F.concat(F.lit("| "), F.concat_ws(" | ", m["ord"].cast("string"), m["original"], m["replacement"], m["type"], F.lit("1"), F.when(m["validated"], "✓").otherwise("—")), F.lit(" |"))
-    return F.array_join(F.concat(F.array(F.lit(head)), F.transform(mapping, row)), "\n")
+    row = lambda m: F.concat(F.lit("| "), F.concat_ws(" | ", m["ord"].cast("string"), m["original"], m["replacement"], m["type"], m["count"].cast("string"), F.when(m["validated"], "✓").otherwise("—")), F.lit(" |"))
+    return F.array_join(F.concat(F.array(F.lit(head)), F.transform(counted_mapping(mapping), row)), "\n")
+
+
+MAPPING_JSON = "struct<mapping:array<struct<original:string,replacement:string,type:string,count:int,order:int,validated:boolean>>>"
+
+
+def mapping_from_json(text: Column) -> Column:
+    """array<struct<ord, original, replacement, type, count>> of a JSON mapping; null where it is none."""
+    rows = F.from_json(text, MAPPING_JSON)["mapping"]
+    return F.transform(rows, lambda m: F.struct(F.coalesce(m["order"], F.lit(0)).alias("ord"), m["original"], m["replacement"], F.coalesce(m["type"], F.lit("")).alias("type"), F.coalesce(m["count"], F.lit(1)).alias("count")))
+
+
+def counted_mapping(mapping: Column) -> Column:
+    """A mapping with a row for each different value and ``count``, how often it was replaced, by first appearance."""
+    same = lambda a, b: (a["original"] == b["original"]) & (a["replacement"] == b["replacement"]) & (a["type"] == b["type"])
+    keys = F.array_distinct(F.transform(mapping, lambda m: F.struct(m["original"], m["replacement"], m["type"], m["validated"])))
+    return F.transform(keys, lambda k, i: F.struct((i + 1).cast("int").alias("ord"), k["original"], k["replacement"], k["type"], k["validated"], F.size(F.filter(mapping, lambda m: same(m, k))).alias("count")))
 
 
 def mapping_to_json(mapping: Column) -> Column:
-    return F.to_json(mapping)
+    rows = F.transform(counted_mapping(mapping), lambda m: F.struct(m["original"], m["replacement"], m["type"], m["count"], m["ord"].alias("order"), m["validated"]))
+    return F.to_json(F.struct(rows.alias("mapping")))
 
 
 def _docx(content: bytes) -> str:
