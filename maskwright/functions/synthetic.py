@@ -95,6 +95,13 @@ TEMPLATES = (
     "被告{company}，信用代码：{credit}，尾款{amount}。",
     "案号：{case}，车牌 {plate}，邮箱 {email} 。",
     "收款账号：{card}，住址：{address}，生日：{birth}，完。",
+    "申请执行人：{person}，联系电话 {mobile}，付款账号：{card}，完。",
+    "证人：{person}，住址：{address}，身份证号：{id}。",
+    "第三人{company}，信用代码：{credit}，邮箱 {email} 。",
+    "法定代表人：{person}，案号：{case}，尾款{amount}。",
+    "车牌 {plate}，登记电话 {mobile}，生日：{birth}，完。",
+    "被执行人：{person}，卡号：{card}，欠款{amount}。",
+    "案外人：{person}，邮箱 {email} ，住址：{address}，完。",
 )
 
 

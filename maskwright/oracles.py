@@ -161,7 +161,7 @@ ORACLE_SQL = {
     "mapping_markdown": f"SELECT k, '总额 ' || k || ' 元' AS original, '[金额]' AS replacement, 1 AS n FROM (SELECT {_K})",
     "redaction_boxes": f"SELECT k AS doc_id, '手机 ' || {_MOBILE} AS text FROM (SELECT {_K}) UNION ALL SELECT k, substr({_MOBILE}, 1, 5) || ' ' || substr({_MOBILE}, 6) FROM (SELECT {_K})",
     "output_names": f"SELECT k AS doc_id, '起诉状_' || k || CASE WHEN k % 2 = 0 THEN '.txt' ELSE '.docx' END AS output FROM (SELECT {_K})",
-    "synthetic_recall": f"""WITH c AS (SELECT {_K}), t AS (SELECT unnest([['人名', '身份证号', '手机号'], ['公司名', '统一社会信用代码', '金额'], ['案号', '车牌号', '邮箱'], ['银行账号', '地址', '出生日期']][CAST(k % 4 + 1 AS INTEGER)]) AS type FROM c)
+    "synthetic_recall": f"""WITH c AS (SELECT {_K}), t AS (SELECT unnest([['人名', '身份证号', '手机号'], ['公司名', '统一社会信用代码', '金额'], ['案号', '车牌号', '邮箱'], ['银行账号', '地址', '出生日期'], ['人名', '手机号', '银行账号'], ['人名', '地址', '身份证号'], ['公司名', '统一社会信用代码', '邮箱'], ['人名', '案号', '金额'], ['车牌号', '手机号', '出生日期'], ['人名', '银行账号', '金额'], ['人名', '邮箱', '地址']][CAST(k % 11 + 1 AS INTEGER)]) AS type FROM c)
       SELECT coalesce(type, 'MICRO') AS type, count(*) AS tp, 0 AS fp, 0 AS fn, 1.0 AS recall FROM t GROUP BY ROLLUP (type)""",
     "synthetic_valid": f"SELECT k, true AS id, true AS credit, true AS card FROM (SELECT {_K})",
     "bio_labels": f"SELECT k AS id, true AS whole, 3 AS begun FROM (SELECT {_K})",
@@ -195,5 +195,9 @@ ORACLE_SQL = {
         '[ ] 法院名称：杭州市余杭区人民法院（…联系 [手机号] 。杭州市余杭区人民法院受理， ' || p || '…）', '还原往返校验：一致', '【脱敏后全文】', '联系 [手机号] 。杭州市余杭区人民法院受理，', p) AS review FROM (SELECT k, {_person()} AS p FROM (SELECT {_K}))""",
     "batch_review": """SELECT doc_id AS path, concat_ws(',', CASE WHEN quality IS DISTINCT FROM 1 THEN 'failed' END, CASE WHEN toxic = 1 THEN 'critical' END) AS reasons FROM labels
       WHERE quality IS DISTINCT FROM 1 OR toxic = 1""",
+    "csv_lines": """SELECT c_custkey, c_name || ',"a ""' || c_custkey || '"", b",' || c_acctbal AS line FROM customer""",
+    "converted": f"""SELECT k, '标题 ' || k || chr(10) || '金额 & 链接' AS txt, '<h1>标题 ' || k || '</h1>' || chr(10) || '<p><strong>金额</strong> &amp; <a href="https://example.com/' || k || '">链接</a></p>' AS html,
+      '## 标题 ' || k || chr(10) || chr(10) || '**金额**' AS md, '<p>a&lt;' || k || '</p>' AS escaped FROM (SELECT {_K})""",
+    "long_spans": f"SELECT k, '写信 [邮箱] 或 [手机号] 。' AS masked, true AS lossless FROM (SELECT {_K})",
     "retyped_cells": f"SELECT k, CAST(k AS DOUBLE) AS amount, CAST(-1 AS DOUBLE) AS account FROM (SELECT {_K})",
 }

@@ -13,7 +13,7 @@ from .functions import checks, crypto, synthetic
 from .functions.text import html_to_text, preprocess, repair_placeholders
 from .operators import batching, boxes, discovery, evaluation, masking, recognisers, restore, review, scanning, second_pass, shared, tables
 from .operators.masking import Options
-from .sources import convert, readers
+from .sources import convert, readers, writers
 from .sources.storage import written
 
 
@@ -606,3 +606,25 @@ def batch_review(spark, sf):
     log = _t(spark, sf, "labels").select(F.col("doc_id").alias("path"), F.when(F.col("quality") == 1, "done").otherwise("failed").alias("status"))
     critical = _t(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("path"), F.lit(1).alias("n_critical"))
     return batching.needs_review(log, critical).select("path", F.array_join("reasons", ",").alias("reasons"))
+
+
+def csv_lines(spark, sf):
+    """Rows as quoted CSV."""
+    rows = _t(spark, sf, "customer")
+    odd = F.concat(F.lit('a "'), F.col("c_custkey").cast("string"), F.lit('", b'))
+    return rows.select("c_custkey", writers.csv_line(["c_name", odd, "c_acctbal"]).alias("line"))
+
+
+def converted(spark, sf):
+    """A text in each format, made from Markdown."""
+    k = F.col("k").cast("string")
+    md = F.concat(F.lit("# 标题 "), k, F.lit("\n**金额** & [链接](https://example.com/"), k, F.lit(")"))
+    html = F.concat(F.lit("<h2>标题 "), k, F.lit("</h2><p><b>金额</b></p>"))
+    return _people(spark, sf).select("k", convert.convert(md, "md", "txt").alias("txt"), convert.convert(md, "md", "html").alias("html"), convert.convert(html, "html", "md").alias("md"), convert.convert(F.concat(F.lit("a<"), k), "txt", "html").alias("escaped"))
+
+
+def long_spans(spark, sf):
+    """A span longer than any guard looks ahead stays out of later rules' reach, and is restored."""
+    k = F.col("k")
+    text = F.concat(F.lit("写信 -13800138000-"), F.repeat(F.lit("ab9"), 900), F.lit("@example.com 或 "), mobile(k), F.lit(" 。"))
+    return restore.restore(masking.mask(_people(spark, sf).select("k", text.alias("text")))).select("k", "masked", (F.col("restored") == F.col("text")).alias("lossless"))

@@ -16,7 +16,7 @@ QUERIES = {
         q.synthetic_valid, q.bio_labels, q.user_rule_pass, q.reply_final, q.audit_counts, q.shared_people, q.recognised, q.retyped_cells,
         q.discovered_names, q.transaction_names, q.discovered_masked, q.file_names, q.value_frequency, q.redaction_counts, q.mapping_counts, q.sealed_mappings, q.repaired,
         q.more_rules, q.one_value_two_rules, q.scan_first_five, q.surest_entities, q.covered_boxes, q.still_readable, q.template_gate, q.prompts, q.known_headers,
-        q.review_text, q.batch_review,
+        q.review_text, q.batch_review, q.csv_lines, q.converted, q.long_spans,
     )
 }
 

@@ -65,3 +65,32 @@ def html_to_markdown(html):
     out = F.regexp_replace(out, r"(?is)<li[^>]*>(.*?)</li>", "- $1\n")
     out = F.regexp_replace(out, r'(?is)<a [^>]*href="((?:https?://|mailto:)[^"]*)"[^>]*>(.*?)</a>', "[$2]($1)")
     return html_to_text(out)
+
+
+def markdown_to_text(text):
+    """Markdown without its marks: headings, bold, items, links as their words."""
+    out = F.regexp_replace(text, r"(?m)^#{1,6} +|^[-*] +|^> ?", "")
+    out = F.regexp_replace(out, r"\*\*([^*]+)\*\*|`([^`]+)`", "$1$2")
+    return F.regexp_replace(out, r"\[([^\]]+)\]\([^)\s]+\)", "$1")
+
+
+def text_to_html(text):
+    """Paragraphs of escaped text."""
+    out = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return F.regexp_replace(out, r"(?m)^(.+)$", "<p>$1</p>")
+
+
+#: (from, to) -> conversion of a text column. Tables, CSV and JSON, are converted by ``csv_to_json`` and ``json_to_table``.
+CONVERSIONS = {
+    ("txt", "md"): lambda t: t, ("txt", "html"): text_to_html, ("md", "txt"): markdown_to_text, ("md", "html"): markdown_to_html,
+    ("html", "txt"): html_to_text, ("html", "md"): html_to_markdown,
+}
+
+
+def convert(text, source: str, target: str):
+    """A text column in another format; an unknown pair is an error."""
+    if source == target:
+        return text
+    if (source, target) not in CONVERSIONS:
+        raise ValueError(f"no conversion from {source} to {target}")
+    return CONVERSIONS[source, target](text)

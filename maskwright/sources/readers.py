@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 MAX_FILE_BYTES = 256 << 20
 CASE_ITEM = "array<struct<type:string,value:string>>"
 CELL_BREAK = "␊"
+#: File kinds that a batch takes.
+KINDS = ("txt", "md", "docx", "xlsx", "csv", "json", "html", "htm")
 
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
@@ -27,7 +29,8 @@ def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Files below a folder that are neither hidden nor this engine's own output."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    return found.where(~name.rlike(r"^[.~]|_脱敏|_mapping"))
+    kind = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
+    return found.where(~name.rlike(r"^[.~]|_脱敏|_mapping") & kind.isin(*KINDS))
 
 
 def cases(spark: SparkSession, path: str) -> DataFrame:
@@ -84,6 +87,28 @@ def _docx(content: bytes) -> str:
     return "\n".join("".join(t.text or "" for t in p.iter(f"{ns}t")) for p in body.iter(f"{ns}p"))
 
 
+def cell_place(reference: str) -> tuple[int, int]:
+    """Row and column, from 1, of a cell's reference."""
+    letters, row = re.fullmatch(r"([A-Z]+)(\d+)", reference).groups()
+    column = 0
+    for ch in letters:
+        column = column * 26 + ord(ch) - 64
+    return int(row), column
+
+
+def sheet_parts(z: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """Names of a workbook's sheets and the parts that hold them, found by their relations; by their order where there are none."""
+    book = ElementTree.fromstring(z.read("xl/workbook.xml"))
+    sheets = [*book.iter("{http://schemas.openxmlformats.org/spreadsheetml/2006/main}sheet")]
+    targets = {}
+    if "xl/_rels/workbook.xml.rels" in z.namelist():
+        for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")):
+            target = r.get("Target", "")
+            targets[r.get("Id")] = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+    by = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+    return [(s.get("name"), targets.get(s.get(by), f"xl/worksheets/sheet{k}.xml")) for k, s in enumerate(sheets, 1)]
+
+
 def _xlsx(content: bytes) -> list[tuple[str, int, int, str]]:
     """sheet, row, column and text of string and number cells; formulas and booleans take no part."""
     ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -91,10 +116,9 @@ def _xlsx(content: bytes) -> list[tuple[str, int, int, str]]:
     shared = []
     if "xl/sharedStrings.xml" in z.namelist():
         shared = ["".join(t.text or "" for t in s.iter(f"{ns}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{ns}si")]
-    names = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{ns}sheet")]
     out = []
-    for k, name in enumerate(names, 1):
-        for c in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{k}.xml")).iter(f"{ns}c"):
+    for name, part in sheet_parts(z):
+        for c in ElementTree.fromstring(z.read(part)).iter(f"{ns}c"):
             value = c.find(f"{ns}v")
             inline = "".join(t.text or "" for t in c.iter(f"{ns}t"))
             if c.find(f"{ns}f") is not None or c.get("t") == "b" or (value is None and not inline):
@@ -102,11 +126,7 @@ def _xlsx(content: bytes) -> list[tuple[str, int, int, str]]:
             raw = inline or (shared[int(value.text)] if c.get("t") == "s" else value.text or "")
             if c.get("t") in (None, "n") and re.fullmatch(r"-?\d+\.0+", raw):
                 raw = raw.split(".")[0]
-            letters, row = re.fullmatch(r"([A-Z]+)(\d+)", c.get("r")).groups()
-            column = 0
-            for ch in letters:
-                column = column * 26 + ord(ch) - 64
-            out.append((name, int(row), column, raw.replace("\n", CELL_BREAK)))
+            out.append((name, *cell_place(c.get("r")), raw.replace("\n", CELL_BREAK)))
     return out
 
 

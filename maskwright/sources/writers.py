@@ -10,10 +10,13 @@ from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .readers import CELL_BREAK, cell_place, sheet_parts
+
 _W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+_X = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 #: Parts of an office file that hold texts of their own and properties; they are cleared.
 _CLEARED = ("docProps/core.xml", "docProps/app.xml", "docProps/custom.xml", "word/comments.xml")
 
@@ -99,6 +102,51 @@ def xlsx(cells: DataFrame, value_col: str = "masked") -> DataFrame:
     return rows.mapInPandas(run, "path string, content binary")
 
 
+def _refilled_xlsx(content: bytes, values: dict[tuple[str, int, int], str]) -> bytes:
+    """The workbook with the texts of given cells (sheet, row, column) changed in place; all else stays as it is."""
+    ElementTree.register_namespace("", _X)
+    source, out = zipfile.ZipFile(io.BytesIO(content)), io.BytesIO()
+    sheet_of = {part: name for name, part in sheet_parts(source)}
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for part in source.namelist():
+            data = source.read(part)
+            if part in sheet_of:
+                root = ElementTree.fromstring(data)
+                for c in root.iter(f"{{{_X}}}c"):
+                    place = (sheet_of[part], *cell_place(c.get("r")))
+                    if place in values and c.find(f"{{{_X}}}f") is None:
+                        for child in [*c]:
+                            c.remove(child)
+                        c.set("t", "inlineStr")
+                        text = ElementTree.SubElement(ElementTree.SubElement(c, f"{{{_X}}}is"), f"{{{_X}}}t")
+                        text.text = values[place].replace(CELL_BREAK, "\n")
+                data = ElementTree.tostring(root, encoding="utf-8", xml_declaration=True)
+            z.writestr(part, data)
+    return out.getvalue()
+
+
+def refill_xlsx(files: DataFrame, cells: DataFrame, value_col: str = "masked") -> DataFrame:
+    """path and content of workbooks (path, content) with the changed cells (path, sheet, row_idx, col_idx, value, masked) in place.
+
+    Cells whose masked text is their value stay untouched, with their type and format; so do formulas.
+    """
+    changed = cells.where(~F.col(value_col).eqNullSafe(F.col("value")))
+    rows = changed.groupBy("path").agg(F.collect_list(F.struct("sheet", "row_idx", "col_idx", F.coalesce(value_col, F.lit("")).alias("v"))).alias("cells"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = [_refilled_xlsx(c, {(x["sheet"], x["row_idx"], x["col_idx"]): x["v"] for x in ([] if cs is None else cs)}) for c, cs in zip(b["content"], b["cells"], strict=True)]
+            yield pd.DataFrame({"path": b["path"], "content": made})
+
+    return files.select("path", "content").join(rows, "path", "left").mapInPandas(run, "path string, content binary")
+
+
+def csv_line(columns: list) -> Column:
+    """A line of quoted CSV: values with commas, quotes or line breaks are quoted, quotes doubled; null is empty."""
+    quoted = lambda v: F.when(v.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
+    return F.concat_ws(",", *(F.coalesce(quoted(F.col(c).cast("string") if isinstance(c, str) else c.cast("string")), F.lit("")) for c in columns))
+
+
 def private_file(path: str, data: bytes) -> None:
     """A driver-side file that only its owner can read."""
     with os.fdopen(os.open(path, os.O_WRONLY | os.O_CREAT | os.O_TRUNC, 0o600), "wb") as f:

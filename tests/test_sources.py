@@ -118,3 +118,23 @@ def test_office_files_written_back(spark, tmp_path):
 def test_html_to_markdown(spark):
     html = '<h2>t</h2><p>a <b>b</b></p><ul><li>x</li></ul><a href="https://e.example">l</a><a href="javascript:1">m</a>'
     assert spark.range(1).select(convert.html_to_markdown(F.lit(html))).first()[0] == "## t\n\na **b**\n- x\n[l](https://e.example)m"
+
+
+def test_workbooks_are_refilled_in_place(spark):
+    """Sheets are found by their relations; untouched cells, formulas and other parts stay as they are."""
+    x, r = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    rels = "http://schemas.openxmlformats.org/package/2006/relationships"
+    sheet = f'<worksheet xmlns="{x}"><sheetData><row r="1"><c r="A1" t="s" s="3"><v>0</v></c><c r="B1"><v>12</v></c><c r="C1"><f>B1*2</f><v>24</v></c></row></sheetData><mergeCells count="1"><mergeCell ref="A1:A2"/></mergeCells></worksheet>'
+    content = _zip({
+        "xl/workbook.xml": f'<workbook xmlns="{x}" xmlns:r="{r}"><sheets><sheet name="流水" sheetId="1" r:id="rId7"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{rels}"><Relationship Id="rId7" Type="{r}/worksheet" Target="worksheets/other.xml"/></Relationships>',
+        "xl/sharedStrings.xml": f'<sst xmlns="{x}"><si><t>张三</t></si></sst>', "xl/worksheets/other.xml": sheet, "xl/theme.xml": "<t/>",
+    })
+    assert readers._xlsx(content) == [("流水", 1, 1, "张三"), ("流水", 1, 2, "12")]
+    files = spark.createDataFrame([("p", bytearray(content)), ("q", bytearray(content))], "path string, content binary")
+    cells = spark.createDataFrame([("p", "流水", 1, 1, "张三", "[当事人_1]"), ("p", "流水", 1, 2, "12", "12")], "path string, sheet string, row_idx int, col_idx int, value string, masked string")
+    out = {f.path: bytes(f.content) for f in writers.refill_xlsx(files, cells).collect()}
+    assert readers._xlsx(out["p"]) == [("流水", 1, 1, "[当事人_1]"), ("流水", 1, 2, "12")] and readers._xlsx(out["q"]) == readers._xlsx(content)
+    parts = zipfile.ZipFile(io.BytesIO(out["p"]))
+    changed = parts.read("xl/worksheets/other.xml").decode()
+    assert parts.read("xl/theme.xml") == b"<t/>" and 's="3"' in changed and "mergeCell" in changed and "B1*2" in changed
