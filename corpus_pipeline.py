@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 ``docs``. A stage works on all that its predecessor kept.
+
+Defined results: a null or empty text has no language and goes in the first stage; a null id is kept as a
+document of its own, which near-dedup links with nothing; null languages teach nothing. Texts are taken
+whole, however long. Of near duplicates the smallest id stays, of repeated rows one. An empty table gives
+an empty result. Other columns, whatever their names, pass through to the last stage, which drops them.
 """
 
 from __future__ import annotations
