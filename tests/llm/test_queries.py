@@ -77,3 +77,21 @@ def test_pipeline_keeps_odd_rows_out_without_failing(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} <= {3, None} and 3 in {r.doc_id for r in out}
     assert langid.UNDEFINED == "und"
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    with pytest.warns(UserWarning):
+        assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_keeps_clashing_columns_and_repeated_rows(spark, tmp_path):
+    text = lambda i: "\n".join(" ".join(f"{chr(97 + (i * 7 + j * 3 + m) % 26)}{(i * 31 + j * 17 + m * m) % 997}x" for m in range(9)) + ", so." for j in range(9))
+    rows = [(i, text(i), "en", "a", "b", "c") for i in range(30)] + [(3, text(3), "en", "a", "b", "c")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string, lang_pred string, kept string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "score", "lang_pred", "kept"], name
+    assert sorted(r.doc_id for r in docs.collect()) == list(range(30))
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(range(30))
