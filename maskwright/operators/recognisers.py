@@ -34,6 +34,63 @@ def pattern_recogniser(patterns: dict[str, str], confidence: float = 1.0) -> Cal
     return make
 
 
+def spacy_recogniser(model: str = "zh_core_web_trf") -> Callable[[], Recogniser]:
+    """A recogniser of a spaCy pipeline; the library is needed where it runs only."""
+    kinds = {"PERSON": "PERSON", "ORG": "COMPANY", "GPE": "ADDRESS", "LOC": "ADDRESS", "FAC": "ADDRESS"}
+
+    def make() -> Recogniser:
+        import spacy
+
+        pipeline = spacy.load(model)
+        return lambda texts: [[(kinds[e.label_], e.start_char, e.end_char, 0.85) for e in doc.ents if e.label_ in kinds] for doc in pipeline.pipe(texts)]
+
+    return make
+
+
+def transformers_recogniser(model: str) -> Callable[[], Recogniser]:
+    """A recogniser of a token classifier; the library is needed where it runs only."""
+    kinds = {"PER": "PERSON", "PERSON": "PERSON", "ORG": "COMPANY", "LOC": "ADDRESS", "GPE": "ADDRESS"}
+
+    def make() -> Recogniser:
+        from transformers import pipeline
+
+        tag = pipeline("token-classification", model=model, aggregation_strategy="simple")
+        return lambda texts: [[(kinds[e["entity_group"]], e["start"], e["end"], float(e["score"])) for e in found if e["entity_group"] in kinds] for found in tag(texts)]
+
+    return make
+
+
+def reply_recogniser(ask: Callable[[str], str], confidence: float = 0.8) -> Callable[[], Recogniser]:
+    """A recogniser of a model's replies: ``ask`` gives JSON, a list of objects with type and text, for a text.
+
+    Every place of a named text counts; what the text doesn't hold is left out, and so is a reply that is no such list.
+    """
+
+    def make() -> Recogniser:
+        import json
+
+        def one(text: str) -> list[Entity]:
+            try:
+                named = [(str(x["type"]), str(x["text"])) for x in json.loads(ask(text))]
+            except (ValueError, KeyError, TypeError):
+                return []
+            return [(kind, m.start(), m.end(), confidence) for kind, value in dict.fromkeys(named) if value for m in re.finditer(re.escape(value), text)]
+
+        return lambda texts: [one(t) for t in texts]
+
+    return make
+
+
+def only(factory: Callable[[], Recogniser], types: tuple[str, ...]) -> Callable[[], Recogniser]:
+    """A recogniser's entities of some types."""
+
+    def make() -> Recogniser:
+        inner = factory()
+        return lambda texts: [[e for e in found if e[0] in types] for found in inner(texts)]
+
+    return make
+
+
 def recognise(df: DataFrame, factory: Callable[[], Recogniser], text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Id, text and entities of each text."""
 

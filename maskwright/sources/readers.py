@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -17,7 +17,7 @@ MAX_FILE_BYTES = 256 << 20
 CASE_ITEM = "array<struct<type:string,value:string>>"
 CELL_BREAK = "␊"
 #: File kinds that a batch takes.
-KINDS = ("txt", "md", "docx", "xlsx", "csv", "json", "html", "htm")
+KINDS = ("txt", "md", "docx", "xlsx", "csv", "json", "html", "htm", "pdf", "png", "jpg", "jpeg")
 
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
@@ -167,3 +167,42 @@ def xlsx_cells(found: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "sheet", "row_idx", "col_idx", "value", "error"])
 
     return _read(found, run, "path string, sheet string, row_idx int, col_idx int, value string, error string")
+
+
+#: A reader of pages: the bytes of a file to (page, text, x, y, w, h) of its boxes, in shares of the page's size.
+PageReader = Callable[[bytes], list[tuple[int, str, float, float, float, float]]]
+
+
+def pdf_page_reader() -> PageReader:
+    """Words of a PDF's text layer with their boxes; the library is needed where it runs only."""
+    import pdfplumber
+
+    def read(content: bytes) -> list[tuple[int, str, float, float, float, float]]:
+        with pdfplumber.open(io.BytesIO(content)) as pdf:
+            return [
+                (k, w["text"], w["x0"] / p.width, 1 - w["bottom"] / p.height, (w["x1"] - w["x0"]) / p.width, (w["bottom"] - w["top"]) / p.height)
+                for k, p in enumerate(pdf.pages, 1) for w in p.extract_words()
+            ]
+
+    return read
+
+
+def page_boxes(found: DataFrame, factory: Callable[[], PageReader]) -> DataFrame:
+    """path, page, text, x, y, w, h and error of files among ``files``: PDF, images or scans, by a reader made once per worker.
+
+    A file that can't be read is a row with an error. ``boxes.text_lines`` makes lines of the boxes.
+    """
+    names = ["path", "page", "text", "x", "y", "w", "h", "error"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = factory()
+        for b in batches:
+            rows = []
+            for path, content in zip(b["path"], b["content"], strict=True):
+                try:
+                    rows += [(path, *box, None) for box in read(bytes(content))]
+                except Exception as e:  # noqa: BLE001  readers are plug-ins; whatever they raise is the file's error
+                    rows.append((path, *(None,) * 6, repr(e)))
+            yield pd.DataFrame(rows, columns=names)
+
+    return _read(found, run, "path string, page int, text string, x double, y double, w double, h double, error string")

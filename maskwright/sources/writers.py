@@ -151,3 +151,23 @@ def private_file(path: str, data: bytes) -> None:
     """A driver-side file that only its owner can read."""
     with os.fdopen(os.open(path, os.O_WRONLY | os.O_CREAT | os.O_TRUNC, 0o600), "wb") as f:
         f.write(data)
+
+
+def deliver(masked: DataFrame, folder: str, id_col: str = "doc_id") -> None:
+    """What leaves the house for a batch: texts, mappings, review lists, audit records and their digests, each a table of files.
+
+    ``masked`` is written once and read by every part. The mappings belong in another hand than the texts.
+    """
+    from ..operators import masking, review, second_pass
+    from .storage import written
+
+    rows = written(masked.select(id_col, "normal", "masked", "mapping"))
+    parts = {
+        "01_texts": rows.select(id_col, "masked"),
+        "02_mapping": masking.mapping_rows(rows, id_col),
+        "03_audit": second_pass.audit(rows, id_col),
+        "04_review": review.report(rows, id_col),
+        "05_sign_off": rows.select(id_col, F.sha2("masked", 256).alias("sha256"), F.size("mapping").alias("replacements")),
+    }
+    for name, part in parts.items():
+        part.write.mode("overwrite").json(f"{folder}/{name}")

@@ -138,3 +138,46 @@ def test_workbooks_are_refilled_in_place(spark):
     parts = zipfile.ZipFile(io.BytesIO(out["p"]))
     changed = parts.read("xl/worksheets/other.xml").decode()
     assert parts.read("xl/theme.xml") == b"<t/>" and 's="3"' in changed and "mergeCell" in changed and "B1*2" in changed
+
+
+def test_pages_by_a_plugged_reader(spark, tmp_path):
+    from maskwright.operators import boxes
+
+    (tmp_path / "a.txt").write_bytes(b"one two\nthree")
+    (tmp_path / "b.txt").write_bytes(b"!")
+
+    def factory():
+        def read(content):
+            if content == b"!":
+                raise ValueError("broken")
+            return [(1, w, 0.1 * i, 0.9 - 0.1 * k, 0.1, 0.02) for k, line in enumerate(content.decode().split("\n")) for i, w in enumerate(line.split())]
+
+        return read
+
+    found = readers.page_boxes(readers.files(spark, str(tmp_path)), factory)
+    assert [r.error for r in found.where("error IS NOT NULL").collect()] == ["ValueError('broken')"]
+    lines = boxes.text_lines(found.where("error IS NULL").withColumnRenamed("path", "doc_id")).orderBy("line").collect()
+    assert [r.text for r in lines] == ["one two", "three"]
+
+
+def test_delivery(spark, tmp_path):
+    from maskwright.operators import masking
+
+    docs = spark.createDataFrame([(1, "联系 13800138000 。"), (2, "无")], "doc_id long, text string")
+    writers.deliver(masking.mask(docs), str(tmp_path / "out"))
+    read = lambda part: {r.doc_id: r for r in spark.read.json(str(tmp_path / "out" / part)).collect()}
+    assert read("01_texts")[1].masked == "联系 [手机号] 。" and read("02_mapping")[1].original == "13800138000"
+    assert set(read("04_review")) == {1, 2} and read("05_sign_off")[2].replacements == 0
+
+
+def test_recognisers_of_replies_and_types(spark):
+    import json
+
+    from maskwright.operators import recognisers
+
+    ask = lambda text: json.dumps([{"type": "PERSON", "text": "张三"}, {"type": "COURT", "text": "临平法院"}, {"type": "PERSON", "text": "李四"}]) if "张三" in text else "no"
+    df = spark.createDataFrame([(1, "张三诉至临平法院，张三到庭"), (2, "无人")], "doc_id long, text string")
+    masked = {r.doc_id: r.masked for r in recognisers.mask_entities(recognisers.recognise(df, recognisers.reply_recogniser(ask))).collect()}
+    assert masked == {1: "[当事人_1]诉至[审理法院]，[当事人_1]到庭", 2: "无人"}
+    courts = recognisers.recognise(df, recognisers.only(recognisers.reply_recogniser(ask), ("COURT",)))
+    assert {r.doc_id: r.masked for r in recognisers.mask_entities(courts).collect()}[1] == "张三诉至[审理法院]，张三到庭"
