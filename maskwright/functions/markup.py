@@ -29,6 +29,13 @@ def code_number(c: Column) -> Column:
     return F.ascii(c) - F.lit(_FIRST_CODE)
 
 
+def gateway() -> int:
+    """What columns are bound to: those made once can be used again as long as it is the same."""
+    from pyspark import SparkContext
+
+    return id(SparkContext._gateway)
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)

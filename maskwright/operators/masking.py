@@ -8,6 +8,7 @@ optimizer inlines it.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,7 +118,18 @@ def marked(df: DataFrame, text_col: str = "text", options: Options = Options(),
     """
 
     df = df.withColumn("normal", markup.unmarked_input(preprocess(F.col(text_col))))
-    return df.withColumn("_m", marked_text(F.col("normal"), options, F.col(names_col) if names_col else None))
+    return df.withColumn("_m", _marked_normal(options, names_col, markup.gateway()))
+
+
+@lru_cache(maxsize=32)
+def _marked_normal(options: Options, names_col: str | None, gateway: int) -> Column:
+    """The chain over ``normal``. It has thousands of nodes, each a call to the JVM, and is made once."""
+    return marked_text(F.col("normal"), options, F.col(names_col) if names_col else None)
+
+
+@lru_cache(maxsize=4)
+def _assembled_marks(gateway: int) -> Column:
+    return let(F.col("_m"), assembled)
 
 
 def marked_text(text: Column, options: Options = Options(), names: Column | None = None) -> Column:
@@ -206,7 +218,7 @@ def mask(df: DataFrame, text_col: str = "text", options: Options = Options(), na
     be pushed below the chain and evaluate it a second time.
     """
     df = df.drop(*(c for c in ("masked", "mapping", "names") if c in df.columns))
-    out = marked(df, text_col, options, names_col).withColumn("_r", let(F.col("_m"), assembled))
+    out = marked(df, text_col, options, names_col).withColumn("_r", _assembled_marks(markup.gateway()))
     return out.select("*", "_r.masked", "_r.mapping", "_r.names").drop("_m", "_r")
 
 
