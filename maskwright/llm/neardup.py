@@ -213,16 +213,17 @@ def merged(side: DataFrame) -> DataFrame:
     return side.hint("merge")
 
 
-def spread_join(rows: DataFrame, other: DataFrame, keys: list[str], by: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+def spread_join(rows: DataFrame, other: DataFrame, keys: list[str], by: str, how: str = "inner", counts: DataFrame | None = None, least: int | None = None) -> DataFrame:
     """``rows`` joined with ``other`` on ``keys``; a key with many rows is dealt to several tasks by a hash of ``by``.
 
     Only the other side's rows of such a key are copied, to as many parts as the key has. Fewer than ``HOT``
     keys can hold more than one in ``HOT`` of the rows, so the list of them is bounded whatever the input.
-    ``counts`` has the keys and ``n``, where that is known already.
+    ``counts`` has the keys and ``n``, where that is known already; ``least`` stands for ``SPREAD`` where the
+    other side's rows are many and copies dear.
     """
     counts = counts if counts is not None else rows.groupBy(*keys).agg(F.count("*").alias("n"))
     most, total = counts.agg(F.max("n"), F.sum("n")).first()
-    each = max(SPREAD, (total or 0) // HOT)
+    each = max(SPREAD if least is None else least, (total or 0) // HOT)
     if (most or 0) <= each:
         return rows.join(merged(other), keys, how)
     hot = counts.where(F.col("n") > each).select(*keys, F.ceil(F.col("n") / each).cast("int").alias("_mw_parts")).collect()
@@ -381,7 +382,7 @@ def _across(rows: DataFrame, labels: DataFrame, sketches: DataFrame, percent: in
     held = table(spread_join(told, table(open_keys), ["key"], "rep")).join(merged(sketches), "rep")
     left = held.where("label <> main").select("key", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("maps").alias("x"))
     right = held.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("maps").alias("y"), (F.col("label") == F.col("main")).alias("is_main"))
-    met = spread_join(right, left, ["key"], "b").where((F.col("la") != F.col("lb")) & (F.col("is_main") | (F.col("a") < F.col("b"))) & close("x", "y", percent))
+    met = spread_join(right, left, ["key"], "b", least=4 * SPREAD).where((F.col("la") != F.col("lb")) & (F.col("is_main") | (F.col("a") < F.col("b"))) & close("x", "y", percent))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
