@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,20 +60,27 @@ def safe_names(files: DataFrame, name_col: str = "masked_name", id_col: str = "d
 def run(spark, source: str, target: str, log_path: str, text_col: str = "text", path_col: str = "path") -> DataFrame:
     """Mask what earlier runs haven't finished, append results and a log row for each, and return the log.
 
-    Source, target and log are Parquet tables. A run that dies appends no log, so its inputs are pending
-    again; results carry the path, and readers take a path's rows once.
+    Source, target and log are Parquet tables. A run writes into a folder of its own and logs it last, so a
+    run that dies leaves inputs that are pending again and results that no log row names; ``results`` reads the named ones.
     """
     from .masking import mask
 
     files = spark.read.parquet(source)
+    schema = f"{path_col} string, status string, replaced long, run string"
     try:
-        log = spark.read.parquet(log_path)
+        log = spark.read.schema(schema).parquet(log_path)
     except Exception as e:  # the first run has no log yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        log = spark.createDataFrame([], f"{path_col} string, status string, replaced long")
-    todo = pending(files, log, path_col)
-    mask(todo, text_col).drop(text_col, "names").write.mode("append").parquet(target)
-    done = spark.read.parquet(target).join(log.where("status = 'done'").select(path_col), path_col, "left_anti")
-    done.dropDuplicates([path_col]).select(path_col, F.lit("done").alias("status"), F.size("mapping").cast("long").alias("replaced")).write.mode("append").parquet(log_path)
-    return spark.read.parquet(log_path)
+        log = spark.createDataFrame([], schema)
+    todo, run_id = pending(files, log, path_col), uuid.uuid4().hex
+    mask(todo, text_col).drop(text_col, "names").write.parquet(f"{target}/run={run_id}")
+    done = spark.read.parquet(f"{target}/run={run_id}").dropDuplicates([path_col])
+    done.select(path_col, F.lit("done").alias("status"), F.size("mapping").cast("long").alias("replaced"), F.lit(run_id).alias("run")).write.mode("append").parquet(log_path)
+    return spark.read.schema(schema).parquet(log_path)
+
+
+def results(spark, target: str, log_path: str, path_col: str = "path") -> DataFrame:
+    """Results of finished runs, a row a path."""
+    logged = spark.read.parquet(log_path).where("status = 'done'").select(path_col, "run")
+    return spark.read.parquet(target).join(logged, [path_col, "run"], "left_semi").dropDuplicates([path_col]).drop("run")

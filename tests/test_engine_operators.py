@@ -32,7 +32,8 @@ def test_batches_resume(spark, tmp_path):
     spark.createDataFrame([("c", "a@b.com")], "path string, text string").write.mode("append").parquet(src)
     assert batching.run(spark, src, out, log).count() == 3
     assert batching.run(spark, src, out, log).count() == 3
-    assert sorted((r.path, r.masked) for r in spark.read.parquet(out).collect()) == [("a", "[手机号]"), ("b", "x"), ("c", "[邮箱]")]
+    spark.read.parquet(f"{out}").where("path = 'a'").drop("run").write.parquet(f"{out}/run=died")  # a run that ended before its log
+    assert sorted((r.path, r.masked) for r in batching.results(spark, out, log).collect()) == [("a", "[手机号]"), ("b", "x"), ("c", "[邮箱]")]
 
 
 def test_model_calls(spark):
