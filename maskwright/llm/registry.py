@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_odd_sketch": oracles.OP1,
     "op2_line_first": oracles.OP2,
     "op5_no_random_access": oracles.OP5,
     "op8_chat_format": oracles.OP8,
