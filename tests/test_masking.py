@@ -94,3 +94,31 @@ def test_reply_faults(spark):
     known = F.array(F.struct(F.lit("张三").alias("original")))
     faults = spark.range(1).select(review.reply_faults(F.lit("a[甲]\nb"), F.lit("a 张三"), known)).first()[0]
     assert faults == ["lines", "placeholders", "originals"]
+
+
+def test_discovered_names(spark):
+    from maskwright.operators import discovery
+
+    rows = [(1, "张三欠李四钱不还"), (2, "欧阳雪梅称已还款。欧阳雪梅"), (3, "余款未付，范围不明"), (4, None), (5, "2024-05-01 转账 王秀英\n合计 转账 李秀英"), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    factory = discovery.dictionary_segmenter(["欠", "钱", "不还", "称", "已", "还款", "余款", "未付", "范围", "不明", "转账", "合计"])
+    found = {r.doc_id: sorted(r.found_names or []) for r in discovery.discover(df, factory).collect()}
+    assert found == {1: ["张三", "李四"], 2: ["欧阳雪梅"], 3: [], 4: [], 5: ["王秀英"], 6: []}
+    assert {r.doc_id: sorted(r.found_names or []) for r in discovery.discover(df).collect()} == {1: [], 2: [], 3: [], 4: [], 5: ["王秀英"], 6: []}
+
+
+def test_brackets_of_any_length_are_left_alone(spark):
+    from maskwright.operators import review, second_pass
+
+    inside = "杭州法院" + "文" * 500
+    df = spark.createDataFrame([(1, f"[{inside}] 临平法院")], "doc_id long, text string")
+    masked = masking.mask(df)
+    assert [r.value for r in review.residues(masked).where("type = '法院名称'").collect()] == ["临平法院"]
+    out = second_pass.user_rules(masked, [("法院", "..法院", "[审理法院]")]).first()
+    assert out.masked2 == f"[{inside}] [审理法院]"
+
+
+def test_columns_that_clash_are_replaced(spark):
+    df = spark.createDataFrame([(1, "联系 13800138000 。", "a", "b", "c", "d")], "doc_id long, text string, masked string, mapping string, names string, normal string")
+    out = masking.mask(df)
+    assert sorted(out.columns) == ["doc_id", "mapping", "masked", "names", "normal", "text"] and out.first().masked == "联系 [手机号] 。"
