@@ -266,12 +266,12 @@ def _statement(spark, sf) -> DataFrame:
 
 def cells_masked(spark, sf):
     """Cells of statements; a holder has one placeholder in a statement, and different holders have different ones."""
-    return tables.mask_table(_statement(spark, sf)).select("doc_id", "row_idx", F.col("col_idx").cast("long").alias("col_idx"), "col_type", "masked")
+    return tables.mask_table(_spread(_statement(spark, sf))).select("doc_id", "row_idx", F.col("col_idx").cast("long").alias("col_idx"), "col_type", "masked")
 
 
 def cells_restored(spark, sf):
     """Whether a masked statement, flattened, gives its cells back."""
-    masked = tables.mask_table(_statement(spark, sf))
+    masked = tables.mask_table(_spread(_statement(spark, sf)))
     flat = masked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("row_idx", "col_idx", "value", "masked", "mapping"))).alias("c"))
     lines = lambda field: F.array_join(F.transform("c", lambda x: x[field]), "\n")
     rows = flat.select("doc_id", lines("value").alias("normal"), lines("masked").alias("masked"), F.flatten(F.transform("c", lambda x: x["mapping"])).alias("mapping"))
