@@ -22,3 +22,9 @@ def compare(spark, folder, name, **tables):
 @pytest.mark.parametrize("name", ["audit_counts", "mapping_values", "mask_stats_by_type", "mask_totals", "restore_roundtrip", "value_frequency"])
 def test_short_latin_texts(spark, tmp_path, name):
     compare(spark, tmp_path, name, documents=(DOCUMENTS, "doc_id long, text string"))
+
+
+def test_scan_counts_valid_accounts(spark, tmp_path):
+    """Runs of digits in a token: one that fails Luhn, beginning like a year, and one that passes it inside of what looks like a WeChat id."""
+    texts = [(1, 'token = "f699e44f19092102589454a79f5d9b63dbf9557a" a@b.com'), (2, "password=a46c79961747285376 x"), (3, None)]
+    compare(spark, tmp_path, "scan_documents", documents=(texts, "doc_id long, text string"))
