@@ -56,33 +56,46 @@ def header_cells(cell_table: DataFrame, doc_col: str = "doc_id") -> DataFrame:
     return firsts.select(doc_col, (F.min("row_idx").over(first) - 1).alias("row_idx"), "col_idx", "header", F.col("header").alias("value"), F.lit(DEFAULT_KIND).alias("col_type")).select(*cell_table.columns)
 
 
-def _marked_cell(value: Column, kind: Column) -> Column:
-    """A cell with marked spans: dates stay, remarks keep their numbers, a lone name in a column of names is a counterparty."""
+def _marked_cell(kind: Column) -> Column:
+    """The cell ``normal`` with marked spans: dates stay, remarks keep their numbers, a lone name in a column of names is a counterparty."""
+    value = F.col("normal")
     lone = kind.isin("户名", "附言") & value.rlike(f"^[{HAN}]{{2,4}}$") & entities.surname_led(value) & entities.plausible(value, F.lit(""))
     return (
         F.when(kind == "日期", value)
         .when(lone, entities.person_span(value, masking.CODES))
-        .when(kind == "附言", masking.marked_text(value, masking.Options(amounts=False, bare_names=False)))
-        .otherwise(masking.marked_text(value))
+        .when(kind == "附言", masking.marked_normal(masking.Options(amounts=False, bare_names=False)))
+        .otherwise(masking.marked_normal())
     )
 
 
+def _masked_values(cell_table: DataFrame) -> DataFrame:
+    """The different values of each kind of column, masked: ``_value``, ``_kind``, ``masked``, ``mapping``, ``names`` and ``_gaps``.
+
+    Each is a long way through the rules, so they are dealt to all tasks, however few they are.
+    """
+    spark = cell_table.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    different = cell_table.select("_value", "_kind").distinct().repartition(tasks, "_value", "_kind")
+    marked = different.withColumn("normal", markup.unmarked_input(preprocess(F.col("_value")))).withColumn("_m", _marked_cell(F.col("_kind")))
+    return written(marked.withColumn("_r", masking.assembled_marks()).select("_value", "_kind", "_r.masked", "_r.mapping", "_r.names", markup.gaps(F.col("_m")).alias("_gaps")))
+
+
 def mask_table(cell_table: DataFrame, doc_col: str = "doc_id") -> DataFrame:
     """Adds ``masked`` and ``mapping``; entities are those of the whole table.
 
-    Cells are masked by themselves and written. Their names, a row for each different one, are numbered by first appearance in
+    Cells are written, and their different values masked by themselves, once each, and written. The names
+    of the cells, a row for each different one, are numbered by first appearance in
     their table: people by a window over the different names of a table, companies, which link by
     stem and containment, by a fold over those. Placeholders then meet the cells that hold names by document and name.
     """
-    text = markup.unmarked_input(preprocess(F.coalesce(F.col("value"), F.lit(""))))
     keep = [c for c in cell_table.columns if c not in ("masked", "mapping")]
     place = F.struct("row_idx", "col_idx", F.col("n.ord").alias("ord"))
-    marked = cell_table.select(*keep, let(text, lambda t: _marked_cell(t, F.col("col_type"))).alias("_m"))
-    base = written(marked.withColumn("_r", let(F.col("_m"), masking.assembled)).select(*keep, "_r.masked", "_r.mapping", "_r.names", markup.gaps(F.col("_m")).alias("_gaps")))
+    cell_table = written(cell_table.select(*keep, F.coalesce(F.col("value").cast("string"), F.lit("")).alias("_value"), F.coalesce(F.col("col_type"), F.lit(DEFAULT_KIND)).alias("_kind")))
+    base = written(cell_table.join(_masked_values(cell_table), ["_value", "_kind"]).select(*keep, "masked", "mapping", "names", "_gaps"))
 
     mentions = base.where(F.size("names") > 0).select(doc_col, "row_idx", "col_idx", F.explode("names").alias("n")).select(doc_col, place.alias("at"), F.col("n.name").alias("name"), F.col("n.role").alias("role"), F.col("n.entity").startswith("person").alias("person"))
     with_role = F.when(F.col("role") != "", F.col("at"))
-    firsts = mentions.groupBy(doc_col, "person", "name").agg(F.min("at").alias("first"), F.min(with_role).alias("role_at"), F.min_by("role", with_role).alias("role"))
+    firsts = written(mentions.groupBy(doc_col, "person", "name").agg(F.min("at").alias("first"), F.min(with_role).alias("role_at"), F.min_by("role", with_role).alias("role")))
     people = firsts.where("person").select(
         doc_col, "person", "name", F.concat(F.lit("person_"), F.row_number().over(Window.partitionBy(doc_col).orderBy("first")).cast("string")).alias("entity"), "role", "role_at"
     )
@@ -91,7 +104,7 @@ def mask_table(cell_table: DataFrame, doc_col: str = "doc_id") -> DataFrame:
     folded = let(
         F.col("f"),
         lambda f: F.zip_with(
-            f, entities.resolve(F.transform(f, lambda x, i: F.struct(F.lit(0).alias("rule"), i.alias("ord"), F.lit(False).alias("person"), x["name"].alias("canonical"), x["role"].alias("role")))),
+            f, entities.fold(F.transform(f, lambda x, i: F.struct(F.lit(0).alias("rule"), i.alias("ord"), F.lit(False).alias("person"), x["name"].alias("canonical"), x["role"].alias("role")))),
             lambda x, r: F.struct(x["name"].alias("name"), r["entity"].alias("entity"), x["role"].alias("role"), x["role_at"].alias("role_at")),
         ),
     )
@@ -101,10 +114,11 @@ def mask_table(cell_table: DataFrame, doc_col: str = "doc_id") -> DataFrame:
     linked = linked.withColumn("role", F.min_by("role", "role_at").over(of_entity)).withColumn("role_at", F.min("role_at").over(of_entity))
     known = people.unionByName(linked.select(*people.columns))
 
+    # a merge: equal cells are far larger than their files, whose size would have them broadcast
     asked = base.where(F.size("names") > 0).select(*keep, "mapping", "_gaps", F.explode("names").alias("n")).withColumn("at", place)
     asked = asked.withColumn("name", F.col("n.name")).withColumn("person", F.col("n.entity").startswith("person"))
     bound = F.when(F.col("at") >= F.col("role_at"), F.col("role")).otherwise(F.lit(""))
-    shown = asked.join(known, [doc_col, "person", "name"]).withColumn("_shown", entities.placeholder(F.col("entity"), F.coalesce(bound, F.lit(""))))
+    shown = asked.join(known.hint("merge"), [doc_col, "person", "name"]).withColumn("_shown", entities.placeholder(F.col("entity"), F.coalesce(bound, F.lit(""))))
     ids = [c for c in keep if c in (doc_col, "row_idx", "col_idx")]
     rest = [c for c in keep if c not in ids]
     back = shown.groupBy(*ids).agg(*(F.first(c).alias(c) for c in (*rest, "mapping", "_gaps")), F.map_from_entries(F.collect_list(F.struct(F.col("n.ord"), "_shown"))).alias("_by"))

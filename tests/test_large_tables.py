@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from maskwright import queries, registry
 from maskwright.functions import markup
-from maskwright.operators import entities, masking
+from maskwright.operators import entities, masking, tables
 from tests import test_masking
 from tests.test_registry import rows
 
@@ -57,3 +57,31 @@ def test_texts_hold_what_matches_need(spark):
     assert sum(got.lacks) == 0 and sum(n > 0 for n in got.meets) > 20
     once = markup.jointed(F.lit(markup.OPEN + "a" * 5000 + markup.CLOSE))
     assert spark.range(1).select(once.alias("a"), markup.jointed(once).alias("b")).where("a = b").count() == 1
+
+
+#: Cells of a remark, a column of names, an amount, a date and a column without a kind; equal values stand in several.
+CELLS = [("摘要", "附言", "付5000元"), ("户名", "户名", "付5000元"), ("户名", "户名", "王建军"), ("日期", "日期", "34069040"), ("x", None, "34069040"), ("x", None, None)]
+
+
+def test_equal_cells_are_masked_once(spark, monkeypatch):
+    """A value goes through the rules once for each kind of column it stands in, however many cells hold it, by the rules of that kind."""
+    seen, plain = spark.sparkContext.accumulator(0), tables.preprocess
+
+    @F.udf("string")
+    def counted(value):
+        seen.add(1)
+        return value
+
+    monkeypatch.setattr(tables, "preprocess", lambda c: plain(counted(c)))
+    data = [(doc, row, col, *cell) for doc in range(20) for row in range(5) for col, cell in enumerate(CELLS)]
+    df = spark.createDataFrame(data, "doc_id long, row_idx long, col_idx int, header string, col_type string, value string")
+    got = tables.mask_table(df).collect()
+    want = ["付5000元", "付[金额]", "[当事人_1]", "34069040", "[金额]", ""]
+    assert len(got) == len(data) and {(r.col_idx, r.masked) for r in got} == set(enumerate(want))
+    assert seen.value == len(CELLS)
+
+
+def test_names_meet_cells_by_a_merge(spark, sf):
+    """Cells that repeat are much larger than their files, by whose size a table of them was broadcast."""
+    plan = registry.QUERIES["table_companies"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
